@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 from vinculum.functions import columns as C
 from vinculum.operators.harmonise import harmonise
 
-_EMPTY = F.lit("")
+def _empty() -> Column:
+    return F.lit("")
+
 
 
 def _text(df: DataFrame, *names: str) -> Column:
     """First non-null of the columns that exist, else the empty text."""
-    return F.coalesce(*[F.col(n).cast("string") for n in names if n in df.columns], _EMPTY)
+    return F.coalesce(*[F.col(n).cast("string") for n in names if n in df.columns], _empty())
 
 
 def disease_nodes(
@@ -27,7 +29,7 @@ def disease_nodes(
     rows = rows.select("id", F.lit("Disease").alias("type"), _text(rows, "approvedName", "name").alias("name"))
     if descriptors is None:
         empty = F.array().cast("array<string>")
-        info = {"mesh_terms": empty, "mesh_description": _EMPTY, "tree_numbers": empty}
+        info = {"mesh_terms": empty, "mesh_description": _empty(), "tree_numbers": empty}
         return rows.withColumns(info)
     side = descriptors.select(
         F.col("id").alias("_id"),
@@ -39,7 +41,7 @@ def disease_nodes(
     return joined.select(
         *rows.columns,
         F.coalesce("_terms", F.array().cast("array<string>")).alias("mesh_terms"),
-        F.coalesce("_description", _EMPTY).alias("mesh_description"),
+        F.coalesce("_description", _empty()).alias("mesh_description"),
         F.coalesce("_numbers", F.array().cast("array<string>")).alias("tree_numbers"),
     )
 
@@ -85,15 +87,15 @@ def drug_record_nodes(drugs: DataFrame) -> DataFrame:
     return drugs.where(~C.is_blank(F.col("drugbank_id"))).select(
         F.col("drugbank_id").alias("id"),
         F.lit("Drug").alias("type"),
-        *[F.coalesce(F.col(c), _EMPTY).alias(c) for c in text],
+        *[F.coalesce(F.col(c), _empty()).alias(c) for c in text],
         C.join_list(F.col("groups")).alias("groups"),
         C.join_list(F.col("synonyms")).alias("synonyms"),
         (F.coalesce("has_structure_data", F.lit(False)) if has("has_structure_data") else F.lit(False)).alias(
             "has_structure_data"
         ),
         pick(["molecular_weight_rdkit", "molecular_weight"], "double").alias("molecular_weight"),
-        F.coalesce(pick(["canonical_smiles", "smiles"], "string"), _EMPTY).alias("canonical_smiles"),
-        F.coalesce(pick(["inchikey_rdkit", "inchikey"], "string"), _EMPTY).alias("inchikey"),
+        F.coalesce(pick(["canonical_smiles", "smiles"], "string"), _empty()).alias("canonical_smiles"),
+        F.coalesce(pick(["inchikey_rdkit", "inchikey"], "string"), _empty()).alias("inchikey"),
         *[pick([c], t).alias(c) for c, t in typed.items()],
         C.list_size(F.col("targets")).alias("target_count"),
         C.list_size(F.col("enzymes")).alias("enzyme_count"),
@@ -111,13 +113,13 @@ def molecule_nodes(molecules: DataFrame) -> DataFrame:
     return molecules.select(
         "id",
         F.lit("Drug").alias("type"),
-        F.coalesce("name", _EMPTY).alias("name"),
-        F.coalesce("drugType", _EMPTY).alias("drugType"),
+        F.coalesce("name", _empty()).alias("name"),
+        F.coalesce("drugType", _empty()).alias("drugType"),
         F.coalesce(F.col("maximumClinicalTrialPhase").cast("double"), F.lit(0.0)).alias("maxPhase"),
         *[F.coalesce(c, F.lit(False)).alias(c) for c in ("isApproved", "hasBeenWithdrawn", "blackBoxWarning")],
         F.col("yearOfFirstApproval").cast("long").alias("yearOfFirstApproval"),
-        F.coalesce("canonicalSmiles", _EMPTY).alias("canonicalSmiles"),
-        F.coalesce("inchiKey", _EMPTY).alias("inchiKey"),
+        F.coalesce("canonicalSmiles", _empty()).alias("canonicalSmiles"),
+        F.coalesce("inchiKey", _empty()).alias("inchiKey"),
         C.join_list(F.col("synonyms")).alias("synonyms"),
         C.join_list(F.col("tradeNames")).alias("tradeNames"),
         F.coalesce("linkedDiseases.count", F.lit(0)).alias("linkedDiseases"),
