@@ -80,8 +80,11 @@ def dotted_prefix(parts: Column, n: Column) -> Column:
 
 
 def year_of_file(name: Column) -> Column:
-    """Four digits right before ``.xml``, null when the name has none."""
-    return F.regexp_extract(name, r"(\d{4})\.xml$", 1).try_cast("int")
+    """Four digits right before ``.xml`` in a file path, null when it has none.
+
+    The dump may also be a folder of that name with part files inside.
+    """
+    return F.regexp_extract(name, r"(\d{4})\.xml(?:/[^/]*)?$", 1).try_cast("int")
 
 
 def preview(c: Column, length: int, tail: str = "...") -> Column:

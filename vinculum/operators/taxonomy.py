@@ -44,10 +44,11 @@ def hierarchy_nodes(pairs: DataFrame, descriptors: DataFrame) -> DataFrame:
     ``children`` is the number of child nodes; the nodes themselves stay in
     the pairs.
     """
+    entry = lambda c, n: F.struct(F.col(c).alias("tree_number"), F.lit(n).alias("children"))
     counted = (
-        pairs.select(F.explode(F.array(F.struct("parent", F.lit(1)), F.struct("child", F.lit(0)))).alias("n"))
-        .groupBy(F.col("n.parent").alias("tree_number"))
-        .agg(F.sum("n.col2").alias("children"))
+        pairs.select(F.explode(F.array(entry("parent", 1), entry("child", 0))).alias("n"))
+        .groupBy("n.tree_number")
+        .agg(F.sum("n.children").alias("children"))
     )
     owners = number_owners(descriptors)
     number = F.col("tree_number")

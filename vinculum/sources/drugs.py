@@ -13,6 +13,9 @@ from vinculum.sources import readers
 # Development groups that the approved-only switch removes.
 UNAPPROVED_GROUPS = ("experimental", "investigational")
 
+# Fixed value: how a top-level drug element begins.
+RECORD_START = "<drug type="
+
 # SDF properties that may hold the drug id, in order of preference.
 SDF_ID_PROPERTIES = ("DATABASE_ID", "DRUGBANK_ID", "ID")
 
@@ -100,18 +103,27 @@ def project_records(raw: DataFrame, include_experimental: bool = True, last_prop
     return records.where(~F.arrays_overlap("groups", F.array(*map(F.lit, UNAPPROVED_GROUPS))))
 
 
+def scan_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed ``drug`` elements. Records carry a type attribute, the ones nested in pathways do not."""
+    return readers.read_xml(spark, path, "drug", schemas.DRUG_XML, start=RECORD_START)
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return readers.reject_rows(scan_xml(spark, path))
+
+
 def read_drugs(
     spark: SparkSession, path: str, include_experimental: bool = True, limit: int | None = None
 ) -> DataFrame:
     """Drug records of an XML dump. Nested ``drug`` elements are not records of their own."""
-    raw = readers.good_rows(readers.read_xml(spark, path, "drug", schemas.DRUG_XML))
+    raw = readers.good_rows(scan_xml(spark, path))
     records = project_records(raw, include_experimental)
     return records.orderBy("drugbank_id").limit(limit) if limit else records
 
 
 def read_drugs_basic(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """The 16-field record; here the first InChIKey entry counts, not the last."""
-    raw = readers.good_rows(readers.read_xml(spark, path, "drug", schemas.DRUG_XML))
+    raw = readers.good_rows(scan_xml(spark, path))
     records = project_records(raw, last_property=False)
     if limit:
         records = records.orderBy("drugbank_id").limit(limit)

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vinculum import schemas
+
 CORRUPT = "_corrupt_record"
 
 
@@ -28,25 +30,42 @@ def optional(load):
         raise
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
-    """One row per ``row_tag`` element; malformed ones carry their text in ``_corrupt_record``."""
-    return (
-        spark.read.format("xml")
-        .option("rowTag", row_tag)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .schema(f"{schema}, {CORRUPT} string")
-        .load(path)
-    )
+def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, start: str | None = None) -> DataFrame:
+    """(file, record): one parsed struct per ``row_tag`` element of large XML files.
+
+    Spark's XML source reads a file in one task and gives up on the rest of
+    it at the first malformed element. Here the text is cut at record
+    boundaries, which splits a file over many tasks, and each record is
+    parsed on its own: a malformed one keeps its text in
+    ``record._corrupt_record`` and costs nothing else.
+
+    Records end with the closing tag. Where elements of the same name are
+    nested, give ``start``, the opening of a record that nested elements
+    do not share; text that looks like a record but lacks it is a reject.
+    """
+    opening = rf"<{row_tag}[\s>]"
+    chunks = spark.read.option("lineSep", start or f"</{row_tag}>").text(path)
+    chunks = chunks.select("value", F.col("_metadata.file_path").alias("file"))
+    if start:
+        cut = F.regexp_extract("value", rf"(?s)^(.*</{row_tag}>)", 1)
+        text = F.when(F.col("value").rlike("^[\"']"), F.concat(F.lit(start), cut)).otherwise(F.col("value"))
+        chunks = chunks.where(F.col("value").rlike(rf"^[\"']|{opening}"))
+    else:
+        text = F.concat(F.regexp_extract("value", rf"(?s){opening}.*", 0), F.lit(f"</{row_tag}>"))
+        chunks = chunks.where(F.col("value").rlike(opening))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return chunks.select("file", F.from_xml(text, f"{schema}, {CORRUPT} string", options).alias("record"))
 
 
-def good_rows(raw: DataFrame) -> DataFrame:
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+def good_rows(parsed: DataFrame, *keep: Column) -> DataFrame:
+    """Fields of the well-formed records, after the columns of ``keep``."""
+    return parsed.where(F.col(f"record.{CORRUPT}").isNull()).select(*keep, "record.*").drop(CORRUPT)
 
 
-def reject_rows(raw: DataFrame) -> DataFrame:
-    """The malformed elements with the file they came from."""
-    return raw.where(F.col(CORRUPT).isNotNull()).select(F.col("_metadata.file_path").alias("file"), CORRUPT)
+def reject_rows(parsed: DataFrame) -> DataFrame:
+    """(file, text) of the malformed records."""
+    text = F.col(f"record.{CORRUPT}")
+    return parsed.where(text.isNotNull()).select("file", text.alias("text"))
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
@@ -57,6 +76,18 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return optional(lambda: reader.parquet(path))
 
 
+def valid_associations(rows: DataFrame) -> DataFrame:
+    """Four columns; both ids non-empty and a score present."""
+    keep = (F.col("targetId") != "") & (F.col("diseaseId") != "") & F.col("score").isNotNull()
+    return rows.select("targetId", "diseaseId", "score", "datasourceId").where(keep & ~F.isnan("score"))
+
+
+def read_associations(spark: SparkSession, path: str) -> DataFrame | None:
+    """Target-disease associations of a parquet directory."""
+    rows = read_table(spark, path, schemas.ASSOCIATION)
+    return None if rows is None else valid_associations(rows)
+
+
 def read_id_map(spark: SparkSession, path: str) -> DataFrame | None:
     """Id map CSV with columns ``index`` and ``0`` as (key, value); the last duplicate wins."""
     raw = optional(lambda: spark.read.option("header", True).schema("`index` string, `0` string").csv(path))

@@ -85,7 +85,7 @@ KINDS = {
 
 def available_years(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct years found in the names of the folder's XML files, ascending."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder).select("path")
+    files = spark.read.format("binaryFile").load(f"{folder}/*.xml").select("path")
     years = files.select(C.year_of_file(F.col("path")).alias("year"))
     return years.where(F.col("year").isNotNull()).distinct().orderBy("year")
 
@@ -97,7 +97,7 @@ def read_kind(spark: SparkSession, folder: str, kind: str, year: int | None = No
     raw = readers.optional(lambda: readers.read_xml(spark, path, row_tag, schema))
     if raw is None:
         return None
-    return project(readers.good_rows(raw.withColumn("year", C.year_of_file(F.col("_metadata.file_path")))), ["year"])
+    return project(readers.good_rows(raw, C.year_of_file(F.col("file")).alias("year")), ["year"])
 
 
 def read_years(

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import graph, tables  # noqa: F401
+from workload import dumps, graph, tables, trees  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
