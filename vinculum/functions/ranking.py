@@ -18,15 +18,23 @@ GROUP_LIMIT = 1000
 SALTS = 64
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
-    """One whole row per key: the smallest (or largest) by ``order``.
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
+    """One whole row per key: the smallest (or largest) by the ``order`` columns.
 
-    ``order`` must be a total order for the result to be deterministic.
+    Rows equal in ``order`` are told apart by their other columns, so the
+    result is the same on any partitioning. Map columns cannot be compared
+    and take no part in that.
     """
-    rest = [c for c in df.columns if c not in keys]
-    pick = F.max_by if last else F.min_by
-    kept = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return kept.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    maps = [c for c in rest if "map<" in df.schema[c].dataType.simpleString()]
+    ranked = F.struct(*order, *[c for c in rest if c not in maps])
+    if maps:
+        pick = F.max_by if last else F.min_by
+        kept = pick(F.struct(*order, *rest), ranked)
+    else:
+        kept = (F.max if last else F.min)(ranked)
+    rows = df.groupBy(*keys).agg(kept.alias("_row"))
+    return rows.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def top_k(

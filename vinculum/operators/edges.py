@@ -154,8 +154,8 @@ def union_edges(*builders: DataFrame | None) -> DataFrame:
 
 def dedupe_edges(edges: DataFrame, keys: Sequence[str] = ("source", "target", "type")) -> DataFrame:
     """One edge per (source, target, type): the earliest builder's, then the smallest payload."""
-    payload = [F.col(c) for c in edges.columns if c not in (*keys, "builder")]
-    return first_per_key(edges, list(keys), [F.col("builder"), *payload])
+    payload = [c for c in edges.columns if c not in (*keys, "builder")]
+    return first_per_key(edges, list(keys), ["builder", *payload])
 
 
 def remove_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:

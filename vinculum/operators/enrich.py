@@ -31,7 +31,7 @@ def enrich_vocabulary(
         *[F.col(f).alias(f"_{f}") for f in fields],
         F.split("synonyms", r"\|").alias("_synonyms"),
     ).where(F.col("_id").isNotNull())
-    side = first_per_key(side, ["_id"], [F.col(c) for c in side.columns[1:]])
+    side = first_per_key(side, ["_id"], side.columns[1:])
     merged = F.array_sort(F.array_union(F.coalesce("synonyms", F.array().cast("array<string>")), "_synonyms"))
     updates = {f: C.fill_blank(F.col(f), F.col(f"_{f}")) for f in fields}
     updates["synonyms"] = F.when(F.col("_synonyms").isNotNull(), merged).otherwise(F.col("synonyms"))

@@ -59,8 +59,11 @@ def match_names(queries: DataFrame, nodes: DataFrame, labels: tuple[str, ...]) -
 def _grams(text: Column) -> Column:
     """Distinct substrings of 1 to GRAM characters."""
     starts = F.sequence(F.lit(1), F.length(text))
-    per_length = [F.transform(starts, lambda i, n=n: F.substring(text, i, F.lit(n))) for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(*per_length))
+
+    def of_length(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*map(of_length, range(1, GRAM + 1))))
 
 
 def match_names_by_gram(queries: DataFrame, named: DataFrame) -> DataFrame:
@@ -84,6 +87,7 @@ def _step(frontier: DataFrame, adj: DataFrame) -> DataFrame:
     joined = frontier.join(adj, frontier["node"] == adj["from_id"]).where(~F.array_contains("keys", F.col("key")))
     return joined.select(
         "query_id",
+        "forward",
         F.col("to_id").alias("node"),
         F.col("to_type").alias("node_type"),
         F.concat("nodes", F.array("to_id")).alias("nodes"),
@@ -92,10 +96,11 @@ def _step(frontier: DataFrame, adj: DataFrame) -> DataFrame:
     )
 
 
-def _seeds(matches: DataFrame, edges: DataFrame) -> DataFrame:
-    no_keys = F.array().cast(f"array<{edges.schema['key'].dataType.simpleString()}>")
+def _seeds(matches: DataFrame, adj: DataFrame, start: str) -> DataFrame:
+    no_keys = F.array().cast(f"array<{adj.schema['key'].dataType.simpleString()}>")
     return matches.select(
         "query_id",
+        (F.col("type") == start).alias("forward"),
         F.col("id").alias("node"),
         F.col("type").alias("node_type"),
         F.array("id").alias("nodes"),
@@ -104,6 +109,16 @@ def _seeds(matches: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _complete(trails: DataFrame, starts: DataFrame, start: str, end: str) -> DataFrame:
+    """Trails that reached the other end, start node first, each path once."""
+    wanted = F.when(F.col("forward"), F.lit(end)).otherwise(F.lit(start))
+    reached = trails.where(F.col("node_type") == wanted)
+    again = starts.select("query_id", F.col("id").alias("node"), F.lit(False).alias("forward"))
+    once = reached.join(again, ["query_id", "node", "forward"], "left_anti")
+    turned = [F.when(F.col("forward"), F.col(c)).otherwise(F.reverse(c)).alias(c) for c in ("nodes", "rels", "keys")]
+    return once.select("query_id", *turned)
+
+
 def _ranked(found: DataFrame, limit: int | None) -> DataFrame:
     if limit is None:
         return found
@@ -126,42 +141,39 @@ def search_paths(
     by (hops, nodes, relations): (query_id, rank, hops, nodes, rel_types).
 
     Only trails that begin at a *matching* endpoint are followed: forward
-    from matching start nodes, backward from matching end nodes. A backward
-    trail whose start node matches as well is the forward one again and is
-    dropped, so the union needs no distinct. As shorter paths rank first, a
-    query that has its ``limit`` is not followed any deeper; the ranked rows
-    of each depth (at most ``limit`` per query) are stored to decide that.
+    from matching start nodes, backward from matching end nodes, both in one
+    join per hop. A backward trail whose start node matches as well is the
+    forward one again and is dropped, so the union needs no distinct. As
+    shorter paths rank first, a query that has its ``limit`` is not followed
+    any deeper.
+
+    The trails of each depth are stored. That cuts the lineage, and tells
+    Spark their size: few trails are broadcast to one scan of the edges,
+    many are shuffled to it.
     """
     adj = adjacency(edges)
-    matches = match_names(queries, nodes, (start, end))
-    forward = _seeds(matches.where(F.col("type") == start), adj)
-    backward = _seeds(matches.where(F.col("type") == end), adj)
-    start_matches = matches.where(F.col("type") == start).select("query_id", F.col("id").alias("node"))
+    matches = write_through(match_names(queries, nodes, (start, end)), "matches")
+    starts = matches.where(F.col("type") == start)
+    frontier = _seeds(matches, adj, start)
     levels: list[DataFrame] = []
     for hops in range(1, max_hops + 1):
-        ahead = _step(forward, adj.where(F.col("to_type") == end))
-        behind = _step(backward, adj.where(F.col("to_type") == start)).join(
-            start_matches, ["query_id", "node"], "left_anti"
-        )
-        found = ahead.select("query_id", "nodes", "rels", "keys").unionByName(
-            behind.select("query_id", *[F.reverse(c).alias(c) for c in ("nodes", "rels", "keys")])
-        )
-        level = _ranked(found, limit).select(
+        last = hops == max_hops
+        trails = _step(frontier, adj.where(F.col("to_type").isin(start, end)) if last else adj)
+        if not last:
+            trails = write_through(trails, f"trails{hops}")
+        level = _ranked(_complete(trails, starts, start, end), limit).select(
             "query_id", F.lit(hops).alias("hops"), "nodes", F.col("rels").alias("rel_types"), "keys"
         )
-        if limit is not None and hops < max_hops:
-            level = write_through(level, f"paths{hops}")
-        levels.append(level)
-        if hops == max_hops:
+        if last or limit is None:
+            levels.append(level)
+            frontier = trails
+            continue
+        levels.append(write_through(level, f"paths{hops}"))
+        counts = reduce(DataFrame.unionByName, levels).groupBy("query_id").agg(F.count("*").alias("n"))
+        served = counts.where(F.col("n") >= limit).select("query_id")
+        if queries.join(served, "query_id", "left_anti").isEmpty():
             break
-        if limit is not None:
-            counts = reduce(DataFrame.unionByName, levels).groupBy("query_id").agg(F.count("*").alias("n"))
-            served = counts.where(F.col("n") >= limit).select("query_id")
-            if queries.join(served, "query_id", "left_anti").isEmpty():
-                break
-            forward = forward.join(served, "query_id", "left_anti")
-            backward = backward.join(served, "query_id", "left_anti")
-        forward, backward = _step(forward, adj), _step(backward, adj)
+        frontier = trails.join(served, "query_id", "left_anti")
     paths = reduce(DataFrame.unionByName, levels)
     if limit is not None:
         order = [F.col("hops"), F.col("nodes"), F.col("rel_types"), F.col("keys")]
@@ -196,11 +208,15 @@ def entity_connections(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     """(entity_id, name, type, relation, connected), one row per incident edge.
 
     An entity without edges keeps one row of nulls. Rows are never
-    collected, so a hub is no harder than any other node.
+    collected, and edges only take part in inner joins, whose hot partitions
+    can be split on both sides, so a hub is no harder than any other node.
     """
     found = nodes.join(ids.select(F.col("entity_id").alias("id")).distinct(), "id", "left_semi").select("id", "name", "type")
     adj = adjacency(edges).select("from_id", "to_id", F.col("rel").alias("relation"))
-    incident = found.join(adj, found["id"] == adj["from_id"], "left").drop("from_id")
+    ends = adj.select(F.col("from_id").alias("id")).distinct()
+    alone = found.join(ends, "id", "left_anti")
+    incident = found.join(adj, found["id"] == adj["from_id"]).drop("from_id")
+    incident = incident.unionByName(alone, allowMissingColumns=True)
     names = nodes.select(F.col("id").alias("_id"), F.col("name").alias("connected"))
     return incident.join(names, incident["to_id"] == names["_id"], "left").select(
         F.col("id").alias("entity_id"), "name", "type", "relation", F.col("to_id").alias("connected_id"), "connected"

@@ -148,7 +148,7 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 def first_per_type(df: DataFrame, type_column: str = "type", order: tuple[str, ...] = ("id",)) -> DataFrame:
     """One verification row per type: the smallest by ``order``."""
-    return first_per_key(df, [type_column], [F.col(c) for c in order])
+    return first_per_key(df, [type_column], list(order))
 
 
 def union_reports(*reports: DataFrame) -> DataFrame:

@@ -144,18 +144,20 @@ def parse_sdf_records(raw: DataFrame) -> DataFrame:
     A property block is ``> <NAME>`` and the lines up to the next blank
     one. The last of equal names wins.
     """
-    header_and_value = r"(?m)^>[^<\n]*<([^>\n]+)>[^\n]*\n((?:[^\n]*\S[^\n]*(?:\n|\z))*)"
-    text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), r"\A\n", "")
-    blocks = raw.select(
-        "*",
-        C.clean_text(F.split_part(text, F.lit("\n"), F.lit(1))).alias("title"),
-        F.transform(F.regexp_extract_all(text, F.lit(header_and_value), F.lit(1)), F.upper).alias("_keys"),
-        F.transform(F.regexp_extract_all(text, F.lit(header_and_value), F.lit(2)), C.strip).alias("_values"),
+    header_and_value = r"(?m)^>[^<\n]*+<([^>\n]++)>[^\n]*+\n((?:[ \t]*+\S[^\n]*+(?:\n|\z))*+)"
+    text = F.regexp_replace(F.replace("value", F.lit("\r\n"), F.lit("\n")), r"\A\n", "")
+    clean = raw.withColumn("_text", text)
+    block = F.struct(
+        C.clean_text(F.split_part("_text", F.lit("\n"), F.lit(1))).alias("title"),
+        F.transform(F.regexp_extract_all("_text", F.lit(header_and_value), F.lit(1)), F.upper).alias("keys"),
+        F.transform(F.regexp_extract_all("_text", F.lit(header_and_value), F.lit(2)), C.strip).alias("values"),
     )
-    from_end = F.reverse("_keys")
-    is_last = lambda e, i: (F.size("_keys") - F.array_position(from_end, e["_keys"])) == i
-    entries = F.filter(F.arrays_zip("_keys", "_values"), is_last)
-    mapped = blocks.withColumn("props", F.map_from_entries(entries)).drop("_keys", "_values")
+    # The explode of one item keeps the filters below from repeating the parsing.
+    blocks = clean.select(*raw.columns, F.explode(F.array(block)).alias("b")).select(*raw.columns, "b.*")
+    from_end = F.reverse("keys")
+    is_last = lambda e, i: (F.size("keys") - F.array_position(from_end, e["keys"])) == i
+    entries = F.filter(F.arrays_zip("keys", "values"), is_last)
+    mapped = blocks.withColumn("props", F.map_from_entries(entries)).drop("keys", "values")
     by_property = [F.nullif(F.try_element_at("props", F.lit(name)), F.lit("")) for name in SDF_ID_PROPERTIES]
     return mapped.withColumn("drug_id", F.coalesce(*by_property, "title")).where(F.col("drug_id").isNotNull())
 
@@ -166,5 +168,5 @@ def read_sdf(spark: SparkSession, path: str) -> DataFrame | None:
     if raw is None:
         return None
     records = parse_sdf_records(raw.select("value", readers.file_order().alias("ord")))
-    latest = first_per_key(records.select("drug_id", "title", "props", "ord"), ["drug_id"], [F.col("ord")], last=True)
+    latest = first_per_key(records.select("drug_id", "title", "props", "ord"), ["drug_id"], ["ord"], last=True)
     return latest.drop("ord")

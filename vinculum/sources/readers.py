@@ -31,13 +31,12 @@ def optional(load):
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, start: str | None = None) -> DataFrame:
-    """(file, record): one parsed struct per ``row_tag`` element of large XML files.
+    """(file, text, record, malformed): one parsed struct per ``row_tag`` element of large XML files.
 
     Spark's XML source reads a file in one task and gives up on the rest of
     it at the first malformed element. Here the text is cut at record
     boundaries, which splits a file over many tasks, and each record is
-    parsed on its own: a malformed one keeps its text in
-    ``record._corrupt_record`` and costs nothing else.
+    parsed on its own: a malformed one is marked and costs nothing else.
 
     Records end with the closing tag. Where elements of the same name are
     nested, give ``start``, the opening of a record that nested elements
@@ -48,24 +47,30 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, start: s
     chunks = chunks.select("value", F.col("_metadata.file_path").alias("file"))
     if start:
         cut = F.regexp_extract("value", rf"(?s)^(.*</{row_tag}>)", 1)
-        text = F.when(F.col("value").rlike("^[\"']"), F.concat(F.lit(start), cut)).otherwise(F.col("value"))
+        lost = ~F.col("value").rlike("^[\"']")
+        text = F.when(lost, F.col("value")).otherwise(F.concat(F.lit(start), cut))
         chunks = chunks.where(F.col("value").rlike(rf"^[\"']|{opening}"))
     else:
+        lost = F.lit(False)
         text = F.concat(F.regexp_extract("value", rf"(?s){opening}.*", 0), F.lit(f"</{row_tag}>"))
         chunks = chunks.where(F.col("value").rlike(opening))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return chunks.select("file", F.from_xml(text, f"{schema}, {CORRUPT} string", options).alias("record"))
+    records = chunks.select("file", text.alias("text"), lost.alias("lost"))
+    # The explode of one item keeps later filters from repeating the parsing.
+    parsed = F.array(F.from_xml("text", f"{schema}, {CORRUPT} string", options))
+    records = records.select("file", "text", "lost", F.explode_outer(parsed).alias("record"))
+    malformed = F.col("lost") | F.col(f"record.{CORRUPT}").isNotNull()
+    return records.select("file", "text", "record", malformed.alias("malformed"))
 
 
 def good_rows(parsed: DataFrame, *keep: Column) -> DataFrame:
     """Fields of the well-formed records, after the columns of ``keep``."""
-    return parsed.where(F.col(f"record.{CORRUPT}").isNull()).select(*keep, "record.*").drop(CORRUPT)
+    return parsed.where(~F.col("malformed")).select(*keep, "record.*").drop(CORRUPT)
 
 
 def reject_rows(parsed: DataFrame) -> DataFrame:
     """(file, text) of the malformed records."""
-    text = F.col(f"record.{CORRUPT}")
-    return parsed.where(text.isNotNull()).select("file", text.alias("text"))
+    return parsed.where("malformed").select("file", "text")
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
@@ -105,12 +110,14 @@ def last_value_per_key(rows: DataFrame) -> DataFrame:
 def read_list_map(spark: SparkSession, path: str) -> DataFrame | None:
     """JSON object of arrays as (key, value) with the first item of each list.
 
-    The format is a single JSON object, so one file is one record.
+    The object is cut behind each list, so its entries are parsed in many
+    tasks; ids hold no closing bracket.
     """
-    raw = optional(lambda: spark.read.option("wholetext", True).text(path))
+    raw = optional(lambda: spark.read.option("lineSep", "]").text(path))
     if raw is None:
         return None
-    entries = raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("key", "items"))
+    entry = F.concat(F.lit("{"), F.regexp_replace("value", r"^[\s,{]+", ""), F.lit("]}"))
+    entries = raw.select(F.explode(F.from_json(entry, "map<string,array<string>>")).alias("key", "items"))
     return entries.select("key", F.try_element_at("items", F.lit(1)).alias("value"))
 
 

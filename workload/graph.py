@@ -246,7 +246,7 @@ SELECT type, source, target FROM edges QUALIFY row_number() OVER (PARTITION BY t
 )
 def first_edge_per_type(spark, sf):
     edges = T.path_edges(spark, sf, "drug_target", "drug_disease", "target_pathway").select("type", "source", "target")
-    return first_per_key(edges, ["type"], [F.col("source"), F.col("target")])
+    return first_per_key(edges, ["type"], ["source", "target"])
 
 
 # --- path search ---
@@ -302,22 +302,22 @@ def both_queries(spark, sf):
 
 @query("path_search_1", path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, 20))
 def path_search_1(spark, sf):
-    return _flat(P.search_paths(both_queries(spark, sf), T.nodes(spark, sf), T.path_edges(spark, sf, *FULL)))
+    return _flat(P.search_paths(both_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL)))
 
 
 @query("path_search_2", path_sql(T.path_edges_sql(*TWO), T.DISEASE_QUERIES_SQL, 20))
 def path_search_2(spark, sf):
-    return _flat(P.search_paths(T.disease_queries(spark, sf), T.nodes(spark, sf), T.path_edges(spark, sf, *TWO)))
+    return _flat(P.search_paths(T.disease_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *TWO)))
 
 
 @query("path_search_3", path_sql(T.path_edges_sql(*THREE), T.DISEASE_QUERIES_SQL, 20))
 def path_search_3(spark, sf):
-    return _flat(P.search_paths(T.disease_queries(spark, sf), T.nodes(spark, sf), T.path_edges(spark, sf, *THREE)))
+    return _flat(P.search_paths(T.disease_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *THREE)))
 
 
 @query("suggestions", path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, 10))
 def suggestions(spark, sf):
-    return _flat(P.suggest(both_queries(spark, sf), T.nodes(spark, sf), T.path_edges(spark, sf, *FULL)))
+    return _flat(P.suggest(both_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL)))
 
 
 INCIDENT_SQL = f"""{T.NODES_SQL}, {T.path_edges_sql(*FULL)},
@@ -334,7 +334,7 @@ FROM nodes n LEFT JOIN adj a ON a.f = n.id LEFT JOIN nodes c ON c.id = a.t WHERE
 def entity_connections(spark, sf):
     nodes = T.nodes(spark, sf)
     ids = nodes.where(F.col("type").isin("Target", "Pathway")).select(F.col("id").alias("entity_id"))
-    return P.entity_connections(ids, nodes, T.path_edges(spark, sf, *FULL))
+    return P.entity_connections(ids, nodes, T.stored_edges(spark, sf, *FULL))
 
 
 @query(
@@ -349,7 +349,7 @@ def entity_details(spark, sf):
     nodes = T.nodes(spark, sf)
     names = T.disease_queries(spark, sf).select(F.col("query").alias("name"))
     ids = nodes.join(names, "name", "left_semi").select(F.col("id").alias("entity_id"))
-    rows = P.entity_details(ids, nodes, T.path_edges(spark, sf, *FULL))
+    rows = P.entity_details(ids, nodes, T.stored_edges(spark, sf, *FULL))
     text = F.transform("connections", lambda c: F.concat_ws(":", F.coalesce(c["relation"], F.lit("")), F.coalesce(c["connected"], F.lit(""))))
     return rows.select(
         "entity_id", "name", "type", "chunk",

@@ -158,7 +158,7 @@ paths AS (SELECT query_id, rank, (SELECT string_agg(n.name, ' -> ' ORDER BY i) F
     f"""WITH {T.NODES_SQL}, {PATHS_SQL} SELECT query_id, rank, names FROM paths""",
 )
 def path_details(spark, sf):
-    rows = plan.graph_leg(both_queries(spark, sf), T.nodes(spark, sf), T.path_edges(spark, sf, *FULL))
+    rows = plan.graph_leg(both_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL))
     names = F.array_join(F.transform("node_details", lambda n: n["name"]), " -> ")
     return rows.select("query_id", "rank", names.alias("names"))
 
@@ -189,7 +189,7 @@ def _results(spark, sf, scored: bool = True):
     corpus = graph_corpus(spark, sf)
     scorer = S.overlap_scorer(S.document_frequencies(corpus)) if scored else None
     return plan.retrieve(
-        requests(spark, sf), T.nodes(spark, sf), T.path_edges(spark, sf, *FULL), corpus, COLLECTIONS, scorer
+        requests(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL), corpus, COLLECTIONS, scorer
     )
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vinculum.session import write_through
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -145,6 +147,11 @@ def path_edges(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     return out
 
 
+def stored_edges(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    """``path_edges`` as a stored table, as the graph build leaves it."""
+    return write_through(path_edges(spark, sf, *kinds), "edges")
+
+
 PATH_EDGE_SQL = {
     "drug_target": "SELECT DISTINCT 'P' || l_partkey AS source, 'S' || l_suppkey AS target, 'TARGETS' AS type, 'Drug' AS source_type, 'Target' AS target_type FROM lineitem",
     "drug_disease": "SELECT DISTINCT 'P' || l_partkey AS source, 'C' || o_custkey AS target, 'INDICATED_FOR' AS type, 'Drug' AS source_type, 'Disease' AS target_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey",

@@ -552,4 +552,4 @@ def corpus_counts(spark, sf):
 )
 def last_event_per_user(spark, sf):
     rows = T.table(spark, sf, "events").select("user_id", "event_type", "event_id")
-    return first_per_key(rows, ["user_id", "event_type"], [F.col("event_id")], last=True)
+    return first_per_key(rows, ["user_id", "event_type"], ["event_id"], last=True)
