@@ -140,14 +140,19 @@ def pathway_edges(targets: DataFrame, *target_maps: DataFrame | None) -> DataFra
 
 
 def union_edges(*builders: DataFrame | None) -> DataFrame:
-    """All builders under one wide schema; ``builder`` numbers them in the order given."""
+    """All builders under one schema; ``builder`` numbers them in the order given.
+
+    The schema has the columns at least one builder has, so rows stay as
+    narrow as they can be through the dedupe.
+    """
+    present = [(i, b) for i, b in enumerate(builders) if b is not None]
+    used = {c: t for c, t in EDGE_COLUMNS.items() if any(c in b.columns for _, b in present)}
     parts = [
         b.select(
             F.lit(i).alias("builder"),
-            *[F.col(c) if c in b.columns else F.lit(None).cast(t).alias(c) for c, t in EDGE_COLUMNS.items()],
+            *[F.col(c) if c in b.columns else F.lit(None).cast(t).alias(c) for c, t in used.items()],
         )
-        for i, b in enumerate(builders)
-        if b is not None
+        for i, b in present
     ]
     return reduce(DataFrame.unionByName, parts)
 

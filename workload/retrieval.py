@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vinculum.functions.ranking import top_k
 from vinculum.operators import search as S
 from vinculum.plans import retrieval as plan
+from vinculum.session import write_through
 from workload import standin as T
 from workload.graph import BOTH_QUERIES_SQL, FULL, both_queries, path_sql
 from workload.registry import query
@@ -102,13 +103,14 @@ def hits_per_label_limited(spark, sf):
 
 
 def requests(spark, sf):
-    """Customer and part names as requests; part queries have the vector of their part."""
+    """Stored requests: customer and part names; part queries have the vector of their part."""
     part = T.table(spark, sf, "part")
     vectors = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     first = part.groupBy("p_type").agg(F.min("p_partkey").alias("vec_id"))
     with_vector = first.join(vectors, "vec_id", "left").select(F.concat(F.lit("type "), "p_type").alias("query_id"), "vector")
     rows = both_queries(spark, sf).join(with_vector, "query_id", "left")
-    return rows.withColumn("max_results", F.when(F.col("query_id").startswith("type"), 50).otherwise(8))
+    limit = F.when(F.col("query_id").startswith("type"), 50).otherwise(8)
+    return write_through(rows.withColumn("max_results", limit), "requests")
 
 
 def graph_corpus(spark, sf):
