@@ -25,7 +25,7 @@ def year_tables(spark: SparkSession, folder: str, year: int, include_supplementa
 
 
 def all_year_tables(spark: SparkSession, folder: str, include_supplementary: bool = True) -> dict[str, DataFrame]:
-    """Every year in one scan per record kind, with the latest year as the reference."""
+    """Every year in one scan per record kind, with the latest year set apart."""
     tables = read_years(spark, folder, None, include_supplementary)
     descriptors = tables["descriptors"]
     newest = descriptors.agg(F.max("year")).scalar()

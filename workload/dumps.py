@@ -108,6 +108,7 @@ def drug_xml_approved_only(spark, sf):
     f"WITH {DRUGS_SQL} SELECT drugbank_id, name FROM drugs ORDER BY drugbank_id LIMIT 100",
 )
 def drug_xml_limited(spark, sf):
+    """The scan's row limit is what this query checks; the dump holds all parts."""
     return drugs.read_drugs(spark, drug_dump(spark, sf), limit=100).select("drugbank_id", "name")
 
 

@@ -42,6 +42,7 @@ def pathway_disease_inference(spark, sf):
 
 @query("pathway_disease_guarded", _inference_sql(2_900))
 def pathway_disease_guarded(spark, sf):
+    """A guard that keeps some of the targets and drops the others, on the whole tables."""
     return _inference(spark, sf, 2_900)
 
 
@@ -70,6 +71,7 @@ SELECT pathway AS source, disease AS target, 'ASSOCIATED_WITH' AS type, via_targ
 FROM l ORDER BY support DESC, pathway, disease LIMIT 1000""",
 )
 def inferred_edges_capped(spark, sf):
+    """The optional edge cap is what this query checks: the best supported links of all of them."""
     links = _inference(spark, sf, infer.MAX_COMBINATIONS)
     return infer.inferred_edges(links, cap=1000).select("source", "target", "type", "via_target")
 
