@@ -1,6 +1,6 @@
 """All dealt queries, registered by importing their modules."""
 
-from vinculum.llm import quality_rules, secret_scan  # noqa: F401
+from vinculum.llm import pii, quality_rules, secret_scan  # noqa: F401
 from vinculum.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
