@@ -130,5 +130,12 @@ def joined(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def packed(values: list[bytes | None]) -> pa.Array:
-    return pa.array(values, pa.binary())
+def letter_runs(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, document and hash of every run of letters (ASCII ones and bytes above 127)."""
+    data = lower_ascii(t.data)
+    letter = np.zeros(len(data) + 2, bool)
+    letter[1:-1] = ((data >= 97) & (data <= 122)) | (data >= 128)
+    start = np.flatnonzero(letter[1:-1] & ~letter[:-2])
+    end = np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
+    return start, end, np.searchsorted(t.offsets, start, "right") - 1, RangeHash(data)(start, end)
+

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import RangeHash, Texts, lower_ascii, slices, table
+from vinculum.llm.common import RangeHash, Texts, letter_runs, lower_ascii, slices, table
 from vinculum.llm.registry import query
 from vinculum.llm.secret_scan import Span, counted, in_order, span_text
 
@@ -204,16 +204,6 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     return spans
 
 
-def _letter_runs(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, document and hash of every run of letters (ASCII ones and bytes above 127)."""
-    data = lower_ascii(t.data)
-    letter = np.zeros(len(data) + 2, bool)
-    letter[1:-1] = ((data >= 97) & (data <= 122)) | (data >= 128)
-    start = np.flatnonzero(letter[1:-1] & ~letter[:-2])
-    end = np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
-    return start, end, np.searchsorted(t.offsets, start, "right") - 1, RangeHash(data)(start, end)
-
-
 def _hashes(words) -> np.ndarray:
     out = []
     for word in sorted(words):
@@ -228,7 +218,7 @@ def suspects(t: Texts, digit_names: np.ndarray, dot_names: np.ndarray) -> tuple[
     out, dotted = np.zeros(len(t), bool), np.zeros(len(t), bool)
     if not len(t.data):
         return out, dotted
-    start, end, doc, value = _letter_runs(t)
+    start, end, doc, value = letter_runs(t)
     named = np.isin(value, digit_names)
     run = named.copy()
     for k in range(1, LEAST_SPELLED):
