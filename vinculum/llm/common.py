@@ -64,21 +64,22 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data)
 
 
+def _runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of marked bytes; runs end where a text ends."""
+    n = len(inside)
+    padded = np.zeros(n + 2, bool)
+    padded[1:-1] = inside
+    first, last = inside & ~padded[:-2], inside & ~padded[2:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < n)]
+    first[edges] |= inside[edges]
+    last[edges - 1] |= inside[edges - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def word_spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (bytes) and document of every word ``[^\\x20\\x09-\\x0D]+``."""
-    n = len(t.data)
-    if not n:
-        return (np.zeros(0, np.int64),) * 3
-    word = np.ones(n + 2, bool)
-    word[[0, -1]] = False
-    word[1:-1] = (t.data != 32) & ((t.data < 9) | (t.data > 13))
-    first = word[1:-1] & ~word[:-2]
-    last = word[1:-1] & ~word[2:]
-    edges = t.offsets[1:-1]
-    edges = edges[(edges > 0) & (edges < n)]
-    first[edges] |= word[1:-1][edges]
-    last[edges - 1] |= word[1:-1][edges - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    start, end = _runs((t.data != 32) & ((t.data < 9) | (t.data > 13)), t.offsets)
     return start, end, np.searchsorted(t.offsets, start, "right") - 1
 
 
@@ -130,12 +131,12 @@ def joined(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def letter_runs(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, document and hash of every run of letters (ASCII ones and bytes above 127)."""
+def letter_runs(t: Texts, digits: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, document and hash of every run of letters (ASCII ones and bytes above 127), and digits if asked."""
     data = lower_ascii(t.data)
-    letter = np.zeros(len(data) + 2, bool)
-    letter[1:-1] = ((data >= 97) & (data <= 122)) | (data >= 128)
-    start = np.flatnonzero(letter[1:-1] & ~letter[:-2])
-    end = np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
+    letter = ((data >= 97) & (data <= 122)) | (data >= 128)
+    if digits:
+        letter |= (data >= 48) & (data <= 57)
+    start, end = _runs(letter, t.offsets)
     return start, end, np.searchsorted(t.offsets, start, "right") - 1, RangeHash(data)(start, end)
 
