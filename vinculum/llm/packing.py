@@ -23,6 +23,7 @@ their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -43,8 +44,8 @@ MAX_DOCUMENTS = 4096  # documents of a sequence
 MAX_ATTENTION = SEQUENCE * SEQUENCE
 WEIGHTS = (1.0, 0.001, 0.001)  # of tokens, documents and attention cost in the fit
 GROUP_PIECES = 30_000
-WORDS_KEPT = 400_000  # words whose ids a task keeps
-SLICE = 8 << 20
+WORDS_KEPT = 300_000  # words whose ids a task keeps
+ASKED = 4_096  # words given to the tokenizer at once
 
 
 def tokenizer_path() -> str:
@@ -57,6 +58,7 @@ class WordIds:
     """Ids of words, by hash; asks the tokenizer only for words not seen before."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,9 +69,12 @@ class WordIds:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.array([len(ids) for ids in found], np.int64)
-        ids = np.fromiter((i for own in found for i in own), np.uint32, int(size.sum()))
+        parts, sizes = [], []
+        for a in range(0, len(words), ASKED):  # an encoding is far larger than its ids
+            found = [e.ids for e in self.tokenizer.encode_batch(words[a : a + ASKED], add_special_tokens=False)]
+            sizes += [len(ids) for ids in found]
+            parts.append(np.fromiter((i for own in found for i in own), np.uint32))
+        size, ids = np.array(sizes, np.int64), np.concatenate(parts)
         first = len(self.ids) + np.cumsum(size) - size
         order = np.argsort(np.r_[self.hashes, hashes], kind="stable")
         self.hashes, self.first, self.size = (np.r_[old, new][order] for old, new in ((self.hashes, hashes), (self.first, first), (self.size, size)))
@@ -99,7 +104,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         words = WordIds(path)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for t in slices(batch.column(1), SLICE):
+            for t in slices(batch.column(1)):
                 ids, size = words(t)
                 after = np.cumsum(size)
                 for k in range(len(t)):
