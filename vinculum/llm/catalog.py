@@ -1,6 +1,6 @@
 """All dealt queries, registered by importing their modules."""
 
-from vinculum.llm import decontaminate, language_id, packing, pii, quality_classifier, quality_rules, secret_scan, toxicity  # noqa: F401
+from vinculum.llm import decontaminate, jaccard_join, language_id, packing, pii, quality_classifier, quality_rules, secret_scan, toxicity  # noqa: F401
 from vinculum.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
