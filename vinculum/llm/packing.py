@@ -14,8 +14,10 @@ on its own; each group leaves at most a few sequences that are not full. Only pi
 descriptions travel (about 50 bytes), never texts or ids.
 
 Tokenisation works on the distinct words of a batch: the tokenizer drops white space
-and never joins across it, so a text's ids are those of its words in a row. Words it
-has seen are kept in a table of bounded size.
+and never joins across it, so a text's ids are those of its words in a row. It lowers
+case, and a run of punctuation after a letter or digit is a word to it as well, so
+"Word," is asked for as "word" and ",". Words seen before are kept in a table of
+bounded size for the tasks of one worker.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are pieces of
 their own; an empty table gives no rows.
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import RangeHash, Texts, slices, table, word_spans
+from vinculum.llm.common import RangeHash, Texts, lower_ascii, slices, table, word_spans
 from vinculum.llm.registry import query
 from vinculum.session import write_through
 
@@ -44,7 +46,9 @@ MAX_DOCUMENTS = 4096  # documents of a sequence
 MAX_ATTENTION = SEQUENCE * SEQUENCE
 WEIGHTS = (1.0, 0.001, 0.001)  # of tokens, documents and attention cost in the fit
 GROUP_PIECES = 30_000
-WORDS_KEPT = 300_000  # words whose ids a task keeps
+WORDS_KEPT = 1_000_000  # words whose ids a worker keeps
+TRAILING = np.isin(np.arange(256), np.frombuffer(b".,!?;:*#$%&|", np.uint8))
+ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 ASKED = 4_096  # words given to the tokenizer at once
 
 
@@ -71,7 +75,7 @@ class WordIds:
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         parts, sizes = [], []
         for a in range(0, len(words), ASKED):  # an encoding is far larger than its ids
-            found = [e.ids for e in self.tokenizer.encode_batch(words[a : a + ASKED], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + ASKED], add_special_tokens=False)]
             sizes += [len(ids) for ids in found]
             parts.append(np.fromiter((i for own in found for i in own), np.uint32))
         size, ids = np.array(sizes, np.int64), np.concatenate(parts)
@@ -82,14 +86,14 @@ class WordIds:
 
     def __call__(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of the texts in a row, and how many each text has."""
-        start, end, doc = word_spans(t)
-        every, example, inverse = np.unique(RangeHash(t.data)(start, end), return_index=True, return_inverse=True)
+        data, start, end, doc = asked_words(t)
+        every, example, inverse = np.unique(RangeHash(data)(start, end), return_index=True, return_inverse=True)
         if len(self.hashes) + len(every) > WORDS_KEPT:
             self.clear()
         at = np.minimum(np.searchsorted(self.hashes, every), max(len(self.hashes) - 1, 0))
         new = np.flatnonzero(self.hashes[at] != every) if len(self.hashes) else np.arange(len(every))
         if len(new):
-            raw = t.data.tobytes()
+            raw = data.tobytes()
             self.learn(every[new], [raw[start[i] : end[i]].decode() for i in example[new]])
         at = np.searchsorted(self.hashes, every)
         size = self.size[at][inverse]
@@ -97,11 +101,45 @@ class WordIds:
         return self.ids[place], np.bincount(doc, weights=size, minlength=len(t)).astype(np.int64)
 
 
+def asked_words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in lower case, and start, end and text of the strings the tokenizer is asked for.
+
+    A word with a "<" may hold a special token, whose case counts: it stays as it is.
+    """
+    start, end, doc = word_spans(t)
+    if not len(start):
+        return t.data, start, end, doc
+    data = lower_ascii(t.data)
+    marked = np.r_[0, np.cumsum(t.data == ord("<"))]
+    special = np.flatnonzero(marked[end] > marked[start])
+    if len(special):
+        data = data.copy()
+        for a, b in zip(start[special], end[special], strict=True):
+            data[a:b] = t.data[a:b]
+    bare = np.maximum.accumulate(np.where(TRAILING[data], -1, np.arange(len(data))))[end - 1] + 1
+    cut = (bare > start) & (bare < end)
+    cut[cut] = ALNUM[data[bare[cut] - 1]]
+    cut[special] = False
+    tails = np.flatnonzero(cut)
+    stem_end = np.where(cut, bare, end)
+    order = np.argsort(np.r_[np.arange(len(start)) * 2, tails * 2 + 1], kind="stable")
+    return data, np.r_[start, bare[tails]][order], np.r_[stem_end, end[tails]][order], np.r_[doc, doc[tails]][order]
+
+
+_worker: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _worker:
+        _worker[path] = WordIds(path)
+    return _worker[path]
+
+
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
             for t in slices(batch.column(1)):
