@@ -18,6 +18,7 @@ SLICE_BYTES = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 U64 = np.uint64
+FILTER_BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,3 +141,51 @@ def letter_runs(t: Texts, digits: bool = False) -> tuple[np.ndarray, np.ndarray,
     start, end = _runs(letter, t.offsets)
     return start, end, np.searchsorted(t.offsets, start, "right") - 1, RangeHash(data)(start, end)
 
+
+
+def _bit(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(values.astype(np.int64).view(np.uint64)) % U64(bits)).astype(np.int64)
+
+
+def bitmap_of(members: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of fixed size of the hashed values: what reaches the driver does not grow with them.
+
+    Every task marks its own values, pieces of the bitmap are joined by position.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(bits, bool)
+        for batch in batches:
+            marked[_bit(np.asarray(batch.column(0)), bits)] = True
+        words = np.packbits(marked, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
+
+    rows = members.select(F.col(column).cast("bigint")).mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    found = rows.toPandas()
+    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if bits <= FILTER_BITS else out.view(np.uint8)
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if bitmap.dtype == bool:
+        return bitmap[_bit(values, len(bitmap))]
+    at = _bit(values, len(bitmap) * 8)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def may_contain(docs: DataFrame, members: DataFrame, key: str, others: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose key may be among ``members`` (all that are, and a few more), or the other
+    rows: for an exact join after it, so that rows which cannot match are not shuffled. A null key is
+    among the others."""
+    bitmap = bitmap_of(members.where(F.col(key).isNotNull()), key)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(batch.num_columns - 1)
+            found = in_bitmap(bitmap, np.asarray(own.fill_null(0))) & ~np.asarray(own.is_null())
+            yield batch.filter(pa.array(~found if others else found)).select(columns)
+
+    return docs.withColumn("_member", F.col(key).cast("bigint")).mapInArrow(run, docs.schema)

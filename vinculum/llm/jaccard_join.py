@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import RangeHash, Texts, joined, lower_ascii, mix, slices, table, word_spans
+from vinculum.llm.common import RangeHash, Texts, joined, lower_ascii, may_contain, mix, slices, table, word_spans
 from vinculum.llm.components import components
 from vinculum.llm.registry import query
 from vinculum.session import write_through
@@ -38,7 +38,6 @@ from vinculum.session import write_through
 WORDS = 3
 PERCENT = 90
 UNIT_SHINGLES = 2_000_000
-FILTER_BITS = 1 << 23
 FLUSH = 1 << 20  # signatures a task holds before they leave it
 SKIP_RATE = 0.0085  # DivideSkip's weight of a probe against a merge step
 U64 = np.uint64
@@ -191,23 +190,6 @@ def signature_edges(signed: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").unionByName(inside)
 
 
-def may_contain(docs: DataFrame, members: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``docs`` whose key may be among ``members``: a bitmap of fixed size, for an exact join after."""
-    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(bits))
-    words = members.select(place(key).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    bitmap = np.zeros(bits // 64, np.uint64)
-    rows = words.toPandas()
-    bitmap[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    columns = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.asarray(batch.column(batch.num_columns - 1))
-            yield batch.filter(pa.array((bitmap[p >> 6] >> (p & 63).astype(np.uint64) & U64(1)).astype(bool))).select(columns)
-
-    return docs.withColumn("_place", place(key)).mapInArrow(run, docs.schema)
-
-
 class Lists:
     """Inverted lists of some sets; sets are numbered by ascending size."""
 
