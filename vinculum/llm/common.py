@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 U64 = np.uint64
@@ -90,7 +90,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n."""
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, 1 << 20)
         for k, b in enumerate((BASE, BASE_INVERSE)):
             steps = np.full(size, b, np.uint64)
             steps[0] = 1
@@ -189,3 +189,9 @@ def may_contain(docs: DataFrame, members: DataFrame, key: str, others: bool = Fa
             yield batch.filter(pa.array(~found if others else found)).select(columns)
 
     return docs.withColumn("_member", F.col(key).cast("bigint")).mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose key is not among ``members``. Only rows whose key may be are shuffled."""
+    doubtful = may_contain(docs, members, key).join(members.select(key).distinct(), key, "left_anti").select(docs.columns)
+    return may_contain(docs, members, key, others=True).unionByName(doubtful)

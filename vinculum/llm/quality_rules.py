@@ -116,7 +116,7 @@ def bucket_weights(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str,
     Both multinomials are smoothed by one count a bucket. ``trusted_ids`` must be of
     bounded size: it is joined as a broadcast so that texts are not shuffled.
     """
-    marked = docs.join(F.broadcast(trusted_ids.select(F.col(key).alias("_trusted")).distinct()), F.col(key) == F.col("_trusted"), "left")
+    marked = docs.join(F.broadcast(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted")).distinct()), F.col(key) == F.col("_trusted"), "left")
     grams = marked.select(F.col("_trusted").isNotNull().alias("trusted"), words_of(F.col(text)).alias("words")).select(
         "trusted", F.explode(ngram_buckets("words", buckets)).alias("bucket")
     )
@@ -153,9 +153,15 @@ def quality_rules(
     threshold: float = THRESHOLD,
     min_words: int = MIN_WORDS,
     repeat_percent: int = REPEAT_PERCENT,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Base columns, ``base_failed``, ``score`` (null without n-grams or trust) and ``kept`` of each row."""
-    docs = docs.select(key, text)
+    """Key, base columns, ``base_failed``, ``kept`` and the sum of weights of each row.
+
+    Columns named in ``keep`` are returned in front instead of the key.
+    """
+    keep = keep or (key,)
+    docs = docs.select(*(F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    key, text = "_key", "_text"
     weights = as_constant(bucket_weights(docs, trusted_ids, key, text, buckets).first()["weights"])
     limit = round(threshold * UNIT)
     rows = with_counts(docs, text).withColumn("buckets", ngram_buckets("words", buckets))
@@ -167,7 +173,7 @@ def quality_rules(
         }
     )
     return rows.select(
-        key,
+        *(F.col(f"_kept{i}").alias(c) for i, c in enumerate(keep)),
         "n_words",
         "word_chars",
         "n_symbols",

@@ -37,6 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 
+MASK = "<SECRET>"
 WINDOW = 20
 HEX_BITS = 3.0
 MIXED_BITS = 3.6
@@ -134,6 +135,25 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
 
 
+def redact(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
+    """``docs`` with every span of its texts replaced by ``mask``; spans that overlap are one."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value, (base, added) in zip(batch.column(at).to_pylist(), scan(batch.column(at)), strict=True):
+                parts, end = [], 0
+                for _, a, b in in_order(base + added):
+                    if a >= end:
+                        parts += [value[end:a], mask]
+                    end = max(end, b)
+                out.append("".join([*parts, value[end:]]) if parts else value)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def span_text(spans: str, only: str | None = None):
     """kind:start:end of the spans, comma-joined; ``only`` names a boolean field to filter by."""
     kept = F.filter(spans, lambda s: s[only]) if only else F.col(spans)

@@ -40,7 +40,7 @@ from vinculum.session import write_through
 
 MATCH = 50
 GRAM = 20
-BLOCK = 1 << 22  # windows looked at together
+BLOCK = 1 << 20  # windows looked at together
 POSITION_BITS = 28
 FLUSH = 1 << 20  # anchors a task holds before they leave it
 FLUSH_CONTEXTS = 1 << 17
