@@ -172,7 +172,7 @@ def quality_rules(
             "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")),
         }
     )
-    return rows.select(
+    judged = rows.select(
         *(F.col(f"_kept{i}").alias(c) for i, c in enumerate(keep)),
         "n_words",
         "word_chars",
@@ -182,7 +182,11 @@ def quality_rules(
         "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("total") >= limit * F.col("n_grams"), F.lit(True))).alias("kept"),
         F.col("total").alias("llr_total"),
+        F.spark_partition_id().alias("_task"),
     )
+    # A filter on these columns must not move below the projections: it would compute a text's words
+    # anew for each of its n-grams. A column that is not deterministic holds it back.
+    return judged.where("_task >= 0").drop("_task")
 
 
 @query("op1_quality_rules")
