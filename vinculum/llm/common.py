@@ -147,30 +147,36 @@ def _bit(values: np.ndarray, bits: int) -> np.ndarray:
     return (mix(values.astype(np.int64).view(np.uint64)) % U64(bits)).astype(np.int64)
 
 
-def bitmap_of(members: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of fixed size of the hashed values: what reaches the driver does not grow with them.
+def marked(values: np.ndarray, bits: int = FILTER_BITS) -> pa.RecordBatch:
+    """The 64-bit words of a bitmap that the hashed values mark: (at, bits)."""
+    bit = np.unique(_bit(values, bits))
+    word = bit >> 6
+    head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(bit) else np.zeros(0, np.int64)
+    ones = U64(1) << (bit & 63).astype(np.uint64)
+    words = np.bitwise_or.reduceat(ones, head) if len(bit) else ones
+    return pa.RecordBatch.from_arrays([pa.array(word[head]), pa.array(words.view(np.int64))], names=["at", "bits"])
 
-    Every task marks its own values, pieces of the bitmap are joined by position.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.zeros(bits, bool)
-        for batch in batches:
-            marked[_bit(np.asarray(batch.column(0)), bits)] = True
-        words = np.packbits(marked, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "bits"])
+MARKED = "at bigint, bits bigint"
 
-    rows = members.select(F.col(column).cast("bigint")).mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+
+def gathered(words: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The bitmap of all tasks' words, as bytes: what reaches the driver has a fixed size."""
+    found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(bits // 64, np.int64)
-    found = rows.toPandas()
     out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if bits <= FILTER_BITS else out.view(np.uint8)
+    return out.view(np.uint8)
+
+
+def bitmap_of(members: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield marked(np.asarray(batch.column(0)), bits)
+
+    return gathered(members.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint")).mapInArrow(run, MARKED), bits)
 
 
 def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if bitmap.dtype == bool:
-        return bitmap[_bit(values, len(bitmap))]
     at = _bit(values, len(bitmap) * 8)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
@@ -179,7 +185,7 @@ def may_contain(docs: DataFrame, members: DataFrame, key: str, others: bool = Fa
     """Rows of ``docs`` whose key may be among ``members`` (all that are, and a few more), or the other
     rows: for an exact join after it, so that rows which cannot match are not shuffled. A null key is
     among the others."""
-    bitmap = bitmap_of(members.where(F.col(key).isNotNull()), key)
+    bitmap = bitmap_of(members, key)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

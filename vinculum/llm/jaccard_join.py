@@ -254,9 +254,9 @@ def link_units(units: DataFrame, words: int, percent: int) -> DataFrame:
             docs.append(doc + t.row)
             values.append(mix(value ^ mix(unit[rows][doc].view(np.uint64))))  # units have lists of their own
         doc, value = np.concatenate(docs), np.concatenate(values)
-        own[1:] &= (unit[1:] != unit[:-1]) | (h1[1:] != h1[:-1]) | ~own[:-1]
-        n = np.bincount(doc, minlength=len(h1))
         order = np.flatnonzero(own)
+        order = order[np.r_[True, (unit[order][1:] != unit[order][:-1]) | (h1[order][1:] != h1[order][:-1])][: len(order)]]  # rows that repeat
+        n = np.bincount(doc, minlength=len(h1))
         order = order[np.lexsort((h1[order], n[order]))]
         rank = np.full(len(h1), -1)
         rank[order] = np.arange(len(order))
@@ -346,6 +346,34 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     )
 
 
-@query("op4_ngram_jaccard_join")
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, coalesce(list_distinct(CASE
+      WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END), []) AS s
+  FROM words
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id, coalesce(l.n, 0) AS n_links
+FROM sets s
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a) l USING (doc_id)
+"""
+
+
+@query("op4_ngram_jaccard_join", SQL)
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))

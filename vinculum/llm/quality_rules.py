@@ -189,6 +189,52 @@ def quality_rules(
     return judged.where("_task >= 0").drop("_task")
 
 
-@query("op1_quality_rules")
+# DuckDB has no crc32: bytes are folded with the table of the polynomial 0xEDB88320, made by its rule.
+SQL = rf"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))
+), texts AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') AS run
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS c FROM windows) WHERE c > 1)
+  GROUP BY doc_id
+), grams AS (
+  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM texts
+), hashed AS (
+  SELECT gram, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen(gram), 2), lambda i: ('0x' || substr(hex(encode(gram)), i, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {BUCKETS} AS bucket
+  FROM (SELECT DISTINCT gram FROM grams), crc
+), trusted AS (
+  SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL
+), counts AS (
+  SELECT bucket, count(*) AS raw, count(trusted.doc_id) AS own
+  FROM grams JOIN hashed USING (gram) LEFT JOIN trusted USING (doc_id) GROUP BY bucket
+), weights AS (
+  SELECT bucket, CAST(round(ln(((own + 1) / (sum(own) OVER () + {BUCKETS})) / ((raw + 1) / (sum(raw) OVER () + {BUCKETS}))) * {UNIT}) AS BIGINT) AS weight FROM counts
+), scores AS (
+  SELECT doc_id, count(*) AS n, sum(weight) AS total FROM grams JOIN hashed USING (gram) JOIN weights USING (bucket) GROUP BY doc_id
+), base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+  FROM texts LEFT JOIN repeated USING (doc_id)
+)
+SELECT *, NOT base_failed AND coalesce(total >= {round(THRESHOLD * UNIT)} * n, true) AS kept, CAST(coalesce(total, 0) AS BIGINT) AS llr_total FROM (
+  SELECT base.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, n, total FROM base LEFT JOIN scores USING (doc_id))
+"""
+SQL = f"SELECT * EXCLUDE (n, total) FROM ({SQL})"
+
+
+@query("op1_quality_rules", SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted_sample(table(spark, sf_dir, "labels")))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import RangeHash, Texts, bitmap_of, in_bitmap, may_contain, mix, slices, table
+from vinculum.llm.common import MARKED, RangeHash, Texts, bitmap_of, gathered, in_bitmap, marked, may_contain, mix, slices, table
 from vinculum.llm.registry import query
 from vinculum.session import write_through
 
@@ -43,7 +43,7 @@ GRAM = 20
 BLOCK = 1 << 20  # windows looked at together
 POSITION_BITS = 28
 FLUSH = 1 << 20  # anchors a task holds before they leave it
-FLUSH_CONTEXTS = 1 << 17
+FLUSH_CONTEXTS = 1 << 16
 COUNT_BITS = 1 << 26
 SHARDS = 4
 U64 = np.uint64
@@ -80,8 +80,15 @@ def _parted(value: np.ndarray, parts: int) -> np.ndarray:
     return np.r_[0, cuts, len(value)]
 
 
-def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """``value``: 47-bit names of anchors found in two documents or more, counted over all of ``docs`` (doc, text)."""
+def leading(batches: Iterator[pa.RecordBatch], leaders: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, row, text) that may stand for their text: whole copies need no search."""
+    for batch in batches:
+        yield batch.filter(pa.array(in_bitmap(leaders, np.asarray(batch.column(1)))))
+
+
+def shared_anchors(docs: DataFrame, leaders: np.ndarray, parts: int) -> np.ndarray:
+    """Bitmap of the 47-bit names of anchors found in two documents or more, counted over all of
+    ``docs`` (doc, row, text)."""
 
     def leave(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         value, doc = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -96,9 +103,9 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
+        for batch in leading(batches, leaders):
             ids = np.asarray(batch.column(0))
-            for t in slices(batch.column(1)):
+            for t in slices(batch.column(2)):
                 held += [(value, ids[t.row + text]) for text, _, _, value in anchors(t)]
                 if sum(len(v) for v, _ in held) >= FLUSH:
                     yield leave(held)
@@ -117,9 +124,9 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
             head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
             size = np.diff(np.r_[head, len(value)])
             keep = (size > 1) | (np.maximum.reduceat(flag, head) > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(value[head[keep]].astype(np.int64))], names=["value"])
+            yield marked(value[head[keep]], COUNT_BITS)
 
-    return docs.mapInArrow(run, "part int, names binary").repartition(parts, "part").mapInArrow(count, "value bigint")
+    return gathered(docs.mapInArrow(run, "part int, names binary").repartition(parts, "part").mapInArrow(count, MARKED), COUNT_BITS)
 
 
 CONTEXTS = pa.schema([("part", pa.int32()), ("rows", pa.binary()), ("ctx", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
@@ -127,16 +134,16 @@ WIDTH = 2 * MATCH - GRAM  # bytes of the longest context
 ROW = np.dtype([("anchor", "<u8"), ("ctx", "<i8"), ("least", "<i8"), ("most", "<i8"), ("size", "u1"), ("bytes", "u1", WIDTH)])
 
 
-def contexts(docs: DataFrame, bitmap: np.ndarray, parts: int) -> DataFrame:
+def contexts(docs: DataFrame, leaders: np.ndarray, shared: np.ndarray, parts: int) -> DataFrame:
     """Two kinds of rows: distinct contexts of a task by part (part, rows), and every occurrence
     (ctx, row, doc, at). ``docs``: doc, row, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in leading(batches, leaders):
             ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for t in slices(batch.column(2)):
                 for text, first, last, value in anchors(t):
-                    own = np.flatnonzero(in_bitmap(bitmap, (value >> U64(17)).astype(np.int64)))
+                    own = np.flatnonzero(in_bitmap(shared, (value >> U64(17)).astype(np.int64)))
                     for a in range(0, len(own), FLUSH_CONTEXTS):
                         k = own[a : a + FLUSH_CONTEXTS]
                         yield from leave(t, text[k], first[k], last[k], value[k], ids, rows)
@@ -318,9 +325,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     first = names.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     leaders = names.join(first, "sha")
     copies = leaders.where("doc > least").select("row").distinct()
-    searched = may_contain(known, leaders.where("doc = least").select("row"), "row").select("doc", "row", "text")
-    bitmap = bitmap_of(shared_anchors(searched.select("doc", "text"), parts), "value", COUNT_BITS)
-    found = write_through(contexts(searched, bitmap, parts), "contexts")
+    own = bitmap_of(leaders.where("doc = least"), "row")
+    found = write_through(contexts(known, own, shared_anchors(known, own, parts), parts), "contexts")
     ids = write_through(interval_ids(found, parts), "interval-ids")
     seen = found.where("ctx is not null").select("ctx", "row", "doc", "at")
     removed = seen.join(ids, "ctx").where("least < doc").select("row", (F.col("at") + F.col("a")).alias("from"), (F.col("at") + F.col("b") + MATCH).alias("to"))
