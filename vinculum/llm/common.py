@@ -7,7 +7,7 @@ and never a Python loop. ``slices`` bounds what is held at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 U64 = np.uint64
 FILTER_BITS = 1 << 23
+COUNT_BITS = 1 << 26
+FLUSH = 1 << 20  # hashes a task holds before they leave it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -201,3 +203,60 @@ def without(docs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose key is not among ``members``. Only rows whose key may be are shuffled."""
     doubtful = may_contain(docs, members, key).join(members.select(key).distinct(), key, "left_anti").select(docs.columns)
     return may_contain(docs, members, key, others=True).unionByName(doubtful)
+
+
+def name_of(value: np.ndarray) -> np.ndarray:
+    return (value >> U64(17)).astype(np.int64)
+
+
+def hash_parts(value: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds of each part of the hash range in sorted hashes."""
+    cuts = np.searchsorted(value, (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64))
+    return np.r_[0, cuts, len(value)]
+
+
+def repeated(docs: DataFrame, named: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], parts: int, bits: int = COUNT_BITS) -> np.ndarray:
+    """Bitmap of the names of hashes that two owners or more have, counted over all of ``docs``.
+
+    ``named`` gives (hash, owner) of a batch. Each distinct hash leaves a task once, as six bytes: its
+    first 47 bits and whether the task saw several owners.
+    """
+
+    def leave(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        value, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(value)
+        value, owner = value[order], owner[order]
+        head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(value)])
+        several = np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head) if len(head) else np.zeros(0, bool)
+        value = value[head]
+        bounds = hash_parts(value, parts)
+        name = ((value >> U64(17)) << U64(1) | several.astype(np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        own = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([name[bounds[p] : bounds[p + 1]].tobytes() for p in own], pa.binary())], names=["part", "names"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for value, owner in named(batch):
+                held.append((value, owner))
+                size += len(value)
+                if size >= FLUSH:
+                    yield leave(held)
+                    held, size = [], 0
+        if held:
+            yield leave(held)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
+        if blobs:
+            raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+            name = np.zeros((len(raw), 8), np.uint8)
+            name[:, :6] = raw
+            name = np.sort(name.view("<u8").ravel())
+            value, flag = name >> U64(1), name & U64(1)
+            head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+            size = np.diff(np.r_[head, len(value)])
+            yield marked(value[head[(size > 1) | (np.maximum.reduceat(flag, head) > 0)]], bits)
+
+    return gathered(docs.mapInArrow(run, "part int, names binary").repartition(parts, "part").mapInArrow(count, MARKED), bits)

@@ -6,8 +6,10 @@
    2n/19 shingles (for a similarity of 0.9), so of d + 1 segments of the hash range one
    holds the same shingles in both. Each set emits a signature per segment, and sets
    that share one are put in one group. Passages that many texts share do not group
-   them, as a segment must agree whole. Signatures repeated in a task leave it once,
-   tied to the smallest id there, so a hot one costs a row per task.
+   them, as a segment must agree whole. Signatures that several sets have are counted
+   first and kept as a bitmap of fixed size, so the others (nearly all) do not travel;
+   one that a task has several times leaves it once, tied to the smallest set there,
+   so a hot one costs a row per task.
 3. T-occurrence: in a group, shingles have inverted lists of the sets that hold them. A
    set needs T occurrences of a partner on its lists. DivideSkip puts its L longest
    lists aside, merges the short ones, keeps partners found T - L times, and looks
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import RangeHash, Texts, joined, lower_ascii, may_contain, mix, slices, table, word_spans
+from vinculum.llm.common import FLUSH, RangeHash, Texts, hash_parts, in_bitmap, joined, lower_ascii, may_contain, mix, name_of, repeated, slices, table, word_spans
 from vinculum.llm.components import components
 from vinculum.llm.registry import query
 from vinculum.session import write_through
@@ -38,7 +40,6 @@ from vinculum.session import write_through
 WORDS = 3
 PERCENT = 90
 UNIT_SHINGLES = 2_000_000
-FLUSH = 1 << 20  # signatures a task holds before they leave it
 SKIP_RATE = 0.0085  # DivideSkip's weight of a probe against a merge step
 U64 = np.uint64
 
@@ -130,50 +131,62 @@ def _least_per_signature(sign: np.ndarray, key: np.ndarray) -> tuple[np.ndarray,
     return sign[head], key[head], edges[:, 0], edges[:, 1]
 
 
-SIGNED = "key bigint, n bigint, h1 bigint, h2 bigint, part int, signs binary, keys binary, other bigint"
+SIGNED = pa.schema([("part", pa.int32()), ("signs", pa.binary()), ("keys", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def signed_sets(docs: DataFrame, key: str, text: str, words: int, percent: int, parts: int) -> DataFrame:
-    """One table of three kinds of rows, stored by the caller: sets (key, n, h1, h2), signatures by
-    part of the hash range (part, signs, keys), and edges found inside a task (key, other). Keys of
-    signatures and edges are the sets' h1."""
-
-    def leave(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        sign, own, a, b = _least_per_signature(np.concatenate([s for s, _ in held]), np.concatenate([k for _, k in held]))
-        cuts = np.searchsorted(sign, (np.arange(parts + 1, dtype=np.float64) / parts * 2.0**64)[1:-1].astype(np.uint64))
-        bounds = np.r_[0, cuts, len(sign)]
-        rows = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
-        signs = [sign[bounds[p] : bounds[p + 1]].tobytes() for p in rows] + [None] * len(a)
-        keys = [own[bounds[p] : bounds[p + 1]].tobytes() for p in rows] + [None] * len(a)
-        return _signed(len(signs), key=[None] * len(rows) + a.tolist(), part=rows + [None] * len(a), signs=signs, keys=keys, other=[None] * len(rows) + b.tolist())
+def set_table(docs: DataFrame, words: int) -> DataFrame:
+    """(key, n, h1, h2) of every row of ``docs`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            known = ~np.asarray(batch.column(0).is_null())
             for t in slices(batch.column(1)):
                 doc, value = shingle_sets(t, words)
-                own = slice(t.row, t.row + len(t))
-                n = np.bincount(doc, minlength=len(t))
                 h1, h2 = set_hashes(doc, value, len(t))
-                yield _signed(len(t), key=batch.column(0).slice(t.row, len(t)).cast(pa.int64()), n=n, h1=h1, h2=h2)
-                at, sign = signatures(doc, value, np.where(known[own], n, 0), percent)
-                held.append((sign, h1[at]))
-                if sum(len(s) for s, _ in held) >= FLUSH:
-                    yield leave(held)
-                    held = []
-        if held:
-            yield leave(held)
+                n = np.bincount(doc, minlength=len(t))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.row, len(t)), pa.array(n), pa.array(h1), pa.array(h2)], names=["key", "n", "h1", "h2"])
+
+    return docs.mapInArrow(run, "key bigint, n bigint, h1 bigint, h2 bigint")
 
-    return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
 
+def signed_sets(batch: pa.RecordBatch, words: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(signature, h1 of its set) of the rows of a batch (key, text) that have a key."""
+    known = ~np.asarray(batch.column(0).is_null())
+    for t in slices(batch.column(1)):
+        doc, value = shingle_sets(t, words)
+        h1, _ = set_hashes(doc, value, len(t))
+        n = np.bincount(doc, minlength=len(t))
+        at, sign = signatures(doc, value, np.where(known[t.row : t.row + len(t)], n, 0), percent)
+        yield sign, h1[at]
 
-SIGNED_TYPES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("part", pa.int32()), ("signs", pa.binary()), ("keys", pa.binary()), ("other", pa.int64())])
 
+def signature_table(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """Signatures that several sets have, by part of the hash range (part, signs, keys), and edges
+    found inside a task (a, b). Keys are the sets' h1."""
+    shared = repeated(docs, lambda batch: signed_sets(batch, words, percent), parts)
+
+    def leave(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sign, own, a, b = _least_per_signature(np.concatenate([s for s, _ in held]), np.concatenate([k for _, k in held]))
+        bounds = hash_parts(sign, parts)
+        rows = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
+        blobs = [pa.array([x[bounds[p] : bounds[p + 1]].tobytes() for p in rows], pa.binary()) for x in (sign, own)]
+        none = pa.nulls(len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *blobs, none, none], schema=SIGNED)
+        no_part = [pa.nulls(len(a), f.type) for f in SIGNED][:3]
+        yield pa.RecordBatch.from_arrays([*no_part, pa.array(a), pa.array(b)], schema=SIGNED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for sign, own in signed_sets(batch, words, percent):
+                keep = in_bitmap(shared, name_of(sign))
+                held.append((sign[keep], own[keep]))
+                if sum(len(s) for s, _ in held) >= FLUSH:
+                    yield from leave(held)
+                    held = []
+        if held:
+            yield from leave(held)
 
-def _signed(rows: int, **columns) -> pa.RecordBatch:
-    arrays = [pa.array(columns[f.name], f.type) if f.name in columns and not isinstance(columns[f.name], pa.Array) else columns.get(f.name, pa.nulls(rows, f.type)) for f in SIGNED_TYPES]
-    return pa.RecordBatch.from_arrays(arrays, schema=SIGNED_TYPES)
+    return docs.mapInArrow(run, "part int, signs binary, keys binary, a bigint, b bigint")
 
 
 def signature_edges(signed: DataFrame, parts: int) -> DataFrame:
@@ -186,7 +199,7 @@ def signature_edges(signed: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     dealt = signed.where("part is not null").select("part", "signs", "keys").repartition(parts, "part")
-    inside = signed.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b"))
+    inside = signed.where("part is null").select("a", "b")
     return dealt.mapInArrow(run, "a bigint, b bigint").unionByName(inside)
 
 
@@ -308,8 +321,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(key, text)
-    signed = write_through(signed_sets(docs, key, text, words, percent, parts), "signed")
-    sets = signed.where("h1 is not null").select("key", "n", "h1", "h2")
+    keyed = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    sets = write_through(set_table(keyed, words), "sets")
+    signed = write_through(signature_table(keyed, words, percent, parts), "signed")
     # A class is named by h1; its smallest id stands for it.
     filled = sets.where("n > 0 and key is not null")
     classes = write_through(filled.groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")

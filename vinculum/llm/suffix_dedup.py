@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import MARKED, RangeHash, Texts, bitmap_of, gathered, in_bitmap, marked, may_contain, mix, slices, table
+from vinculum.llm.common import RangeHash, Texts, bitmap_of, hash_parts, in_bitmap, may_contain, mix, name_of, repeated, slices, table
 from vinculum.llm.registry import query
 from vinculum.session import write_through
 
@@ -42,9 +42,7 @@ MATCH = 50
 GRAM = 20
 BLOCK = 1 << 20  # windows looked at together
 POSITION_BITS = 28
-FLUSH = 1 << 20  # anchors a task holds before they leave it
 FLUSH_CONTEXTS = 1 << 16
-COUNT_BITS = 1 << 26
 SHARDS = 4
 U64 = np.uint64
 NEVER = np.iinfo(np.int64).max
@@ -74,61 +72,12 @@ def anchors(t: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             yield text[head], start[head], start[np.r_[head[1:], len(at)] - 1], value[at[head]]
 
 
-def _parted(value: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of each part of the hash range in sorted values."""
-    cuts = np.searchsorted(value, (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64))
-    return np.r_[0, cuts, len(value)]
-
-
 def leading(batches: Iterator[pa.RecordBatch], leaders: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (doc, row, text) that may stand for their text: whole copies need no search."""
     for batch in batches:
         yield batch.filter(pa.array(in_bitmap(leaders, np.asarray(batch.column(1)))))
 
 
-def shared_anchors(docs: DataFrame, leaders: np.ndarray, parts: int) -> np.ndarray:
-    """Bitmap of the 47-bit names of anchors found in two documents or more, counted over all of
-    ``docs`` (doc, row, text)."""
-
-    def leave(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        value, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(value)
-        value, doc = value[order], doc[order]
-        head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
-        bounds = _parted(value[head], parts)
-        name = ((value[head] >> U64(17)) << U64(1) | several.astype(np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        own = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([name[bounds[p] : bounds[p + 1]].tobytes() for p in own], pa.binary())], names=["part", "names"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in leading(batches, leaders):
-            ids = np.asarray(batch.column(0))
-            for t in slices(batch.column(2)):
-                held += [(value, ids[t.row + text]) for text, _, _, value in anchors(t)]
-                if sum(len(v) for v, _ in held) >= FLUSH:
-                    yield leave(held)
-                    held = []
-        if held:
-            yield leave(held)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-        if blobs:
-            raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-            name = np.zeros((len(raw), 8), np.uint8)
-            name[:, :6] = raw
-            name = np.sort(name.view("<u8").ravel())
-            value, flag = name >> U64(1), name & U64(1)
-            head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-            size = np.diff(np.r_[head, len(value)])
-            keep = (size > 1) | (np.maximum.reduceat(flag, head) > 0)
-            yield marked(value[head[keep]], COUNT_BITS)
-
-    return gathered(docs.mapInArrow(run, "part int, names binary").repartition(parts, "part").mapInArrow(count, MARKED), COUNT_BITS)
-
-
 CONTEXTS = pa.schema([("part", pa.int32()), ("rows", pa.binary()), ("ctx", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 WIDTH = 2 * MATCH - GRAM  # bytes of the longest context
 ROW = np.dtype([("anchor", "<u8"), ("ctx", "<i8"), ("least", "<i8"), ("most", "<i8"), ("size", "u1"), ("bytes", "u1", WIDTH)])
@@ -143,7 +92,7 @@ def contexts(docs: DataFrame, leaders: np.ndarray, shared: np.ndarray, parts: in
             ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for t in slices(batch.column(2)):
                 for text, first, last, value in anchors(t):
-                    own = np.flatnonzero(in_bitmap(shared, (value >> U64(17)).astype(np.int64)))
+                    own = np.flatnonzero(in_bitmap(shared, name_of(value)))
                     for a in range(0, len(own), FLUSH_CONTEXTS):
                         k = own[a : a + FLUSH_CONTEXTS]
                         yield from leave(t, text[k], first[k], last[k], value[k], ids, rows)
@@ -164,7 +113,7 @@ def contexts(docs: DataFrame, leaders: np.ndarray, shared: np.ndarray, parts: in
         taken = padded[start[head][:, None] + np.arange(WIDTH)]
         taken[np.arange(WIDTH) >= size[head][:, None]] = 0
         out["bytes"] = taken
-        bounds = _parted(out["anchor"], parts)
+        bounds = hash_parts(out["anchor"], parts)
         own = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
         blobs = [out[bounds[p] : bounds[p + 1]].tobytes() for p in own]
         none = pa.nulls(len(own), pa.int64())
@@ -326,7 +275,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     leaders = names.join(first, "sha")
     copies = leaders.where("doc > least").select("row").distinct()
     own = bitmap_of(leaders.where("doc = least"), "row")
-    found = write_through(contexts(known, own, shared_anchors(known, own, parts), parts), "contexts")
+
+    def named(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in leading(iter([batch]), own):
+            ids = np.asarray(part.column(0))
+            for t in slices(part.column(2)):
+                for doc, _, _, value in anchors(t):
+                    yield value, ids[t.row + doc]
+
+    found = write_through(contexts(known, own, repeated(known, named, parts), parts), "contexts")
     ids = write_through(interval_ids(found, parts), "interval-ids")
     seen = found.where("ctx is not null").select("ctx", "row", "doc", "at")
     removed = seen.join(ids, "ctx").where("least < doc").select("row", (F.col("at") + F.col("a")).alias("from"), (F.col("at") + F.col("b") + MATCH).alias("to"))
