@@ -20,7 +20,7 @@ BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 U64 = np.uint64
 FILTER_BITS = 1 << 23
 COUNT_BITS = 1 << 26
-FLUSH = 1 << 20  # hashes a task holds before they leave it
+FLUSH = 1 << 19  # hashes a task holds before they leave it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

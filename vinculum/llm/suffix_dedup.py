@@ -40,9 +40,9 @@ from vinculum.session import write_through
 
 MATCH = 50
 GRAM = 20
-BLOCK = 1 << 20  # windows looked at together
+BLOCK = 1 << 18  # windows looked at together
 POSITION_BITS = 28
-FLUSH_CONTEXTS = 1 << 16
+FLUSH_CONTEXTS = 1 << 14
 SHARDS = 4
 U64 = np.uint64
 NEVER = np.iinfo(np.int64).max
@@ -208,10 +208,10 @@ def interval_ids(found: DataFrame, parts: int) -> DataFrame:
         single = np.flatnonzero(~several & ~one_doc)
         out = [(rows["ctx"][single], np.zeros(len(single), np.int64), rows["size"][single].astype(np.int64) - MATCH, rows["least"][single])]
         mixed = np.flatnonzero(several)
-        # Whole anchors at a time, about 4 MB of contexts.
+        # Whole anchors at a time, about a megabyte of contexts.
         at = 0
         while at < len(mixed):
-            stop = min(at + 60_000, len(mixed))
+            stop = min(at + 20_000, len(mixed))
             while stop < len(mixed) and group[mixed[stop]] == group[mixed[stop - 1]]:
                 stop += 1
             own = mixed[at:stop]
