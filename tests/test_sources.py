@@ -70,11 +70,17 @@ def test_only_the_malformed_record_is_rejected(spark, drug_xml):
     assert len(rejects) == 1 and "DB3" in rejects[0]["text"] and "DB4" not in rejects[0]["text"]
 
 
-def test_records_without_the_opening_are_rejects_not_lost(spark, tmp_path):
+def test_records_are_found_by_element_not_by_attributes(spark, tmp_path):
     path = tmp_path / "plain.xml"
-    path.write_text("<drugbank><drug><drugbank-id>X</drugbank-id></drug></drugbank>")
-    assert drugs.read_drugs(spark, str(path)).count() == 0
-    assert drugs.read_rejects(spark, str(path)).count() == 1
+    nested = "<pathways><pathway><drugs><drug><drugbank-id>N</drugbank-id></drug></drugs></pathway></pathways>"
+    path.write_text(
+        f"<drugbank><drug><drugbank-id>X</drugbank-id>{nested}</drug><drug><drugbank-id>Y</drugbank-id></drug>"
+        f'<drug created="1" type="b"><drugbank-id>Z</drugbank-id>{nested}</drug><drug\ntype="b"><drugbank-id>V</drugbank-id></drug>'
+        f"<drug updated='2'><drugbank-id>W</drugbank-id></drugbank>"
+    )
+    assert sorted(by_id(drugs.read_drugs(spark, str(path)))) == ["V", "X", "Y", "Z"]
+    rejects = drugs.read_rejects(spark, str(path)).collect()
+    assert len(rejects) == 1 and "W" in rejects[0]["text"]
 
 
 def test_large_file_is_split(spark, tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vinculum.operators.edges import edge
 from vinculum.operators.harmonise import harmonise
 
-# Fixed value: a target with more (disease, pathway) combinations is left out.
+# Fixed value: with the guard on, a target with more (disease, pathway) combinations is left out.
 MAX_COMBINATIONS = 10_000
 
 # A target without a combination guard is split into this many parts.
@@ -35,7 +35,7 @@ def shared_targets(diseases: DataFrame, pathways: DataFrame) -> DataFrame:
 
 
 def link_pathways(
-    diseases: DataFrame, pathways: DataFrame, max_combinations: int | None = MAX_COMBINATIONS
+    diseases: DataFrame, pathways: DataFrame, max_combinations: int | None = None
 ) -> DataFrame:
     """(pathway, disease, support, via_target) over distinct pairs.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vinculum.functions import columns as C
+from vinculum.functions.ranking import first_per_key
 from vinculum.operators.harmonise import harmonise
 
 def _empty() -> Column:
@@ -180,6 +181,8 @@ def merge_counts(nodes: DataFrame) -> DataFrame:
 
 
 def drop_identical(nodes: DataFrame) -> DataFrame:
-    """Drop rows equal in all columns compared as text."""
+    """Drop rows equal in all columns compared as text; a row with a value stays before one with null."""
     text = {f"_t_{f.name}": C.as_text(F.col(f.name), f.dataType.simpleString()) for f in nodes.schema.fields}
-    return nodes.withColumns(text).dropDuplicates(list(text)).drop(*text)
+    values = F.transform(F.array(*(F.col(c).isNull() for c in nodes.columns)), lambda empty: empty.cast("int"))
+    ranked = nodes.withColumns(text).withColumn("_nulls", values)
+    return first_per_key(ranked, list(text), ["_nulls"]).select(*nodes.columns)

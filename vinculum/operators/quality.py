@@ -17,7 +17,6 @@ REPORTED = ("drugbank_id", "name", "inchikey", "indication", "targets", "synonym
 REPORTED_BASIC = ("drugbank_id", "name", "inchikey")
 
 EXAMPLE_LENGTH = 100
-TOP_KEYS = 30
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -130,15 +129,16 @@ def table_profile(df: DataFrame) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(rows))
 
 
-def key_profile(df: DataFrame, json_column: str, top: int = TOP_KEYS) -> DataFrame:
-    """(key, n, example_low, example_high) of the keys of JSON objects, most frequent first."""
+def key_profile(df: DataFrame, json_column: str, top: int | None = None) -> DataFrame:
+    """(key, n, example_low, example_high) of the keys of JSON objects, most frequent first; ``top`` cuts the list."""
     entries = df.select(F.explode(F.from_json(json_column, "map<string,string>")).alias("key", "value"))
     counts = entries.groupBy("key").agg(
         F.count("*").alias("n"),
         C.preview(F.min("value"), EXAMPLE_LENGTH).alias("example_low"),
         C.preview(F.max("value"), EXAMPLE_LENGTH).alias("example_high"),
     )
-    return counts.orderBy(F.desc("n"), "key").limit(top)
+    ordered = counts.orderBy(F.desc("n"), "key")
+    return ordered if top is None else ordered.limit(top)
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

@@ -61,7 +61,7 @@ def build_nodes(s: Sources) -> DataFrame:
     )
 
 
-def build_edges(s: Sources, max_combinations: int | None = infer.MAX_COMBINATIONS, same_target_ids: bool = True) -> DataFrame:
+def build_edges(s: Sources, max_combinations: int | None = None, same_target_ids: bool = True) -> DataFrame:
     """Edges of all builders, not yet deduped.
 
     ``same_target_ids`` gives edge targets the UniProt fallback target nodes

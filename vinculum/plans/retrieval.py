@@ -19,11 +19,15 @@ def retrieve(
     corpus: DataFrame | None = None,
     collections: tuple[str, ...] = ("Drug", "Disease", "Target", "Pathway"),
     scorer=None,
+    limit: int = S.MAX_RESULTS,
 ) -> DataFrame:
-    """Ranked results of both legs. A leg without its tables contributes nothing."""
-    paths = graph_leg(requests, nodes, edges) if nodes is not None and edges is not None else None
-    hits = S.hybrid_search(requests, corpus, collections) if corpus is not None else None
-    return S.merge_and_rerank(requests, paths, hits, scorer)
+    """Ranked results of both legs. A leg without its tables contributes nothing.
+
+    Each leg and the merge keep ``limit`` results, by default as many as a request may ask for.
+    """
+    paths = graph_leg(requests, nodes, edges, limit) if nodes is not None and edges is not None else None
+    hits = S.hybrid_search(requests, corpus, collections, limit) if corpus is not None else None
+    return S.merge_and_rerank(requests, paths, hits, scorer, limit)
 
 
 def answer_tables(results: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:

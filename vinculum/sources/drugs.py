@@ -13,9 +13,6 @@ from vinculum.sources import readers
 # Development groups that the approved-only switch removes.
 UNAPPROVED_GROUPS = ("experimental", "investigational")
 
-# Fixed value: how a top-level drug element begins.
-RECORD_START = "<drug type="
-
 # SDF properties that may hold the drug id, in order of preference.
 SDF_ID_PROPERTIES = ("DATABASE_ID", "DRUGBANK_ID", "ID")
 
@@ -104,8 +101,8 @@ def project_records(raw: DataFrame, include_experimental: bool = True, last_prop
 
 
 def scan_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed ``drug`` elements. Records carry a type attribute, the ones nested in pathways do not."""
-    return readers.read_xml(spark, path, "drug", schemas.DRUG_XML, start=RECORD_START)
+    """Parsed ``drug`` elements, whatever their attributes; those listed in a pathway are not records."""
+    return readers.read_xml(spark, path, "drug", schemas.DRUG_XML, nested_in="pathways")
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:

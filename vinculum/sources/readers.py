@@ -30,7 +30,7 @@ def optional(load):
         raise
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, start: str | None = None) -> DataFrame:
+def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, nested_in: str | None = None) -> DataFrame:
     """(file, text, record, malformed): one parsed struct per ``row_tag`` element of large XML files.
 
     Spark's XML source reads a file in one task and gives up on the rest of
@@ -38,24 +38,29 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, start: s
     boundaries, which splits a file over many tasks, and each record is
     parsed on its own: a malformed one is marked and costs nothing else.
 
-    Records end with the closing tag. Where elements of the same name are
-    nested, give ``start``, the opening of a record that nested elements
-    do not share; text that looks like a record but lacks it is a reject.
+    Where elements of the same name are nested inside ``nested_in``, text is
+    cut at openings with attributes, and whole records are then found in
+    each piece, with attributes in any order or none; what is left of a
+    piece and still looks like a record is a reject.
     """
     opening = rf"<{row_tag}[\s>]"
-    chunks = spark.read.option("lineSep", start or f"</{row_tag}>").text(path)
-    chunks = chunks.select("value", F.col("_metadata.file_path").alias("file"))
-    if start:
-        cut = F.regexp_extract("value", rf"(?s)^(.*</{row_tag}>)", 1)
-        lost = ~F.col("value").rlike("^[\"']")
-        text = F.when(lost, F.col("value")).otherwise(F.concat(F.lit(start), cut))
-        chunks = chunks.where(F.col("value").rlike(rf"^[\"']|{opening}"))
+    cut = f"<{row_tag} " if nested_in else f"</{row_tag}>"
+    chunks = spark.read.option("lineSep", cut).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    if nested_in:
+        # An element holds text, whole ``nested_in`` elements, and tags that are not its own; no step backs up.
+        inside = rf"[^<]*+(?:(?:<{nested_in}>(?s:.*?)</{nested_in}>|<(?!/?{row_tag}[\s>]))[^<]*+)*+"
+        whole = rf"{opening}{inside}</{row_tag}>"
+        piece = F.when(F.col("value").rlike(r"^\s*(<|$)"), F.col("value")).otherwise(F.concat(F.lit(cut), F.col("value")))
+        pieces = chunks.select("file", piece.alias("piece")).where(F.col("piece").rlike(opening))
+        left = F.regexp_extract(F.regexp_replace("piece", whole, ""), rf"(?s){opening}.*", 0)
+        rest = F.when(left != "", F.array(F.struct(left.alias("text"), F.lit(True).alias("lost"))))
+        found = F.transform(F.regexp_extract_all("piece", F.lit(f"({whole})"), F.lit(1)), lambda t: F.struct(t.alias("text"), F.lit(False).alias("lost")))
+        records = pieces.select("file", F.explode(F.concat(found, F.coalesce(rest, F.expr("cast(array() as array<struct<text:string,lost:boolean>>)")))).alias("r"))
+        records = records.select("file", "r.text", "r.lost")
     else:
-        lost = F.lit(False)
         text = F.concat(F.regexp_extract("value", rf"(?s){opening}.*", 0), F.lit(f"</{row_tag}>"))
-        chunks = chunks.where(F.col("value").rlike(opening))
+        records = chunks.where(F.col("value").rlike(opening)).select("file", text.alias("text"), F.lit(False).alias("lost"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    records = chunks.select("file", text.alias("text"), lost.alias("lost"))
     # The explode of one item keeps later filters from repeating the parsing.
     parsed = F.array(F.from_xml("text", f"{schema}, {CORRUPT} string", options))
     records = records.select("file", "text", "lost", F.explode_outer(parsed).alias("record"))
@@ -73,9 +78,12 @@ def reject_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where("malformed").select("file", "text")
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """A parquet table or directory; ``None`` when absent, unreadable files skipped."""
-    reader = spark.read.option("ignoreCorruptFiles", "true")
+def read_table(spark: SparkSession, path: str, schema: str | None = None, skip_corrupt: bool = False) -> DataFrame | None:
+    """A parquet table or directory; ``None`` when absent.
+
+    A file that cannot be read fails the job, unless ``skip_corrupt`` asks for the rest without it.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
     if schema:
         reader = reader.schema(schema)
     return optional(lambda: reader.parquet(path))
@@ -87,9 +95,9 @@ def valid_associations(rows: DataFrame) -> DataFrame:
     return rows.select("targetId", "diseaseId", "score", "datasourceId").where(keep & ~F.isnan("score"))
 
 
-def read_associations(spark: SparkSession, path: str) -> DataFrame | None:
+def read_associations(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame | None:
     """Target-disease associations of a parquet directory."""
-    rows = read_table(spark, path, schemas.ASSOCIATION)
+    rows = read_table(spark, path, schemas.ASSOCIATION, skip_corrupt)
     return None if rows is None else valid_associations(rows)
 
 
@@ -108,7 +116,7 @@ def last_value_per_key(rows: DataFrame) -> DataFrame:
 
 
 def read_list_map(spark: SparkSession, path: str) -> DataFrame | None:
-    """JSON object of arrays as (key, value) with the first item of each list.
+    """JSON object of arrays as (key, value) with the first item of each list; the last of equal keys wins.
 
     The object is cut behind each list, so its entries are parsed in many
     tasks; ids hold no closing bracket.
@@ -116,9 +124,12 @@ def read_list_map(spark: SparkSession, path: str) -> DataFrame | None:
     raw = optional(lambda: spark.read.option("lineSep", "]").text(path))
     if raw is None:
         return None
+    raw = raw.select("value", file_order().alias("ord"))
     entry = F.concat(F.lit("{"), F.regexp_replace("value", r"^[\s,{]+", ""), F.lit("]}"))
-    entries = raw.select(F.explode(F.from_json(entry, "map<string,array<string>>")).alias("key", "items"))
-    return entries.select("key", F.try_element_at("items", F.lit(1)).alias("value"))
+    entries = raw.select("ord", F.explode(F.from_json(entry, "map<string,array<string>>")).alias("key", "items"))
+    # A struct, since max_by leaves out values that are null.
+    first = F.struct(F.try_element_at("items", F.lit(1)).alias("value"))
+    return entries.groupBy("key").agg(F.max_by(first, "ord").alias("v")).select("key", "v.value")
 
 
 def read_graph_csv(spark: SparkSession, path: str) -> DataFrame:

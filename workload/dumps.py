@@ -88,6 +88,21 @@ def drug_xml_roundtrip(spark, sf):
     return _record(drugs.read_drugs(spark, drug_dump(spark, sf)))
 
 
+ATTRIBUTE_ORDER = """SELECT 'DB' || p_partkey AS drugbank_id, p_name AS name FROM part"""
+
+
+@query("drug_xml_any_attributes", ATTRIBUTE_ORDER)
+def drug_xml_any_attributes(spark, sf):
+    """Records whose type is not the first attribute, or that have none; a nested element is no record."""
+    part = T.table(spark, sf, "part")
+    head = F.element_at(F.array(F.lit("<drug>"), F.lit('<drug created="2005" type="x">'), F.lit("<drug type='x'>")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    nested = F.lit("<pathways><pathway><drugs><drug><drugbank-id>N</drugbank-id><name>n</name></drug><drug><name>m</name></drug></drugs></pathway></pathways>")
+    record = F.concat(head, F.lit('<drugbank-id primary="true">DB'), "p_partkey", F.lit("</drugbank-id><name>"), "p_name", F.lit("</name>"), nested, F.lit("</drug>"))
+    path = scratch_dir(spark, "drug-xml-attributes")
+    part.select(record.alias("value")).write.text(path)
+    return drugs.read_drugs(spark, path).select("drugbank_id", "name")
+
+
 @query("drug_xml_basic", f"WITH {DRUGS_SQL} " + RECORD_SQL.format(key="'first'"))
 def drug_xml_basic(spark, sf):
     return _record(drugs.read_drugs_basic(spark, drug_dump(spark, sf)))

@@ -63,6 +63,17 @@ def shared_target_counts(spark, sf):
     return infer.shared_targets(infer.target_disease_pairs(T.associations(spark, sf)), T.target_pathways(spark, sf))
 
 
+@query(
+    "inferred_edges",
+    f"""
+WITH l AS ({_inference_sql(None)})
+SELECT pathway AS source, disease AS target, 'ASSOCIATED_WITH' AS type, via_target FROM l""",
+)
+def inferred_edges(spark, sf):
+    """All inferred edges: no guard, no cap."""
+    return infer.inferred_edges(_inference(spark, sf, None)).select("source", "target", "type", "via_target")
+
+
 @query(
     "inferred_edges_capped",
     f"""

@@ -121,6 +121,8 @@ def graph_corpus(spark, sf):
     return nodes.withColumn("text", text).join(vectors, "doc_id", "left")
 
 
+RESULTS = 50  # as many results as a request may ask for
+
 GRAPH_SQL = f"""{T.NODES_SQL},
 raw AS ({BOTH_QUERIES_SQL}),
 q AS (SELECT raw.query_id, raw.query, e.embedding::DOUBLE[] AS v,
@@ -131,14 +133,14 @@ d AS (SELECT id AS doc_id, type AS collection, name, description, name || ' ' ||
   FROM nodes LEFT JOIN embeddings ON 'P' || vec_id = id)"""
 
 HITS_SQL = f"""{GRAPH_SQL}, {KEYWORD_SQL}, {VECTOR_SQL}, {FUSED_SQL},
-top AS ({_ranked("fused", "score")}),
+top AS ({_ranked("fused", "score", -(-RESULTS // len(COLLECTIONS)))}),
 hits AS (SELECT t.query_id, row_number() OVER (PARTITION BY t.query_id ORDER BY score DESC, t.collection, t.doc_id)::INTEGER AS rank,
     t.doc_id AS id, d.name, d.description, score, t.collection, 'vector' AS source
-  FROM top t JOIN d ON d.doc_id = t.doc_id AND d.collection = t.collection QUALIFY rank <= 20)"""
+  FROM top t JOIN d ON d.doc_id = t.doc_id AND d.collection = t.collection QUALIFY rank <= {RESULTS})"""
 
 
 def _hits(spark, sf):
-    return S.hybrid_search(requests(spark, sf), graph_corpus(spark, sf), COLLECTIONS)
+    return S.hybrid_search(requests(spark, sf), graph_corpus(spark, sf), COLLECTIONS, RESULTS)
 
 
 @query(
@@ -149,7 +151,7 @@ def hybrid_search(spark, sf):
     return _hits(spark, sf).withColumn("score", S.quantised(F.col("score")))
 
 
-PATHS_SQL = f"""p0 AS ({path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, 20)}),
+PATHS_SQL = f"""p0 AS ({path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, RESULTS)}),
 paths AS (SELECT query_id, rank, (SELECT string_agg(n.name, ' -> ' ORDER BY i) FROM (
     SELECT unnest(string_split(nodes, '>')) AS nid, unnest(generate_series(1, len(string_split(nodes, '>')))) AS i) s
     JOIN nodes n ON n.id = s.nid) AS names FROM p0)"""
@@ -160,7 +162,7 @@ paths AS (SELECT query_id, rank, (SELECT string_agg(n.name, ' -> ' ORDER BY i) F
     f"""WITH {T.NODES_SQL}, {PATHS_SQL} SELECT query_id, rank, names FROM paths""",
 )
 def path_details(spark, sf):
-    rows = plan.graph_leg(both_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL))
+    rows = plan.graph_leg(both_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL), RESULTS)
     names = F.array_join(F.transform("node_details", lambda n: n["name"]), " -> ")
     return rows.select("query_id", "rank", names.alias("names"))
 
@@ -179,12 +181,12 @@ ct AS (SELECT c.query_id, leg, pos, t.term, list_contains({SPLIT.format("c.text"
 scored AS (SELECT ct.query_id, leg, pos, {CUT.format("sum(CASE WHEN hit THEN coalesce(idf, 1) ELSE 0 END) / sum(coalesce(idf, 1))")} AS rerank_score
   FROM ct LEFT JOIN idf ON idf.term = ct.term GROUP BY ct.query_id, leg, pos),
 results AS (SELECT c.*, rerank_score, row_number() OVER (PARTITION BY c.query_id ORDER BY rerank_score DESC, c.leg, c.pos)::INTEGER AS rank
-  FROM cand c JOIN scored s ON s.query_id = c.query_id AND s.leg = c.leg AND s.pos = c.pos QUALIFY rank <= 20)"""
+  FROM cand c JOIN scored s ON s.query_id = c.query_id AND s.leg = c.leg AND s.pos = c.pos QUALIFY rank <= {RESULTS})"""
 
 FALLBACK_SQL = f"""{CANDIDATES_SQL},
 results AS (SELECT *, CASE WHEN leg = 0 THEN coalesce(score, 0.5) ELSE 0.8 END::DOUBLE AS rerank_score,
     row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN leg = 0 THEN coalesce(score, 0.5) ELSE 0.8 END DESC, leg, pos)::INTEGER AS rank
-  FROM cand QUALIFY rank <= 20)"""
+  FROM cand QUALIFY rank <= {RESULTS})"""
 
 
 def _results(spark, sf, scored: bool = True):

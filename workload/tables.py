@@ -370,7 +370,7 @@ def nested_profile(spark, sf):
     "key_profile",
     """WITH k AS (SELECT unnest(json_keys(props)) AS key, props FROM events)
 SELECT key, count(*) AS n, min(json_extract_string(props, key)) AS example_low, max(json_extract_string(props, key)) AS example_high
-FROM k GROUP BY key ORDER BY n DESC, key LIMIT 30""",
+FROM k GROUP BY key""",
 )
 def key_profile(spark, sf):
     return quality.key_profile(T.table(spark, sf, "events"), "props")
@@ -531,8 +531,7 @@ def optimized_edges(spark, sf):
 
 @query(
     "corpus_build",
-    f"""WITH {T.NODES_SQL} SELECT type AS collection, id, name, description FROM nodes WHERE type IN ('Drug', 'Disease', 'Target')
-QUALIFY row_number() OVER (PARTITION BY type ORDER BY id) <= 10000""",
+    f"""WITH {T.NODES_SQL} SELECT type AS collection, id, name, description FROM nodes WHERE type IN ('Drug', 'Disease', 'Target')""",
 )
 def corpus_build(spark, sf):
     return search.build_corpus(T.nodes(spark, sf))
