@@ -164,9 +164,9 @@ MARKED = "at bigint, bits bigint"
 
 def gathered(words: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """The bitmap of all tasks' words, as bytes: what reaches the driver has a fixed size."""
-    found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint8)
 
 

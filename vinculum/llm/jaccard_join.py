@@ -5,8 +5,9 @@
 2. Grouping, exact: two sets of at most n shingles that link differ in at most d =
    2n/19 shingles (for a similarity of 0.9), so of d + 1 segments of the hash range one
    holds the same shingles in both. Each set emits a signature per segment, and sets
-   that share one are put in one group. Passages that many texts share do not group
-   them, as a segment must agree whole. Signatures that several sets have are counted
+   that share one are put in one group. Passages that many texts share hardly group
+   them, as a segment must agree whole. Sets too many of whose shingles are in no other
+   set can have no partner and take no part. Shingles and signatures that several sets have are counted
    first and kept as a bitmap of fixed size, so the others (nearly all) do not travel;
    one that a task has several times leaves it once, tied to the smallest set there,
    so a hot one costs a row per task.
@@ -101,7 +102,8 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: np.ndarray, percent: int)
         most = ends[np.minimum(kind + 1, len(ends) - 1)] - 1
         most = np.where(kind + 1 < len(ends), most, n[rows])
         # |x ^ y| <= (|x| + |y|) (100 - percent) / (100 + percent)
-        segments = 2 * most * (100 - percent) // (100 + percent) + 1
+        apart = 2 * most * (100 - percent) // (100 + percent)
+        segments = apart + 1 + (apart + 3) // 3  # some to spare, as some stay empty
         first = np.cumsum(segments) - segments
         place = np.full(len(n), -1)
         place[rows] = np.arange(len(rows))
@@ -114,9 +116,14 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: np.ndarray, percent: int)
         if len(cell):
             sums[cell[heads]] = np.add.reduceat(mix(value[mine]), heads)
         owner = np.repeat(np.arange(len(rows)), segments)
+        # Of two sets that link, one segment agrees that is not empty, if either has more such segments
+        # than the sets can differ in. A set with fewer signs its empty segments too.
+        filled = np.zeros(len(sums), bool)
+        filled[cell[heads]] = True
+        signed = filled | (np.bincount(owner[filled], minlength=len(rows)) <= apart)[owner]
         tag = kind[owner].astype(np.uint64) << U64(40) | (np.arange(len(sums)) - first[owner]).astype(np.uint64)
-        docs.append(rows[owner])
-        signs.append(mix(sums + mix(tag + U64(1))))
+        docs.append(rows[owner[signed]])
+        signs.append(mix(sums + mix(tag + U64(1)))[signed])
     return np.concatenate(docs), np.concatenate(signs)
 
 
@@ -148,21 +155,35 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, n bigint, h1 bigint, h2 bigint")
 
 
-def signed_sets(batch: pa.RecordBatch, words: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(signature, h1 of its set) of the rows of a batch (key, text) that have a key."""
+def set_shingles(batch: pa.RecordBatch, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(shingle, h1 of its set) of the rows of a batch (key, text) that have a key."""
+    known = ~np.asarray(batch.column(0).is_null())
+    for t in slices(batch.column(1)):
+        doc, value = shingle_sets(t, words)
+        own = known[t.row + doc]
+        yield value[own], set_hashes(doc, value, len(t))[0][doc[own]]
+
+
+def signed_sets(batch: pa.RecordBatch, words: int, percent: int, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(signature, h1 of its set) of the rows of a batch (key, text) that have a key and can have a
+    partner: at least ``percent`` of a set's shingles must be ``common``, in other sets too."""
     known = ~np.asarray(batch.column(0).is_null())
     for t in slices(batch.column(1)):
         doc, value = shingle_sets(t, words)
         h1, _ = set_hashes(doc, value, len(t))
         n = np.bincount(doc, minlength=len(t))
-        at, sign = signatures(doc, value, np.where(known[t.row : t.row + len(t)], n, 0), percent)
+        shared = np.bincount(doc[in_bitmap(common, name_of(value))], minlength=len(t))
+        able = known[t.row : t.row + len(t)] & (100 * shared >= percent * n)
+        kept = able[doc]
+        at, sign = signatures(doc[kept], value[kept], np.where(able, n, 0), percent)
         yield sign, h1[at]
 
 
 def signature_table(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """Signatures that several sets have, by part of the hash range (part, signs, keys), and edges
     found inside a task (a, b). Keys are the sets' h1."""
-    shared = repeated(docs, lambda batch: signed_sets(batch, words, percent), parts)
+    common = repeated(docs, lambda batch: set_shingles(batch, words), parts)
+    shared = repeated(docs, lambda batch: signed_sets(batch, words, percent, common), parts)
 
     def leave(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         sign, own, a, b = _least_per_signature(np.concatenate([s for s, _ in held]), np.concatenate([k for _, k in held]))
@@ -177,7 +198,7 @@ def signature_table(docs: DataFrame, words: int, percent: int, parts: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for sign, own in signed_sets(batch, words, percent):
+            for sign, own in signed_sets(batch, words, percent, common):
                 keep = in_bitmap(shared, name_of(sign))
                 held.append((sign[keep], own[keep]))
                 if sum(len(s) for s, _ in held) >= FLUSH:
