@@ -123,6 +123,8 @@ def test_merge_matches_the_fold_on_any_partitioning(spark):
 def test_identical_rows_are_dropped(spark):
     df = spark.createDataFrame([("a", ["x"], None), ("a", ["x"], ""), ("a", ["y"], None)], "id string, l array<string>, s string")
     assert N.drop_identical(df).count() == 2
+    same_text = spark.createDataFrame([("a", None), ("a", ""), ("b", None)], "id string, name string")
+    assert {tuple(r) for r in N.drop_identical(same_text).collect()} == {("a", ""), ("b", None)}
 
 
 # --- ranking ---

@@ -204,3 +204,12 @@ def test_profiles_and_sample(spark):
     assert rows(quality.sample_rows(numbers, 20, "id")) != rows(quality.sample_rows(numbers, 20, "id", seed=7))
     empty = quality.missing_report(df.limit(0), ("s", "l")).collect()
     assert {(r["field"], r["missing"], r["percentage"]) for r in empty} == {("s", 0, None), ("l", 0, None)}
+
+
+def test_fewer_results_than_collections(spark):
+    docs = spark.createDataFrame(
+        [(c, f"{c}{i}", "n", "d", f"word{i} shared", [float(i), 1.0]) for c in ("A", "B", "C", "D") for i in range(3)],
+        "collection string, doc_id string, name string, description string, text string, vector array<float>",
+    )
+    queries = spark.createDataFrame([("q", "shared word1", [1.0, 1.0])], "query_id string, query string, vector array<float>")
+    assert S.hybrid_search(queries, docs, ("A", "B", "C", "D"), limit=3).count() == 3

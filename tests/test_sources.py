@@ -233,12 +233,14 @@ def test_associations_and_maps(spark, tmp_path):
     rows = [("T1", "D1", 0.5, "x"), ("", "D1", 0.5, "x"), ("T1", None, 0.5, "x"), ("T1", "D2", None, "x"), ("T1", "D3", float("nan"), "x")]
     spark.createDataFrame(rows, "targetId string, diseaseId string, score double, datasourceId string").write.parquet(good)
     (tmp_path / "assoc" / "broken.parquet").write_text("not parquet")
-    assert [tuple(r) for r in readers.read_associations(spark, good).collect()] == [("T1", "D1", 0.5, "x")]
+    assert [tuple(r) for r in readers.read_associations(spark, good, skip_corrupt=True).collect()] == [("T1", "D1", 0.5, "x")]
+    with pytest.raises(Exception, match="not a Parquet file|PARQUET|CANNOT_READ|FAILED_READ"):
+        readers.read_associations(spark, good).collect()
     assert readers.read_associations(spark, str(tmp_path / "absent")) is None
     (tmp_path / "m.csv").write_text("index,0\nA,1\nB,2\nA,3\n")
     assert {tuple(r) for r in readers.read_id_map(spark, str(tmp_path / "m.csv")).collect()} == {("A", "3"), ("B", "2")}
-    (tmp_path / "u.json").write_text('{\n"E1": ["U1", "U2"],\n"E2": []}')
-    assert {tuple(r) for r in readers.read_list_map(spark, str(tmp_path / "u.json")).collect()} == {("E1", "U1"), ("E2", None)}
+    (tmp_path / "u.json").write_text('{\n"E1": ["U1", "U2"],\n"E2": [],\n"E1": ["U9"]}')
+    assert {tuple(r) for r in readers.read_list_map(spark, str(tmp_path / "u.json")).collect()} == {("E1", "U9"), ("E2", None)}  # the last of equal keys
 
 
 def test_sinks(spark, tmp_path):
