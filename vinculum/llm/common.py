@@ -219,8 +219,10 @@ def repeated(docs: DataFrame, named: Callable[[pa.RecordBatch], Iterator[tuple[n
     """Bitmap of the names of hashes that two owners or more have, counted over all of ``docs``.
 
     ``named`` gives (hash, owner) of a batch. Each distinct hash leaves a task once, as six bytes: its
-    first 47 bits and whether the task saw several owners.
+    first 47 bits and whether the task saw several owners. The hash range is cut finer than ``parts``,
+    so that a part is small in memory when it is counted.
     """
+    parts = 4 * parts
 
     def leave(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         value, owner = (np.concatenate(x) for x in zip(*held, strict=True))

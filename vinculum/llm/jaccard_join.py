@@ -40,7 +40,8 @@ from vinculum.session import write_through
 
 WORDS = 3
 PERCENT = 90
-UNIT_SHINGLES = 2_000_000
+UNIT_SHINGLES = 1_000_000
+UNIT_ROWS = 256  # rows looked at before a task decides whether it holds enough
 SKIP_RATE = 0.0085  # DivideSkip's weight of a probe against a merge step
 U64 = np.uint64
 
@@ -317,15 +318,18 @@ def link_units(units: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
+        size = 0
+        for batch in (b.slice(k, UNIT_ROWS) for b in batches for k in range(0, len(b), UNIT_ROWS)):
             held.append(batch)
-            if sum(b.column(4).nbytes for b in held) < 6 * UNIT_SHINGLES:
+            size += batch.column(4).nbytes
+            if size < 6 * UNIT_SHINGLES:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks()
             last = np.searchsorted(np.asarray(whole.column(0)), np.asarray(whole.column(0))[-1])  # its last unit may go on
             if last:
                 yield solve(*_columns(whole.slice(0, last)))
             held = whole.slice(last).combine_chunks().to_batches()
+            size = sum(b.column(4).nbytes for b in held)
         if held:
             yield solve(*_columns(pa.Table.from_batches(held)))
 
