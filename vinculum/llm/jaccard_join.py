@@ -7,10 +7,10 @@
    holds the same shingles in both. Each set emits a signature per segment, and sets
    that share one are put in one group. Passages that many texts share hardly group
    them, as a segment must agree whole. Sets too many of whose shingles are in no other
-   set can have no partner and take no part. Shingles and signatures that several sets have are counted
-   first and kept as a bitmap of fixed size, so the others (nearly all) do not travel;
-   one that a task has several times leaves it once, tied to the smallest set there,
-   so a hot one costs a row per task.
+   set can have no partner and take no part. Shingles and signatures that several sets
+   have are counted first and kept as bitmaps of fixed size, so the others (nearly all)
+   do not travel; a signature that a task has several times leaves it once, tied to the
+   smallest set there, so a hot one costs a row per task.
 3. T-occurrence: in a group, shingles have inverted lists of the sets that hold them. A
    set needs T occurrences of a partner on its lists. DivideSkip puts its L longest
    lists aside, merges the short ones, keeps partners found T - L times, and looks
