@@ -52,6 +52,28 @@ def test_jaccard_join(docs, rows, none, n, percent, unit):
         assert jaccard_join.jaccard_join(none, words=n, percent=percent).count() == 0
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_sets_that_link_share_a_signature_whatever_is_in_their_slices(percent):
+    rng = np.random.default_rng(4)
+    for small in range(percent // (100 - percent), 400):
+        large = small * 100 // percent
+        value = np.sort(rng.integers(0, 1 << 63, large).astype(np.uint64) << np.uint64(1))
+        part = np.delete(value, rng.choice(large, large - small, replace=False))
+        found = [set(jaccard_join.signatures(np.zeros(len(v), np.int64), v, np.array([len(v)]), percent)[1].tolist()) for v in (part, value)]
+        assert found[0] & found[1], (small, large)
+
+
+def test_links_across_a_size_class_and_slices(spark):
+    rows = []
+    for i, (small, large) in enumerate([(30, 33), (95, 100)]):
+        own = [f"w{i}x{k}" for k in range(large + 2)]
+        rows += [(2 * i + 1, " ".join(own[: small + 2])), (2 * i + 2, " ".join(own))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(4, "doc_id")
+    assert table.rdd.glom().map(len).collect() == [1, 1, 1, 1]
+    out = [tuple(r) for r in jaccard_join.jaccard_join(table).collect()]
+    assert sorted(out) == sorted(linked(rows, 3, 90)) and all(r[3] == 1 for r in out)
+
+
 def test_divide_skip_finds_every_partner():
     rng = np.random.default_rng(3)
     base = rng.choice(10_000, 120, replace=False)

@@ -83,11 +83,13 @@ def set_hashes(doc: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
 
 
 def size_classes(limit: int, percent: int) -> np.ndarray:
-    """Lower ends of size classes, from the smallest size that can link to another set."""
+    """Lower ends of size classes, from the smallest size that can link to another set to two ends above
+    ``limit``: a longer list begins with a shorter one, and every class that a set may sign has its upper end."""
     ends = [percent // (100 - percent)]
+    above = lambda end: max(end + 3, end * 5 // 4)
     while ends[-1] <= limit:
-        ends.append(max(ends[-1] + 3, ends[-1] * 5 // 4))
-    return np.array(ends)
+        ends.append(above(ends[-1]))
+    return np.array([*ends, above(ends[-1])])
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +99,9 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: np.ndarray, percent: int)
     own = np.searchsorted(ends, n, "right") - 1
     docs, signs = [], []
     for step in (0, 1):
-        rows = np.flatnonzero((own >= 0) & (n > 0)) if step == 0 else np.flatnonzero((own + 1 < len(ends)) & (100 * n >= percent * ends[np.minimum(own + 1, len(ends) - 1)]) & (own >= -1) & (n > 0))
+        rows = np.flatnonzero((own >= 0) & (n > 0)) if step == 0 else np.flatnonzero((100 * n >= percent * ends[own + 1]) & (n > 0))
         kind = own[rows] + step
-        kind = np.minimum(kind, len(ends) - 1)
-        most = ends[np.minimum(kind + 1, len(ends) - 1)] - 1
-        most = np.where(kind + 1 < len(ends), most, n[rows])
+        most = ends[kind + 1] - 1
         # |x ^ y| <= (|x| + |y|) (100 - percent) / (100 + percent)
         apart = 2 * most * (100 - percent) // (100 + percent)
         segments = apart + 1 + (apart + 3) // 3  # some to spare, as some stay empty
