@@ -57,6 +57,24 @@ def test_quality_rules(spark, docs, rows, none):
     assert kept.columns[:3] == ["doc_id", "text", "words"] and kept.count() == sum(r[7] for r in expected)
 
 
+def test_all_texts_labelled_good_are_trusted(spark):
+    """More good labels than any fixed sample; those with the highest hashes count like the others."""
+    ids = sorted(range(25_000), key=lambda i: zlib.crc32(str(i).encode()))
+    labels = spark.range(25_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    trusted = quality_rules.trusted_labels(labels)
+    assert trusted.count() == 25_000
+    texts = [(ids[-1], "good words " * 15), (ids[-2], "good words " * 15), (30_000, "other things " * 15), (None, "other things " * 15)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    out = {r.doc_id: r.llr_total for r in quality_rules.quality_rules(docs, trusted).collect()}
+    assert out[ids[-1]] == out[ids[-2]] > 0 > out[30_000] == out[None]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # too many ids to broadcast
+    try:
+        assert {r.doc_id: r.llr_total for r in quality_rules.quality_rules(docs, trusted).collect()} == out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
 

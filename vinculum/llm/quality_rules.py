@@ -3,9 +3,11 @@
 Every text is a bag of word unigrams and bigrams hashed into a fixed number of
 buckets. Two multinomials over the buckets, one of the trusted texts and one of all
 texts, give each bucket a weight ln(p_trusted / p_raw); a text's score is the mean
-weight of its n-grams, compared with a threshold. Built-in functions only: the
-n-grams of a text are an array inside its row, so nothing but the bucket counts
-(``buckets`` rows) is shuffled, and the weights reach the rows as one constant array.
+weight of its n-grams, compared with a threshold. Built-in functions only. All trusted
+texts count: ids meet texts in an ordinary join, which Spark broadcasts while the ids
+are few and shuffles by id otherwise. The n-grams of a text are an array inside its
+row, of which bucket counts (``buckets`` rows) leave the tasks, and the weights reach
+the rows as one constant array.
 
 Weights are whole millionths, so sums do not depend on order.
 
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 
 from vinculum.llm.common import table
 from vinculum.llm.registry import query
+from vinculum.session import write_through
 
 BUCKETS = 1 << 14
-TRUSTED_ROWS = 20_000  # bound of the trusted sample, lowest hashes of the id first
 THRESHOLD = -0.05  # mean log-likelihood ratio a kept text must reach
 MIN_WORDS = 20
 WINDOW = 8
@@ -113,11 +115,13 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def bucket_weights(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     """One row: ``weights`` array of ln(p_trusted / p_raw) in millionths, null without trusted texts.
 
-    Both multinomials are smoothed by one count a bucket. ``trusted_ids`` must be of
-    bounded size: it is joined as a broadcast so that texts are not shuffled.
+    Both multinomials are smoothed by one count a bucket. The ids are stored first, so
+    that the planner knows their size. Rows without an id take no part in the join.
     """
-    marked = docs.join(F.broadcast(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted")).distinct()), F.col(key) == F.col("_trusted"), "left")
-    grams = marked.select(F.col("_trusted").isNotNull().alias("trusted"), words_of(F.col(text)).alias("words")).select(
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted")).where("_trusted is not null").distinct()
+    named = docs.select(key, text).where(F.col(key).isNotNull()).join(write_through(ids, "trusted"), F.col(key) == F.col("_trusted"), "left")
+    nameless = docs.select(key, text).where(F.col(key).isNull()).withColumn("_trusted", F.lit(None).cast(ids.schema["_trusted"].dataType))
+    grams = named.unionByName(nameless).select(F.col("_trusted").isNotNull().alias("trusted"), words_of(F.col(text)).alias("words")).select(
         "trusted", F.explode(ngram_buckets("words", buckets)).alias("bucket")
     )
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("own"))
@@ -138,10 +142,9 @@ def as_constant(weights: list[int] | None) -> Column:
     return F.split(text, ",").cast("array<bigint>")
 
 
-def trusted_sample(labels: DataFrame, key: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids labelled good, at most ``rows`` of them, those with the lowest hash of the id."""
-    good = labels.where(F.col("quality") == 1).select(key).where(F.col(key).isNotNull()).distinct()
-    return good.orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key).limit(rows)
+def trusted_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All ids labelled good."""
+    return labels.where(F.col("quality") == 1).select(key).where(F.col(key).isNotNull()).distinct()
 
 
 def quality_rules(
@@ -237,4 +240,4 @@ SQL = f"SELECT * EXCLUDE (n, total) FROM ({SQL})"
 
 @query("op1_quality_rules", SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), trusted_sample(table(spark, sf_dir, "labels")))
+    return quality_rules(table(spark, sf_dir, "documents"), trusted_labels(table(spark, sf_dir, "labels")))
