@@ -203,3 +203,23 @@ def test_decontamination(spark, docs, rows, none):
     assert [(r.doc_id, r.question_overlap, r.answer_overlap) for r in found] == [(400, 1.0, 1.0)] and len(split.findall(leak)) == 40
     assert decontaminate.contaminated(none, spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
     assert decontaminate.contaminated(docs, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+
+
+def test_decontamination_of_halves_and_edited_passages(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    items = {i: words(n) for i, n in enumerate([38, 15, 24, 59, 11])}
+    texts, expected = [], set()
+    for i, own in items.items():
+        half = -(-len(own) // 2)
+        question, answer = own[:half], own[half:]
+        edit = lambda part, at: [*part[:at], "edited", *part[at + 1 :]]
+        planted = [question, answer, *(edit(own, at)[:half] + edit(answer, at % len(answer)) for at in range(half)), edit(question, half // 2), edit(answer, 2), [w.upper() for w in own]]
+        for part in planted:
+            expected.add((len(texts), i))
+            texts.append(words(int(rng.integers(0, 300))) + part + words(int(rng.integers(0, 300))))
+    texts += [words(400) for _ in range(50)]  # clean, of the same words
+    texts += [[w for pair in zip(words(19), items[0][:19], strict=True) for w in pair]]  # the words, but no two of them together
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, table).collect()} == expected

@@ -1,17 +1,22 @@
 """Benchmark decontamination: BM25 index of test items, queried with every passage by block-max WAND.
 
 Terms are runs of letters and digits in lower case. A posting's impact is its BM25
-weight divided by the item's score for its own text, so a score is the share of the
-item found in a passage, and one threshold serves all items. Passages are windows of
-a text's terms, each reaching past the next one's start by the longest item's length,
-so that an item copied into a text lies whole in one of them.
-
-A passage is dropped at once if no item can reach the threshold in it, by a bound that
+weight divided by the score of its part of the item for that part's own text, so a score
+is the share of the part found in a passage, and one threshold serves all. The parts of
+an item are its first half (question) and its second half (answer), each found without
+the other; an item of under ten terms, whose halves say little alone, is one part.
+Passages are windows of a text's terms, each reaching past the next one's start by the
+longest part's length, so that a part copied into a text lies whole in one of them. They
+are verified with as many terms on both sides as the longest item has.
+
+A passage is dropped at once if no part can reach the threshold in it, by a bound that
 a few array passes over the batch give (see ``passages``). The others are searched by
-block-max WAND: terms ordered by their next item, a pivot by list maxima, a second test by the
-maxima of the blocks the pivot falls in, and scoring only of items that can still
-reach the threshold. What is retrieved is verified by five-word shingles: the shares
-of the item's first half (question) and second half (answer) that the passage holds.
+block-max WAND: terms ordered by their next part, a pivot by list maxima, a second test by the
+maxima of the blocks the pivot falls in, and scoring only of parts that can still
+reach the threshold. What is retrieved is verified by the shares of the question's and
+the answer's shingles that the passage holds. Shingles are of five words, in halves of
+under fifteen of a third of their words (two at least), so that half of them or more
+are left when a word is changed. Halves of under five words are one shingle.
 
 Items are indexed in blocks of bounded size, one scan of the documents for each, so
 the index shipped to tasks never outgrows a task; document frequencies are counted
@@ -37,10 +42,10 @@ from vinculum.llm.registry import query
 from vinculum.session import write_through
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.6  # share of an item's own score that a passage must reach
-OVERLAP = 0.8  # share of the shingles of an item's question or answer
+THRESHOLD = 0.5  # share of a part's own score that a passage must reach
+OVERLAP = 0.5  # share of the shingles of an item's question or answer; a changed word leaves as many
 SHINGLE = 5
-STRIDE = 64
+STRIDE = 16
 LIST_BLOCK = 64
 CELLS = 1 << 21  # strides times items added up at once
 COMMON_SHARE = 0.6  # a term of more of the items is common
@@ -68,21 +73,26 @@ def item_terms(items: DataFrame, item_key: str, text: str) -> DataFrame:
 
 
 def shingles(terms: np.ndarray) -> set[bytes]:
-    n = min(SHINGLE, len(terms))
+    """Shingles of an item's half."""
+    n = len(terms) if len(terms) < SHINGLE else min(SHINGLE, max(len(terms) // 3, 2))
     return {terms[i : i + n].tobytes() for i in range(len(terms) - n + 1)} if n else set()
 
 
 class Index:
-    """Postings of one block of items; ``df`` is counted over all items."""
+    """Postings of the parts of one block of items; ``df`` is counted over all items."""
 
     def __init__(self, items: list, terms: list[np.ndarray], df: dict[int, int], n_items: int, mean_length: float):
         self.items = items
         self.longest = max(map(len, terms), default=0)
+        halves = [(own[: -(-len(own) // 2)], own[-(-len(own) // 2) :]) for own in terms]
+        parts = [(i, part) for i, own in enumerate(terms) for part in (halves[i] if len(own) >= 2 * SHINGLE else (own,))]
+        self.item_of = [i for i, _ in parts]
+        self.longest_part = max((len(part) for _, part in parts), default=0)
         postings: dict[int, list[tuple[int, float]]] = {}
-        for i, own in enumerate(terms):
+        for i, (_, own) in enumerate(parts):
             found, tf = np.unique(own, return_counts=True)
             idf = np.log1p((n_items - np.array([df[int(x)] for x in found]) + 0.5) / (np.array([df[int(x)] for x in found]) + 0.5))
-            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean_length))
+            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) * len(parts) / max(len(items), 1) / mean_length))
             for term, w in zip(found, weight / weight.sum(), strict=True):
                 postings.setdefault(int(term), []).append((i, float(w)))
         self.vocabulary = np.array(sorted(postings), np.uint64)
@@ -95,10 +105,9 @@ class Index:
         self.list_start = np.cumsum(self.list_size) - self.list_size
         self.all_ids = np.array([i for own in self.ids for i in own], np.int64)
         self.all_impacts = np.array([w for own in self.impacts for w in own])
-        self.few = self.list_size <= max(COMMON_SHARE * len(items), 1)
+        self.few = self.list_size <= max(COMMON_SHARE * len(parts), 1)
         in_common = np.repeat(~self.few, self.list_size)
         self.common = np.bincount(self.all_ids[in_common], weights=self.all_impacts[in_common], minlength=1).max() if len(self.all_ids) else 0.0
-        halves = [(own[: -(-len(own) // 2)], own[-(-len(own) // 2) :]) for own in terms]
         self.question = [shingles(q) for q, _ in halves]
         self.answer = [shingles(a) for _, a in halves]
 
@@ -109,8 +118,14 @@ class Index:
         at = np.minimum(np.searchsorted(self.vocabulary, term), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == term, at, -1)
 
+    def reached(self, places: np.ndarray, threshold: float) -> bool:
+        """Whether any part's score reaches the threshold: one array pass, as most passages end here."""
+        size = self.list_size[places]
+        entry = np.repeat(self.list_start[places] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.all_ids[entry], weights=self.all_impacts[entry], minlength=1).max() >= threshold - 1e-9
+
     def search(self, places: list[int], threshold: float) -> list[tuple[int, float]]:
-        """(item number, score) of every item whose score reaches the threshold: block-max WAND."""
+        """(part number, score) of every part whose score reaches the threshold: block-max WAND."""
         cursors = [[self.ids[p][0], 0, p] for p in places]  # next item, place in the list, term
         hits = []
         while cursors:
@@ -161,28 +176,28 @@ class Index:
 def passages(index: Index, doc: np.ndarray, place: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
     """First and last term of the windows that can reach the threshold.
 
-    Terms found in many items can add ``index.common`` to an item at most, all together.
-    The other terms' impacts are added up by stride and item, each term once a stride,
+    Terms found in many parts can add ``index.common`` to a part at most, all together.
+    The other terms' impacts are added up by stride and part, each term once a stride,
     and strides are added up to windows.
     """
-    if not len(doc) or not index.items:
+    if not len(doc) or not index.item_of:
         return
     order = np.arange(len(doc)) - np.searchsorted(doc, doc)  # place in the document
     stride = np.cumsum(order % STRIDE == 0) - 1
     start = np.flatnonzero(order % STRIDE == 0)
-    width = index.longest + STRIDE
+    width = index.longest_part + STRIDE
     reach = -(-width // STRIDE)  # strides of a window
     own = np.flatnonzero(place >= 0)
     own = own[index.few[place[own]]]
     at, term = np.divmod(np.unique(stride[own] * len(index.vocabulary) + place[own]), len(index.vocabulary))
-    group = max(CELLS // len(index.items), reach)
+    group = max(CELLS // len(index.item_of), reach)
     for g in range(0, len(start), group):
         n = min(group, len(start) - g)
         a, b = np.searchsorted(at, [g, g + n + reach - 1])  # with the strides that the last windows reach into
         size = index.list_size[term[a:b]]
         entry = np.repeat(index.list_start[term[a:b]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        cells = np.repeat(at[a:b] - g, size) * len(index.items) + index.all_ids[entry]
-        sums = np.bincount(cells, weights=index.all_impacts[entry], minlength=(n + reach - 1) * len(index.items)).reshape(-1, len(index.items))
+        cells = np.repeat(at[a:b] - g, size) * len(index.item_of) + index.all_ids[entry]
+        sums = np.bincount(cells, weights=index.all_impacts[entry], minlength=(n + reach - 1) * len(index.item_of)).reshape(-1, len(index.item_of))
         window = sums[:n].copy()
         for k in range(1, reach):  # strides of the next document only loosen the bound
             window += sums[k : k + n]
@@ -197,25 +212,25 @@ def matches(index: Index, t: Texts, threshold: float, overlap: float) -> Iterato
     for a, b in passages(index, doc, place, threshold):
         own = np.unique(place[a:b])
         own = own[own >= 0]
-        if index.most[own].sum() < threshold - 1e-9:
+        if not index.reached(own, threshold):
             continue
         hits = index.search(own.tolist(), threshold)
         if hits:
-            grams = shingles(term[a:b]) if b - a >= SHINGLE else set()
-            for item, score in hits:
-                shares = [share(part, grams, term[a:b]) for part in (index.question[item], index.answer[item])]
+            first, last = np.searchsorted(doc, [doc[a], doc[a] + 1])
+            around = term[max(a - index.longest, first) : min(b + index.longest, last)]
+            for found, score in hits:
+                item = index.item_of[found]
+                shares = [share(part, around) for part in (index.question[item], index.answer[item])]
                 if max(shares) >= overlap:
                     yield int(doc[a]), item, score, *shares
 
 
-def share(part: set[bytes], grams: set[bytes], terms: np.ndarray) -> float:
-    """Share of an item part's shingles in the passage; parts under five words are one shorter shingle."""
+def share(part: set[bytes], terms: np.ndarray) -> float:
+    """Share of the shingles of an item's half in the passage."""
     if not part:
         return 0.0
     size = len(next(iter(part))) // 8
-    if size < SHINGLE:
-        grams = {terms[i : i + size].tobytes() for i in range(len(terms) - size + 1)}
-    return len(part & grams) / len(part)
+    return len(part & {terms[i : i + size].tobytes() for i in range(len(terms) - size + 1)}) / len(part)
 
 
 def contaminated(
