@@ -6,10 +6,11 @@ B (too few distinct words) are decided from the matrix: row sums and nonzero cou
 
 - Words of a shard of consecutive documents are encoded by the shard's own dictionary and
   counted into compressed sparse rows (``indptr``, ``indices``, ``counts``). Shards are stored.
-- Only the shards' dictionaries are shuffled, by word: a word gets one number in the whole
-  corpus (its partition and its rank there), however many shards and documents hold it.
-- Numbers go back to the shards, whose indices are replaced; a word is in a shard's dictionary
-  once, so neither a frequent word nor a large shard makes a hot key.
+- The shards' dictionaries are dealt by ranges of the words' hashes, as many as their words ask
+  for: a word gets one number in the whole corpus (its range and its rank there), however many
+  shards and documents hold it. Words are compared by their bytes, never by hash.
+- Ranks go back to the shards, whose indices are replaced; a word is in a shard's dictionary
+  once, so a frequent word makes no hot key. Indices and ranks ascend, so their steps are moved.
 - The smallest id of every text is found by map-side aggregation and joined on (text digest,
   id), so a group of copies with a third of all rows is spread by id.
 - Rows are counted by part and failure pattern (32 at most) before the orders unfold.
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import Texts, _runs, slices, table
+from vinculum.llm.common import RangeHash, Texts, _runs, slices, table
 from vinculum.llm.registry import query
 from vinculum.session import write_through
 
@@ -42,23 +43,63 @@ MIN_WORDS = 50  # A: fewer words
 DISTINCT_PERCENT = 65  # B: fewer distinct words of 100
 UPPER_PERCENT = 5  # C: more capitals of 100 code points
 MARKS = b"#$%&*|"  # D: any of them
-SHARD_BYTES = 4 << 20
-NUMBER_BITS = 40  # a term's number is its partition's and its rank there
+SHARD_BYTES = 8 << 20
+PART_TERMS = 1 << 20  # words of shards' dictionaries that are numbered together, about
+NUMBER_BITS = 40  # a term's number is its part's and its rank there
 
-SHARD = "shard bigint, doc_id array<bigint>, part array<string>, digest array<binary>, marks binary, indptr binary, indices binary, counts binary"
+DOCS = "doc_id array<bigint>, part array<string>, digest array<binary>, marks binary"
+SHARD = f"shard bigint, {DOCS}, indptr binary, indices binary, counts binary, n_terms bigint, words binary, sizes binary"
+MATRIX = f"shard bigint, {DOCS}, indptr binary, indices binary, counts binary"
+
+
+def packed(values: np.ndarray, steps: bool = False) -> bytes:
+    """32-bit numbers (or the steps between them) by byte planes, which compress well."""
+    values = values.astype("<u4")
+    if steps:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked(blob: bytes, steps: bool = False) -> np.ndarray:
+    values = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(values, dtype="<u4") if steps else values
+
+
+def _hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return RangeHash(data)(bounds[:-1], bounds[1:])
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bounds of all words of an array without offset."""
+    _, at, raw = words.buffers()
+    bounds = np.frombuffer(at, np.int64)[: len(words) + 1]
+    return np.frombuffer(raw, np.uint8)[: bounds[-1]] if raw is not None else np.zeros(0, np.uint8), bounds
+
+
+def _in_order(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words by their hash, and the place of each in that order."""
+    order = np.argsort(_hashes(*_bytes_of(words)), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return words.take(pa.array(order)), place
 
 
 def _terms(t: Texts) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, and the rows (documents) over them: indptr, indices, counts."""
+    """Distinct words by hash, and the rows (documents) over them: indptr, indices, counts."""
     inside = (t.data != 32) & ((t.data < 9) | (t.data > 13))
     start, end = _runs(inside, t.offsets)
     doc = np.searchsorted(t.offsets, start, "right") - 1
-    bounds = np.r_[0, np.cumsum(end - start)].astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(t.data[inside])]).dictionary_encode()
-    cell = np.sort(doc * max(len(words.dictionary), 1) + np.asarray(words.indices, dtype=np.int64))
+    coded = _binary(t.data[inside], np.r_[0, np.cumsum(end - start)]).dictionary_encode()
+    words, place = _in_order(coded.dictionary)
+    width = max(len(words), 1)
+    cell = np.sort(doc * width + place[np.asarray(coded.indices)])
     head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
-    row, column = np.divmod(cell[head], max(len(words.dictionary), 1))
-    return words.dictionary, np.searchsorted(row, np.arange(len(t) + 1)), column, np.diff(np.r_[head, len(cell)])
+    row, column = np.divmod(cell[head], width)
+    return words, np.searchsorted(row, np.arange(len(t) + 1)), column, np.diff(np.r_[head, len(cell)])
 
 
 def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,13 +124,18 @@ def _cut(shard_bytes: int):
                 upper, points = _sums((t.data >= 65) & (t.data <= 90), t.offsets), _sums(t.data & 0xC0 != 0x80, t.offsets)
                 marks = (100 * upper > UPPER_PERCENT * points) * 4 | (_sums(_MARK[t.data], t.offsets) > 0) * 8
                 own = batch.slice(t.row, len(t))
+                data, bounds = _bytes_of(words)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "shard": pa.array([n], pa.int64()),
                         **{c: _one_list(own.column(c)) for c in ("doc_id", "part", "digest")},
                         "marks": [marks.astype(np.uint8).tobytes()],
-                        **{k: [v.astype("<u4").tobytes()] for k, v in (("indptr", indptr), ("indices", indices), ("counts", counts))},
-                        "words": _one_list(words),
+                        "indptr": [packed(indptr, steps=True)],
+                        "indices": [packed(indices, steps=True)],
+                        "counts": [packed(counts)],
+                        "n_terms": pa.array([len(words)], pa.int64()),
+                        "words": [data.tobytes()],
+                        "sizes": [packed(np.diff(bounds))],
                     }
                 )
                 n += 1
@@ -98,47 +144,87 @@ def _cut(shard_bytes: int):
 
 
 def shards_of(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Stored shards in their own dictionaries' numbers, with ``words``. ``docs``: doc_id, part, text."""
+    """Stored shards in their own dictionaries' numbers, with the ``words``. ``docs``: doc_id, part, text."""
     text = F.coalesce("text", F.lit(""))
     given = docs.select("doc_id", "part", F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("text"))
-    return write_through(given.mapInArrow(_cut(shard_bytes), f"{SHARD}, words array<binary>"), "shards")
+    return write_through(given.mapInArrow(_cut(shard_bytes), SHARD), "shards")
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word: equal words get one number, in order."""
-    n, last = TaskContext.get().partitionId() << NUMBER_BITS, None
-    for batch in batches:
-        if not len(batch):
-            continue
-        words = batch.column("word").dictionary_encode()  # numbered as they first appear, so in order
-        distinct = words.dictionary
-        n += distinct[0].as_py() != last if last is not None else 0
-        last = distinct[-1].as_py()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("shard"), batch.column("local"), pa.array(np.asarray(words.indices, dtype=np.int64) + n, pa.int64()), batch.column("word")],
-            names=["shard", "local", "term", "word"],
-        )
-        n += len(distinct) - 1
+def _deal(parts: int):
+    """A shard's dictionary by parts of the hash range."""
+    edges = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words, sizes in zip(*(batch.column(c) for c in ("shard", "words", "sizes")), strict=True):
+                data, size = np.frombuffer(words.as_py(), np.uint8), unpacked(sizes.as_py())
+                bounds = np.r_[0, np.cumsum(size, dtype=np.int64)]
+                cut = np.r_[0, np.searchsorted(_hashes(data, bounds), edges), len(size)]
+                own = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "range": pa.array(own, pa.int32()),
+                        "shard": pa.array([shard.as_py()] * len(own), pa.int64()),
+                        "at": pa.array(cut[own], pa.int64()),
+                        "words": pa.array([data[bounds[cut[p]] : bounds[cut[p + 1]]].tobytes() for p in own], pa.binary()),
+                        "sizes": pa.array([packed(size[cut[p] : cut[p + 1]]) for p in own], pa.binary()),
+                    }
+                )
+
+    return run
+
+
+NUMBERED = "range int, shard bigint, at bigint, ranks binary, words array<binary>"
+
+
+def _number(part: pa.Table) -> pa.Table:
+    """Ranks of a part's words. The first row brings the words that have them, in order."""
+    blobs, sizes = part.column("words").to_pylist(), [unpacked(x) for x in part.column("sizes").to_pylist()]
+    bounds = np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)]
+    coded = _binary(np.frombuffer(b"".join(blobs), np.uint8), bounds).dictionary_encode()
+    words, place = _in_order(coded.dictionary)
+    rank = place[np.asarray(coded.indices)]
+    cut = np.r_[0, np.cumsum([len(x) for x in sizes])]
+    return pa.table(
+        {
+            "range": part.column("range"),
+            "shard": part.column("shard"),
+            "at": part.column("at"),
+            "ranks": pa.array([packed(rank[a:b], steps=True) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+            "words": pa.array([words.to_pylist(), *[None] * (len(part) - 1)], pa.list_(pa.binary())),
+        }
+    )
+
+
+def term_numbers(shards: DataFrame, part_terms: int = PART_TERMS) -> DataFrame:
+    """Numbers for all words of all shards. A row gives the ``ranks`` that one shard's words from ``at``
+    on have in a ``range`` of hashes; one row of each range also has its ``words``, in order of rank."""
+    total = shards.agg(F.sum("n_terms").alias("n")).first()["n"] or 0
+    dealt = shards.select("shard", "words", "sizes").mapInArrow(_deal(-(-total // part_terms) or 1), "range int, shard bigint, at bigint, words binary, sizes binary")
+    return dealt.groupBy("range").applyInArrow(_number, NUMBERED)
 
 
-def term_numbers(shards: DataFrame) -> DataFrame:
-    """The corpus dictionary: ``term`` of each ``word``, and where (``shard``, ``local`` number) it is used."""
-    used = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    return used.repartition("word").sortWithinPartitions("word").mapInArrow(_number, "shard bigint, local int, term bigint, word binary")
+def dictionary(numbers: DataFrame) -> DataFrame:
+    """The corpus dictionary: ``term`` (number) and ``word``."""
+    listed = numbers.where("words IS NOT NULL").select("range", F.posexplode("words").alias("rank", "word"))
+    return listed.select((F.shiftleft(F.col("range").cast("bigint"), NUMBER_BITS) + F.col("rank")).alias("term"), F.col("word").cast("string").alias("word"))
 
 
 def _encode(shard: pa.Table, numbers: pa.Table) -> pa.Table:
-    term = np.zeros(len(numbers), "<i8")
-    term[numbers.column("local").to_numpy()] = numbers.column("term").to_numpy()
-    local = np.frombuffer(shard.column("indices")[0].as_py(), "<u4")
-    return shard.set_column(shard.schema.get_field_index("indices"), "indices", pa.array([term[local].tobytes()], pa.binary()))
+    numbers = numbers.sort_by("at")
+    term = [np.int64(r) << NUMBER_BITS | unpacked(x, steps=True).astype(np.int64) for r, x in zip(numbers.column("range").to_pylist(), numbers.column("ranks").to_pylist(), strict=True)]
+    term = np.concatenate(term) if term else np.zeros(0, np.int64)
+    given = {c: unpacked(shard.column(c)[0].as_py(), steps=c != "counts") for c in ("indptr", "indices", "counts")}
+    out = {c: shard.column(c) for c in ("shard", "doc_id", "part", "digest", "marks")}
+    made = (("indptr", given["indptr"]), ("indices", term[given["indices"]].astype("<i8")), ("counts", given["counts"]))
+    return pa.table(out | {c: pa.array([v.tobytes()], pa.binary()) for c, v in made})
 
 
 def term_matrix(shards: DataFrame, numbers: DataFrame) -> DataFrame:
     """Shards of compressed sparse rows over the corpus dictionary: ``indices`` are term numbers
     (64 bits), ``indptr`` and ``counts`` 32 bits, little-endian; row i is document ``doc_id[i]``."""
-    used = numbers.select("shard", "local", "term")
-    return shards.drop("words").groupBy("shard").cogroup(used.groupBy("shard")).applyInArrow(_encode, SHARD)
+    used = numbers.select("shard", "at", "range", "ranks")
+    return shards.drop("words", "sizes", "n_terms").groupBy("shard").cogroup(used.groupBy("shard")).applyInArrow(_encode, MATRIX)
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
