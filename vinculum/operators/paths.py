@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vinculum.functions.ranking import top_k
+from vinculum.operators.adjacency import Adjacency, stored
 from vinculum.session import write_through
 
 # Default limits of a path search and of suggestions.
@@ -15,108 +16,154 @@ PATH_LIMIT = 20
 SUGGESTION_LIMIT = 10
 MAX_HOPS = 3
 
-# Up to this many query texts are put into the scan as literals.
-LITERAL_QUERIES = 256
-
 # Query texts are joined to names on one substring of at most this length.
 GRAM = 3
 
 # Connections of one entity are collected in lists of about this length.
 CHUNK = 1000
 
+EACH = ["query_id", "node"]
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(from_id, to_id, to_type, rel, key): each edge from both ends, a loop once.
-
-    ``key`` identifies the edge; both directions come from one scan.
-    """
-    key = F.struct("source", "type", "target")
-    out = F.struct(F.col("source").alias("from_id"), F.col("target").alias("to_id"), F.col("target_type").alias("to_type"))
-    back = F.struct(F.col("target").alias("from_id"), F.col("source").alias("to_id"), F.col("source_type").alias("to_type"))
-    ways = F.when(F.col("source") == F.col("target"), F.array(out)).otherwise(F.array(out, back))
-    rows = edges.select(F.explode(ways).alias("way"), F.col("type").alias("rel"), key.alias("key"))
-    return rows.select("way.from_id", "way.to_id", "way.to_type", "rel", "key")
-
-
-def match_names(queries: DataFrame, nodes: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    """(query_id, id, type) of the nodes whose name contains the query text.
 
-    Few queries become literals of one scan over the nodes. Many queries
-    are joined on a substring each name shares with the query it contains.
-    """
-    named = nodes.where(F.col("type").isin(*labels) & F.col("name").isNotNull()).select("id", "type", "name")
-    head = queries.select("query_id", "query").where(F.length("query") > 0).limit(LITERAL_QUERIES + 1).collect()
-    if len(head) > LITERAL_QUERIES:
-        return match_names_by_gram(queries, named)
-    if not head:
-        return named.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id", "type").limit(0)
-    literals = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit(r["query"]).alias("query")) for r in head])
-    hits = F.filter(literals, lambda q: F.col("name").contains(q["query"]))
-    rows = named.select("id", "type", F.explode(hits).alias("q"))
-    return rows.select(F.col("q.query_id").cast(queries.schema["query_id"].dataType).alias("query_id"), "id", "type")
-
-
-def _grams(text: Column) -> Column:
-    """Distinct substrings of 1 to GRAM characters."""
-    starts = F.sequence(F.lit(1), F.length(text))
+def _grams(text: Column, lengths: list[int]) -> Column:
+    """Distinct substrings of the given lengths."""
 
     def of_length(n: int) -> Column:
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array())
 
-    return F.array_distinct(F.concat(*map(of_length, range(1, GRAM + 1))))
+    return F.array_distinct(F.concat(*map(of_length, lengths)))
 
 
-def match_names_by_gram(queries: DataFrame, named: DataFrame) -> DataFrame:
-    """``match_names`` as an equi-join on each query's rarest substring, then verified."""
-    names = named.where(F.length("name") > 0).select("id", "type", "name", F.explode(_grams(F.col("name"))).alias("gram"))
+def match_names(queries: DataFrame, nodes: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """(query_id, id, type) of the nodes whose name contains the query text, for any number of queries.
+
+    A query asks for the names that hold its rarest substring of ``GRAM`` characters (or all of
+    a shorter query), and the name is then compared. Of the names' substrings only those that
+    some query has are stored.
+    """
     texts = queries.select("query_id", "query").where(F.length("query") > 0)
-    own = F.filter(_grams(F.col("query")), lambda g: F.length(g) == F.least(F.length("query"), F.lit(GRAM)))
+    lengths = [r["n"] for r in texts.select(F.least(F.length("query"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]
+    if not lengths:
+        return nodes.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id", "type").limit(0)
+    own = F.filter(_grams(F.col("query"), lengths), lambda g: F.length(g) == F.least(F.length("query"), F.lit(GRAM)))
     wanted = texts.select("query_id", "query", F.explode(own).alias("gram"))
-    frequency = names.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    named = nodes.where(F.col("type").isin(*labels) & (F.length("name") > 0)).select("id", "type", "name")
+    posted = named.select("id", "type", "name", F.explode(_grams(F.col("name"), lengths)).alias("gram"))
+    posted = write_through(posted.join(wanted.select("gram").distinct(), "gram", "left_semi"), "grams")
+    frequency = posted.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
-        wanted.join(frequency, "gram", "left")
+        wanted.join(frequency, "gram")
         .groupBy("query_id", "query")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
-        .select("query_id", "query", F.col("g.gram").alias("gram"))
+        .agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
     )
-    return rarest.join(names, "gram").where(F.col("name").contains(F.col("query"))).select("query_id", "id", "type")
+    return rarest.join(posted, "gram").where(F.col("name").contains(F.col("query"))).select("query_id", "id", "type")
+
+
+# --- reach -----------------------------------------------------------------
+#
+# Before a trail is lengthened, it is known whether it can end. A table of reach has
+# (query_id, node, low, high): ``node`` has a trail of r edges to an end of the query, and
+# the first edges of such trails lie between ``low`` and ``high``; if both are one edge that
+# the trail has used, it cannot go on.
+
+
+def _back(reach: DataFrame, adj: Adjacency) -> DataFrame:
+    """One edge further from the ends than ``reach``, which is (query_id, node) or has low and high."""
+    rows = adj.follow(reach)
+    if "low" in reach.columns:
+        rows = rows.where((F.col("low") != F.col("edge")) | (F.col("high") != F.col("edge")))
+    rows = rows.select("query_id", F.col("to_id").alias("node"), "edge")
+    return rows.groupBy("query_id", "node").agg(F.min("edge").alias("low"), F.max("edge").alias("high"))
+
 
+def _ahead(asked: DataFrame, adj: Adjacency, r: int, end: str) -> DataFrame:
+    """(node, low, high) for those of the nodes asked that have a trail of ``r`` edges to any node of label ``end``."""
+    rows = adj.follow(asked).select(F.col("from_id").alias("start"), "edge", F.col("to_id").alias("node"), "to_type")
+    if r == 1:
+        rows = rows.where(F.col("to_type") == end)
+    else:
+        further = _ahead(rows.select("node").distinct(), adj, r - 1, end)
+        rows = rows.join(further, "node").where((F.col("low") != F.col("edge")) | (F.col("high") != F.col("edge")))
+    return rows.groupBy(F.col("start").alias("node")).agg(F.min("edge").alias("low"), F.max("edge").alias("high"))
 
-def _step(frontier: DataFrame, adj: DataFrame) -> DataFrame:
+
+# --- trails ----------------------------------------------------------------
+
+
+def _trail(node: Column, *more: Column) -> list[Column]:
+    nodes, rel, edge = ([node, more[0]], [F.col("rel")], [F.col("edge")]) if more else ([node], [], [])
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    return [
+        F.array(*nodes).alias("nodes"),
+        (F.array(*rel) if rel else empty("string")).alias("rels"),
+        (F.array(*edge) if edge else empty("bigint")).alias("keys"),
+    ]
+
+
+def _step(trails: DataFrame, adj: Adjacency) -> DataFrame:
     """Lengthen every trail by one edge it has not used."""
-    joined = frontier.join(adj, frontier["node"] == adj["from_id"]).where(~F.array_contains("keys", F.col("key")))
-    return joined.select(
-        "query_id",
-        "forward",
-        F.col("to_id").alias("node"),
-        F.col("to_type").alias("node_type"),
-        F.concat("nodes", F.array("to_id")).alias("nodes"),
-        F.concat("rels", F.array("rel")).alias("rels"),
-        F.concat("keys", F.array("key")).alias("keys"),
-    )
+    rows = adj.follow(trails).where(~F.array_contains("keys", F.col("edge")))
+    longer = [F.concat(c, F.array(x)).alias(c) for c, x in (("nodes", "to_id"), ("rels", "rel"), ("keys", "edge"))]
+    return rows.select("query_id", F.col("to_id").alias("node"), F.col("to_type").alias("node_type"), *longer)
 
 
-def _seeds(matches: DataFrame, adj: DataFrame, start: str) -> DataFrame:
-    no_keys = F.array().cast(f"array<{adj.schema['key'].dataType.simpleString()}>")
-    return matches.select(
-        "query_id",
-        (F.col("type") == start).alias("forward"),
-        F.col("id").alias("node"),
-        F.col("type").alias("node_type"),
-        F.array("id").alias("nodes"),
-        F.array().cast("array<string>").alias("rels"),
-        no_keys.alias("keys"),
-    )
+def _first(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows whose nodes are among the first ``limit`` of their query, all rows with such nodes."""
+    place = F.rank().over(Window.partitionBy("query_id").orderBy("nodes"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
-def _complete(trails: DataFrame, starts: DataFrame, start: str, end: str) -> DataFrame:
-    """Trails that reached the other end, start node first, each path once."""
-    wanted = F.when(F.col("forward"), F.lit(end)).otherwise(F.lit(start))
-    reached = trails.where(F.col("node_type") == wanted)
-    again = starts.select("query_id", F.col("id").alias("node"), F.lit(False).alias("forward"))
-    once = reached.join(again, ["query_id", "node", "forward"], "left_anti")
-    turned = [F.when(F.col("forward"), F.col(c)).otherwise(F.reverse(c)).alias(c) for c in ("nodes", "rels", "keys")]
-    return once.select("query_id", *turned)
+def _able(trails: DataFrame, left: int, limit: int | None, ends: DataFrame | None, end: str) -> DataFrame:
+    """Of trails that have ``low`` and ``high`` of their node, those that can end after ``left`` more edges.
+
+    They are cut to the first ``limit`` per query: as every trail that is kept ends somewhere and
+    paths of one length rank by their nodes first, later ones are in no result. Trails of which
+    this is not certain pass uncut and displace none: before the last edge where both ``low`` and
+    ``high`` are used, before the last two at an end (whose way back can be the edge they came by);
+    these are parallel edges, or paths that were already found shorter.
+    """
+    used = lambda c: F.array_contains("keys", F.col(c))
+    last = F.element_at("keys", -1)
+    if left == 1:
+        kept = trails.where(~(used("low") & (F.col("low") == F.col("high"))))
+        unsure = used("low") & used("high")
+    else:
+        kept = trails.where((F.col("low") != last) | (F.col("high") != last))
+        unsure = F.col("node_type") == end
+        if ends is not None:
+            kept = kept.join(ends.withColumn("_end", F.lit(True)), EACH, "left")
+            unsure = F.col("_end").isNotNull()
+    if limit is not None and left <= 2:
+        kept = _first(kept.where(~unsure), limit).unionByName(kept.where(unsure))
+    return kept.select("query_id", "node", "node_type", "nodes", "rels", "keys")
+
+
+def _paths(hops: int, seeds: DataFrame, adj: Adjacency, reach: list[DataFrame] | None, limit: int | None, start: str, end: str, starts: DataFrame) -> DataFrame:
+    """Trails of exactly ``hops`` edges, start node first.
+
+    Without ``reach`` the ``seeds`` are trails of one edge, and lead to any end. With it they are end
+    nodes, and paths come from any start that is none of ``starts``; ``reach[r]`` is r edges away.
+    """
+    cut = limit if start != end else None
+    if reach is None:
+        trails, ends, final = seeds, None, F.col("node_type") == end
+    else:
+        rows = adj.follow(reach[hops - 1]).where(F.col("to_type") == start)
+        if hops > 1:
+            rows = rows.where((F.col("low") != F.col("edge")) | (F.col("high") != F.col("edge")))
+        bounds = ["low", "high"] if hops > 1 else []
+        rows = rows.join(starts.select("query_id", F.col("node").alias("to_id")), ["query_id", "to_id"], "left_anti")
+        trails = rows.select("query_id", F.col("from_id").alias("node"), F.lit(end).alias("node_type"), *_trail(F.col("to_id"), F.col("from_id")), *bounds)
+        ends, final = seeds, None
+    for left in range(hops - 1, 0, -1):
+        if reach is None:
+            trails = trails.join(_ahead(trails.select("node").distinct(), adj, left, end), "node")
+        elif left < hops - 1:
+            trails = trails.join(reach[left], EACH)
+        trails = _step(_able(trails, left, cut, ends, end), adj)
+    done = trails.where(final) if final is not None else trails if hops == 1 else trails.join(ends, EACH, "left_semi")
+    return _ranked(done.select("query_id", "nodes", "rels", "keys"), limit)
 
 
 def _ranked(found: DataFrame, limit: int | None) -> DataFrame:
@@ -128,7 +175,7 @@ def _ranked(found: DataFrame, limit: int | None) -> DataFrame:
 def search_paths(
     queries: DataFrame,
     nodes: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | Adjacency,
     limit: int | None = PATH_LIMIT,
     max_hops: int = MAX_HOPS,
     start: str = "Drug",
@@ -140,40 +187,54 @@ def search_paths(
     the query. Trails may revisit nodes but not edges. The result is ordered
     by (hops, nodes, relations): (query_id, rank, hops, nodes, rel_types).
 
-    Only trails that begin at a *matching* endpoint are followed: forward
-    from matching start nodes, backward from matching end nodes, both in one
-    join per hop. A backward trail whose start node matches as well is the
-    forward one again and is dropped, so the union needs no distinct. As
-    shorter paths rank first, a query that has its ``limit`` is not followed
-    any deeper.
-
-    The trails of each depth are stored. That cuts the lineage, and tells
-    Spark their size: few trails are broadcast to one scan of the edges,
-    many are shuffled to it.
+    Paths are enumerated from their start nodes. Where the query names the end, the nodes that
+    lie one, two, ... edges before it are found first, from the end backwards: sets of nodes per
+    query, not trails. Trails begin in the outermost set and step through the inner ones, so
+    none is stored that does not reach the end. Where the query names the start, the nodes met
+    are asked the same. As paths rank by length and then by their nodes, trails are cut to the
+    first ``limit`` per query before their last and last but one step (exactly, see ``_able``);
+    a hub on the way adds its edges once, not their products. A query that has its ``limit``
+    is not followed any deeper.
+
+    ``edges`` are stored as an ``Adjacency`` unless they are one. Set tables are stored, so that
+    Spark knows their size: small ones are broadcast to the edges, large ones shuffled to them.
     """
-    adj = adjacency(edges)
+    adj = stored(edges)
     matches = write_through(match_names(queries, nodes, (start, end)), "matches")
-    starts = matches.where(F.col("type") == start)
-    frontier = _seeds(matches, adj, start)
+    side = lambda label: matches.where(F.col("type") == label).select("query_id", F.col("id").alias("node"))
+    starts, ends = side(start), side(end)
+    present = {r["type"] for r in matches.select("type").distinct().collect()}
+    if start in present:
+        first = write_through(_step(starts.select(*EACH, *_trail(F.col("node"))), adj), "first")
+    reach = [ends]
     levels: list[DataFrame] = []
     for hops in range(1, max_hops + 1):
-        last = hops == max_hops
-        trails = _step(frontier, adj.where(F.col("to_type").isin(start, end)) if last else adj)
-        if not last:
-            trails = write_through(trails, f"trails{hops}")
-        level = _ranked(_complete(trails, starts, start, end), limit).select(
-            "query_id", F.lit(hops).alias("hops"), "nodes", F.col("rels").alias("rel_types"), "keys"
-        )
-        if last or limit is None:
+        if hops > 1 and end in present:
+            reach.append(write_through(_back(reach[-1], adj), f"reach{hops - 1}"))
+        found = []
+        if start in present:
+            found.append(_paths(hops, first, adj, None, limit, start, end, starts))
+        if end in present:
+            found.append(_paths(hops, ends, adj, reach, limit, start, end, starts))
+        if not found:
+            break
+        level = _ranked(reduce(DataFrame.unionByName, found), limit)
+        level = level.select("query_id", F.lit(hops).alias("hops"), "nodes", F.col("rels").alias("rel_types"), "keys")
+        if limit is None or hops == max_hops:
             levels.append(level)
-            frontier = trails
             continue
         levels.append(write_through(level, f"paths{hops}"))
         counts = reduce(DataFrame.unionByName, levels).groupBy("query_id").agg(F.count("*").alias("n"))
         served = counts.where(F.col("n") >= limit).select("query_id")
-        if queries.join(served, "query_id", "left_anti").isEmpty():
+        if matches.join(served, "query_id", "left_anti").isEmpty():
             break
-        frontier = trails.join(served, "query_id", "left_anti")
+        open_ = lambda rows: rows.join(served, "query_id", "left_anti")  # noqa: B023, E731
+        ends, reach = open_(side(end)), [open_(x) for x in reach]
+        if start in present:
+            first = open_(first)
+    if not levels:
+        none = matches.select("query_id", F.lit(0).alias("hops"), F.array("id").alias("nodes"), F.array("id").alias("rel_types"), F.array().cast("array<bigint>").alias("keys"))
+        levels = [none.limit(0)]
     paths = reduce(DataFrame.unionByName, levels)
     if limit is not None:
         order = [F.col("hops"), F.col("nodes"), F.col("rel_types"), F.col("keys")]
@@ -182,7 +243,7 @@ def search_paths(
     return paths.select("query_id", "hops", "nodes", "rel_types")
 
 
-def suggest(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = SUGGESTION_LIMIT) -> DataFrame:
+def suggest(queries: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, limit: int = SUGGESTION_LIMIT) -> DataFrame:
     """Path search with the suggestion limit."""
     return search_paths(queries, nodes, edges, limit)
 
@@ -204,38 +265,31 @@ def with_node_details(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return grouped.select(*keys, "hops", details.alias("node_details"), "rel_types")
 
 
-def entity_connections(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entity_id, name, type, relation, connected), one row per incident edge.
+def entity_connections(ids: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency) -> DataFrame:
+    """(entity_id, name, type, relation, connected_id, connected), one row per incident edge.
 
-    An entity without edges keeps one row of nulls. Rows are never
-    collected, and edges only take part in inner joins, whose hot partitions
-    can be split on both sides, so a hub is no harder than any other node.
+    An entity without edges keeps one row of nulls. The entities are looked up in the stored
+    adjacency, so the edge table is not shuffled, and rows are never collected.
     """
+    adj = stored(edges)
     found = nodes.join(ids.select(F.col("entity_id").alias("id")).distinct(), "id", "left_semi").select("id", "name", "type")
-    adj = adjacency(edges).select("from_id", "to_id", F.col("rel").alias("relation"))
-    ends = adj.select(F.col("from_id").alias("id")).distinct()
-    alone = found.join(ends, "id", "left_anti")
-    incident = found.join(adj, found["id"] == adj["from_id"]).drop("from_id")
-    incident = incident.unionByName(alone, allowMissingColumns=True)
-    names = nodes.select(F.col("id").alias("_id"), F.col("name").alias("connected"))
-    return incident.join(names, incident["to_id"] == names["_id"], "left").select(
-        F.col("id").alias("entity_id"), "name", "type", "relation", F.col("to_id").alias("connected_id"), "connected"
-    )
+    found = write_through(found, "entities")
+    incident = adj.follow(found.select("id", "name", "type"), "id")
+    incident = write_through(incident.select(F.col("from_id").alias("id"), "name", "type", F.col("rel").alias("relation"), "to_id"), "incident")
+    alone = found.join(incident.select("id").distinct(), "id", "left_anti")
+    names = nodes.select(F.col("id").alias("to_id"), F.col("name").alias("connected"))
+    rows = incident.join(names, "to_id", "left").unionByName(alone, allowMissingColumns=True)
+    return rows.select(F.col("id").alias("entity_id"), "name", "type", "relation", F.col("to_id").alias("connected_id"), "connected")
 
 
-def entity_details(ids: DataFrame, nodes: DataFrame, edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(entity_id, name, type, chunk, connections[{relation, connected}]).
+def entity_details(ids: DataFrame, nodes: DataFrame, edges: DataFrame | Adjacency, chunk: int = CHUNK) -> DataFrame:
+    """(entity_id, name, type, degree, chunk, connections[{relation, connected}]).
 
-    One row per entity with up to ``chunk`` edges or so. The list of a larger
-    one is spread by hash over ``degree / chunk`` rows, whole in sum.
+    The list of an entity is spread by hash over ``degree / chunk`` rows, at least one, whole in sum.
     """
-    rows = entity_connections(ids, nodes, edges)
-    degree = rows.groupBy("entity_id").agg(F.count("*").alias("degree"))
+    rows = write_through(entity_connections(ids, nodes, edges), "connections")
+    degree = rows.groupBy("entity_id").agg(F.count("relation").alias("degree"))
     parts = F.greatest(F.ceil(F.col("degree") / chunk), F.lit(1))
-    placed = rows.join(degree, "entity_id").withColumn(
-        "chunk", F.pmod(F.xxhash64("relation", "connected_id"), parts).cast("int")
-    )
+    placed = rows.join(degree, "entity_id").withColumn("chunk", F.pmod(F.xxhash64("relation", "connected_id"), parts).cast("int"))
     pair = F.struct("relation", "connected")
-    return placed.groupBy("entity_id", "name", "type", "chunk").agg(
-        F.array_sort(F.collect_list(pair)).alias("connections")
-    )
+    return placed.groupBy("entity_id", "name", "type", "degree", "chunk").agg(F.array_sort(F.collect_list(pair)).alias("connections"))

@@ -265,8 +265,8 @@ def first_edge_per_type(spark, sf):
 # --- path search ---
 
 
-def path_sql(edges: str, queries: str, limit: int, max_hops: int = 3) -> str:
-    """Union of explicit joins; a query with enough shorter paths is not followed deeper."""
+def path_sql(edges: str, queries: str, limit: int, max_hops: int = 3, stop: bool = False) -> str:
+    """Union of explicit joins over all paths; with ``stop`` a query with enough shorter ones is not followed deeper."""
     ctes = [
         T.NODES_SQL,
         edges,
@@ -280,7 +280,7 @@ def path_sql(edges: str, queries: str, limit: int, max_hops: int = 3) -> str:
   []::VARCHAR[] AS rels, []::VARCHAR[] AS keys FROM m)""",
     ]
     for h in range(1, max_hops + 1):
-        served = f"AND h.query_id NOT IN (SELECT query_id FROM served{h - 1})" if h > 1 else ""
+        served = f"AND h.query_id NOT IN (SELECT query_id FROM served{h - 1})" if stop and h > 1 else ""
         ctes.append(f"""h{h} AS (SELECT h.query_id, a.t AS node, a.tt, h.st, list_append(h.nodes, a.t) AS nodes,
   list_append(h.rels, a.rel) AS rels, list_append(h.keys, a.k) AS keys
   FROM h{h - 1} h JOIN adj a ON a.f = h.node WHERE NOT list_contains(h.keys, a.k) {served})""")
@@ -307,13 +307,14 @@ BOTH_QUERIES_SQL = f"{T.DISEASE_QUERIES_SQL} UNION ALL {T.DRUG_QUERIES_SQL}"
 FULL = ("drug_target", "drug_disease", "target_pathway")
 TWO = ("drug_target", "target_disease")
 THREE = ("drug_target", "target_nation", "nation_disease")
+MIXED = ("rare_indication", *THREE)
 
 
 def both_queries(spark, sf):
     return T.disease_queries(spark, sf).unionByName(T.drug_queries(spark, sf))
 
 
-@query("path_search_1", path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, 20))
+@query("path_search_1", path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, 20, stop=True))
 def path_search_1(spark, sf):
     return _flat(P.search_paths(both_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL)))
 
@@ -328,7 +329,22 @@ def path_search_3(spark, sf):
     return _flat(P.search_paths(T.disease_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *THREE)))
 
 
-@query("suggestions", path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, 10))
+@query("path_search_mixed", path_sql(T.path_edges_sql(*MIXED), BOTH_QUERIES_SQL, 20))
+def path_search_mixed(spark, sf):
+    """A few direct paths, filled up with paths of three hops."""
+    return _flat(P.search_paths(both_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *MIXED)))
+
+
+@query(
+    "name_matches",
+    f"""WITH {T.NODES_SQL}, q AS ({T.NAME_PARTS_SQL})
+SELECT query_id, id, type FROM q JOIN nodes ON type IN ('Drug', 'Disease') AND contains(name, query)""",
+)
+def name_matches(spark, sf):
+    return P.match_names(T.name_parts(spark, sf), T.nodes(spark, sf), ("Drug", "Disease"))
+
+
+@query("suggestions", path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, 10, stop=True))
 def suggestions(spark, sf):
     return _flat(P.suggest(both_queries(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL)))
 
@@ -352,19 +368,20 @@ def entity_connections(spark, sf):
 
 @query(
     "entity_details",
-    f"""WITH {INCIDENT_SQL}
-SELECT n.id AS entity_id, n.name, n.type, 0 AS chunk, count(*) AS connections,
-  string_agg(coalesce(a.rel, '') || ':' || coalesce(c.name, ''), ';' ORDER BY a.rel, c.name) AS listed
-FROM nodes n LEFT JOIN adj a ON a.f = n.id LEFT JOIN nodes c ON c.id = a.t
-WHERE n.name IN (SELECT query FROM ({T.DISEASE_QUERIES_SQL})) GROUP BY n.id, n.name, n.type""",
+    f"""WITH {INCIDENT_SQL}, listed AS (
+  SELECT n.id AS entity_id, n.name, n.type, a.rel, coalesce(a.rel, '') || ':' || coalesce(c.name, '') AS item
+  FROM nodes n LEFT JOIN adj a ON a.f = n.id LEFT JOIN nodes c ON c.id = a.t)
+SELECT entity_id, name, type, count(rel) AS degree, count(*) AS connections, count(DISTINCT item) AS kinds,
+  min(item) AS first, max(item) AS last, sum(length(item))::BIGINT AS characters FROM listed GROUP BY entity_id, name, type""",
 )
 def entity_details(spark, sf):
+    """All nodes, their lists in rows of about 100, taken apart again to compare."""
     nodes = T.nodes(spark, sf)
-    names = T.disease_queries(spark, sf).select(F.col("query").alias("name"))
-    ids = nodes.join(names, "name", "left_semi").select(F.col("id").alias("entity_id"))
-    rows = P.entity_details(ids, nodes, T.stored_edges(spark, sf, *FULL))
-    text = F.transform("connections", lambda c: F.concat_ws(":", F.coalesce(c["relation"], F.lit("")), F.coalesce(c["connected"], F.lit(""))))
-    return rows.select(
-        "entity_id", "name", "type", "chunk",
-        F.size("connections").cast("long").alias("connections"), F.array_join(text, ";").alias("listed"),
+    rows = P.entity_details(nodes.select(F.col("id").alias("entity_id")), nodes, T.stored_edges(spark, sf, *FULL), chunk=100)
+    rows = rows.select("entity_id", "name", "type", "degree", F.inline("connections"))
+    item = F.concat_ws(":", F.coalesce("relation", F.lit("")), F.coalesce("connected", F.lit("")))
+    listed = rows.withColumn("item", item).groupBy("entity_id", "name", "type", "degree")
+    return listed.agg(
+        F.count("*").alias("connections"), F.count_distinct("item").alias("kinds"), F.min("item").alias("first"),
+        F.max("item").alias("last"), F.sum(F.length("item")).alias("characters"),
     )

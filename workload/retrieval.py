@@ -151,7 +151,7 @@ def hybrid_search(spark, sf):
     return _hits(spark, sf).withColumn("score", S.quantised(F.col("score")))
 
 
-PATHS_SQL = f"""p0 AS ({path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, RESULTS)}),
+PATHS_SQL = f"""p0 AS ({path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, RESULTS, stop=True)}),
 paths AS (SELECT query_id, rank, (SELECT string_agg(n.name, ' -> ' ORDER BY i) FROM (
     SELECT unnest(string_split(nodes, '>')) AS nid, unnest(generate_series(1, len(string_split(nodes, '>')))) AS i) s
     JOIN nodes n ON n.id = s.nid) AS names FROM p0)"""

@@ -131,6 +131,7 @@ def path_edges(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     build = {
         "drug_target": lambda: lines(spark, sf).select(*ends(part, target, "TARGETS", "Drug", "Target")),
         "drug_disease": lambda: lines_orders(spark, sf).select(*ends(part, disease, "INDICATED_FOR", "Drug", "Disease")),
+        "rare_indication": lambda: lines_orders(spark, sf).where("l_linenumber = 7").select(*ends(part, disease, "INDICATED_FOR", "Drug", "Disease")),
         "target_pathway": lambda: lines_parts(spark, sf).select(*ends(target, F.col("p_type"), "INVOLVED_IN", "Target", "Pathway")),
         "target_disease": lambda: lines_orders(spark, sf).select(*ends(target, disease, "ASSOCIATED_WITH", "Target", "Disease")),
         "target_nation": lambda: table(spark, sf, "supplier").select(
@@ -155,6 +156,7 @@ def stored_edges(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
 PATH_EDGE_SQL = {
     "drug_target": "SELECT DISTINCT 'P' || l_partkey AS source, 'S' || l_suppkey AS target, 'TARGETS' AS type, 'Drug' AS source_type, 'Target' AS target_type FROM lineitem",
     "drug_disease": "SELECT DISTINCT 'P' || l_partkey AS source, 'C' || o_custkey AS target, 'INDICATED_FOR' AS type, 'Drug' AS source_type, 'Disease' AS target_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "rare_indication": "SELECT DISTINCT 'P' || l_partkey AS source, 'C' || o_custkey AS target, 'INDICATED_FOR' AS type, 'Drug' AS source_type, 'Disease' AS target_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 7",
     "target_pathway": "SELECT DISTINCT 'S' || l_suppkey AS source, p_type AS target, 'INVOLVED_IN' AS type, 'Target' AS source_type, 'Pathway' AS target_type FROM lineitem JOIN part ON l_partkey = p_partkey",
     "target_disease": "SELECT DISTINCT 'S' || l_suppkey AS source, 'C' || o_custkey AS target, 'ASSOCIATED_WITH' AS type, 'Target' AS source_type, 'Disease' AS target_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "target_nation": "SELECT DISTINCT 'S' || s_suppkey AS source, 'N' || s_nationkey AS target, 'INVOLVED_IN' AS type, 'Target' AS source_type, 'Pathway' AS target_type FROM supplier",
@@ -180,6 +182,16 @@ def drug_queries(spark: SparkSession, sf: str) -> DataFrame:
     return first.select(F.concat(F.lit("type "), "p_type").alias("query_id"), "query")
 
 
+def name_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, query): the last three characters of every customer name, and short words of part names."""
+    ends = table(spark, sf, "customer").select(F.right("c_name", F.lit(3)).alias("query"))
+    words = table(spark, sf, "part").select(F.left("p_name", F.lit(2)).alias("query"))
+    return ends.unionByName(words).distinct().select(F.col("query").alias("query_id"), "query")
+
+
+NAME_PARTS_SQL = """SELECT query AS query_id, query FROM (
+  SELECT right(c_name, 3) AS query FROM customer UNION SELECT left(p_name, 2) FROM part)"""
+
 DISEASE_QUERIES_SQL = """SELECT 'segment ' || c_mktsegment AS query_id,
   arg_max(c_name, (c_acctbal, c_custkey)) AS query FROM customer GROUP BY c_mktsegment"""
 DRUG_QUERIES_SQL = "SELECT 'type ' || p_type AS query_id, arg_min(p_name, p_partkey) AS query FROM part GROUP BY p_type"
