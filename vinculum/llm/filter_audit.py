@@ -43,8 +43,8 @@ MIN_WORDS = 50  # A: fewer words
 DISTINCT_PERCENT = 65  # B: fewer distinct words of 100
 UPPER_PERCENT = 5  # C: more capitals of 100 code points
 MARKS = b"#$%&*|"  # D: any of them
-SHARD_BYTES = 8 << 20
-PART_TERMS = 1 << 20  # words of shards' dictionaries that are numbered together, about
+SHARD_BYTES = 4 << 20
+PART_TERMS = 1 << 19  # words of shards' dictionaries that are numbered together, about
 NUMBER_BITS = 40  # a term's number is its part's and its rank there
 
 DOCS = "doc_id array<bigint>, part array<string>, digest array<binary>, marks binary"
@@ -103,8 +103,8 @@ def _terms(t: Texts) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.r_[0, np.cumsum(mask)]
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Marked bytes of every text; few are marked."""
+    return np.diff(np.searchsorted(np.flatnonzero(mask), offsets))
 
 
 _MARK = np.zeros(256, bool)
@@ -121,7 +121,7 @@ def _cut(shard_bytes: int):
         for batch in batches:
             for t in slices(batch.column("text"), shard_bytes):
                 words, indptr, indices, counts = _terms(t)
-                upper, points = _sums((t.data >= 65) & (t.data <= 90), t.offsets), _sums(t.data & 0xC0 != 0x80, t.offsets)
+                upper, points = _sums((t.data >= 65) & (t.data <= 90), t.offsets), np.diff(t.offsets) - _sums(t.data & 0xC0 == 0x80, t.offsets)
                 marks = (100 * upper > UPPER_PERCENT * points) * 4 | (_sums(_MARK[t.data], t.offsets) > 0) * 8
                 own = batch.slice(t.row, len(t))
                 data, bounds = _bytes_of(words)
@@ -220,34 +220,38 @@ def _encode(shard: pa.Table, numbers: pa.Table) -> pa.Table:
     return pa.table(out | {c: pa.array([v.tobytes()], pa.binary()) for c, v in made})
 
 
+def _per_shard(shards: DataFrame, numbers: DataFrame, run, schema: str) -> DataFrame:
+    used = numbers.select("shard", "at", "range", "ranks")
+    return shards.drop("words", "sizes", "n_terms").groupBy("shard").cogroup(used.groupBy("shard")).applyInArrow(run, schema)
+
+
 def term_matrix(shards: DataFrame, numbers: DataFrame) -> DataFrame:
     """Shards of compressed sparse rows over the corpus dictionary: ``indices`` are term numbers
     (64 bits), ``indptr`` and ``counts`` 32 bits, little-endian; row i is document ``doc_id[i]``."""
-    used = numbers.select("shard", "at", "range", "ranks")
-    return shards.drop("words", "sizes", "n_terms").groupBy("shard").cogroup(used.groupBy("shard")).applyInArrow(_encode, MATRIX)
+    return _per_shard(shards, numbers, _encode, MATRIX)
+
+
+FACTS = "doc_id bigint, part string, digest binary, n_words bigint, n_distinct bigint, marks int"
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(len(batch)):
-            read = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), kind)  # noqa: B023, E731
-            indptr = read("indptr", "<u4").astype(np.int64)
-            n_words = np.diff(np.r_[0, np.cumsum(read("counts", "<u4"), dtype=np.int64)][indptr])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c)[i].values for c in ("doc_id", "part", "digest")), pa.array(n_words), pa.array(np.diff(indptr)), pa.array(read("marks", np.uint8).astype(np.int32))],
-                names=["doc_id", "part", "digest", "n_words", "n_distinct", "marks"],
-            )
+def _facts(shard: pa.Table) -> pa.Table:
+    """Row sums and nonzero counts of a shard's rows, and the marks of C and D."""
+    read = lambda c, kind: np.frombuffer(shard.column(c)[0].as_py(), kind)
+    indptr = read("indptr", "<u4").astype(np.int64)
+    sums = np.diff(np.r_[0, np.cumsum(read("counts", "<u4"), dtype=np.int64)][indptr])
+    made = {"n_words": sums, "n_distinct": np.diff(indptr), "marks": read("marks", np.uint8).astype(np.int32)}
+    return pa.table({c: shard.column(c)[0].values for c in ("doc_id", "part", "digest")} | {c: pa.array(v) for c, v in made.items()})
 
 
-def row_facts(matrix: DataFrame) -> DataFrame:
-    """Per document: row sum and nonzero count of its matrix row, and the marks of C and D."""
-    return matrix.mapInArrow(_facts, "doc_id bigint, part string, digest binary, n_words bigint, n_distinct bigint, marks int")
+def row_facts(shards: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Per document, read from its row of ``term_matrix``; a shard's matrix never leaves its task."""
+    return _per_shard(shards, numbers, lambda shard, used: _facts(_encode(shard, used)), FACTS)
 
 
 def failures(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id``, ``part`` and ``fails``: bit i is set where filter i of ``FILTERS`` fails."""
     shards = shards_of(docs, shard_bytes)
-    facts = write_through(row_facts(term_matrix(shards, term_numbers(shards))), "facts")
+    facts = write_through(row_facts(shards, term_numbers(shards)), "facts")
     first = facts.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     a = F.col("n_words") < MIN_WORDS
     b = 100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words")
