@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vinculum.operators import quality, search as S
+from vinculum.operators import keyword_index as K, quality, search as S, vector_index as V
 from vinculum.plans import retrieval
 
 
@@ -82,11 +82,12 @@ def best(scores, k):
     return sorted((q, c, i) for (q, c), items in groups.items() for _, i in sorted(items)[:k])
 
 
-@pytest.mark.parametrize("many", [True, False])
-def test_keyword_scores(spark, many):
+@pytest.mark.parametrize("whole", [True, False])
+def test_keyword_scores(spark, whole):
     docs, queries = corpus(1)
     d, q = frames(spark, docs, queries)
-    got = {(r["query_id"], r["collection"], r["doc_id"]): r["kw"] for r in S.keyword_scores(q, d, many).collect()}
+    given = K.keyword_index(d) if whole else d
+    got = {(r["query_id"], r["collection"], r["doc_id"]): r["kw"] for r in K.keyword_scores(q, given).collect()}
     assert got == pytest.approx(keyword(docs, queries), abs=2e-6)
 
 
@@ -95,10 +96,46 @@ def test_vector_top_k_in_one_block_and_in_many(spark, monkeypatch):
     d, q = frames(spark, docs, queries)
     want = best(cosine(docs, queries), 4)
     pick = lambda df: rows(df.select("query_id", "collection", "doc_id"))
-    assert pick(S.vector_top_k(q, d, 4)) == want
-    monkeypatch.setattr(S, "QUERY_BLOCK", 1)
-    monkeypatch.setattr(S, "DOC_BLOCK", 10)
-    assert pick(S.vector_top_k(q, d, 4)) == want
+    assert pick(V.vector_top_k(q, d, 4)) == want
+    monkeypatch.setattr(V, "QUERY_BLOCK", 1)
+    assert pick(V.vector_top_k(q, d, 4)) == want
+    monkeypatch.setattr(V, "PART_ROWS", 3)
+    for cells, probes in ((1, 1), (4, 1), (9, 2)):
+        assert pick(V.vector_index_top_k(q, V.vector_index(d, cells), 4, probes)) == want
+    assert V.vector_index_top_k(q, V.vector_index(d.limit(0)), 4).count() == 0
+
+
+def test_a_task_passes_on_its_best_only(spark):
+    """However many batches a task reads."""
+    docs = [(i, "AB"[i % 2], "", [math.cos(i), math.sin(i)]) for i in range(400)]
+    d, q = frames(spark, docs, [(1, "", [1.0, 0.0]), (2, "", [0.0, 1.0])])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    rows_ = V.vector_extremes(q, d.coalesce(1), 3).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows_) == 2 * 2 * (3 + 1)
+
+
+def test_recall_of_few_cells(spark):
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    docs = [(i, "A", "", [x + rng.gauss(0, 0.35) for x in centres[i % 12]]) for i in range(1200)]
+    queries = [(i, "", docs[i * 7][3]) for i in range(60)]
+    d, q = frames(spark, docs, queries)
+    index = V.vector_index(d, 24)
+    want = best(cosine(docs, queries), 10)
+    got = rows(V.vector_index_top_k(q, index, 10, probes=4, exact=False).select("query_id", "collection", "doc_id"))
+    assert len(set(got) & set(want)) >= 0.9 * len(want)
+    assert rows(V.vector_index_top_k(q, index, 10, probes=1).select("query_id", "collection", "doc_id")) == want
+
+
+def test_ids_of_two_collections_keep_their_vectors(spark):
+    d = spark.createDataFrame(
+        [(1, "A", "flu", [1.0, 0.0]), (1, "B", "flu cold cold cold", None), (2, "B", "flu", [0.0, 1.0])],
+        "doc_id long, collection string, text string, vector array<float>",
+    )
+    q = spark.createDataFrame([(7, "flu", [1.0, 0.0])], "query_id int, query string, vector array<float>")
+    got = {(r["collection"], r["doc_id"]): r["score"] for r in S.hybrid_top_k(q, d, 3).collect()}
+    assert got["B", 1] == 0.0 and got["A", 1] == 1.0
 
 
 @pytest.mark.parametrize("alpha", [0.5, 0.9, 0.0])

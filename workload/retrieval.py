@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vinculum.functions.ranking import top_k
+from vinculum.operators import keyword_index as K
 from vinculum.operators import search as S
+from vinculum.operators import vector_index as V
 from vinculum.plans import retrieval as plan
 from vinculum.session import write_through
 from workload import standin as T
 from workload.graph import BOTH_QUERIES_SQL, FULL, both_queries, path_sql
 from workload.registry import query
 
-K = 5
+TOP = 5
 COLLECTIONS = ("Drug", "Disease", "Target", "Pathway")
 
 
@@ -62,7 +64,7 @@ fused AS (SELECT query_id, collection, doc_id,
   LEFT JOIN kr USING (query_id, collection) LEFT JOIN vr USING (query_id, collection))"""
 
 
-def _ranked(source: str, score: str, k: int = K) -> str:
+def _ranked(source: str, score: str, k: int = TOP) -> str:
     return f"""SELECT query_id, collection, doc_id, {score} AS score,
   row_number() OVER (PARTITION BY query_id, collection ORDER BY {score} DESC, doc_id)::INTEGER AS rank
 FROM {source} QUALIFY rank <= {k}"""
@@ -70,24 +72,54 @@ FROM {source} QUALIFY rank <= {k}"""
 
 @query("bm25_topk", f"WITH {TEXT_SQL}, {KEYWORD_SQL} {_ranked('kw', 'kw')}")
 def bm25_topk(spark, sf):
-    rows = S.keyword_top_k(text_queries(spark, sf), text_docs(spark, sf), K)
+    rows = K.keyword_top_k(text_queries(spark, sf), text_docs(spark, sf), TOP)
     return rows.select("query_id", "collection", "doc_id", F.col("kw").alias("score"), "rank")
 
 
 @query("vector_topk", f"WITH {TEXT_SQL}, {VECTOR_SQL} {_ranked('vec', 'vec')}")
 def vector_topk(spark, sf):
     docs = text_docs(spark, sf).where(F.col("vector").isNotNull())
-    rows = S.vector_top_k(text_queries(spark, sf), docs, K)
+    rows = V.vector_top_k(text_queries(spark, sf), docs, TOP)
     return rows.select("query_id", "collection", "doc_id", F.col("vec").alias("score"), "rank")
 
 
+@query("vector_cells_topk", f"WITH {TEXT_SQL}, {VECTOR_SQL} {_ranked('vec', 'vec')}")
+def vector_cells_topk(spark, sf):
+    """The exact search through the cell index."""
+    index = V.vector_index(text_docs(spark, sf).where(F.col("vector").isNotNull()))
+    rows = V.vector_index_top_k(text_queries(spark, sf), index, TOP)
+    return rows.select("query_id", "collection", "doc_id", F.col("vec").alias("score"), "rank")
+
+
+def repeated_docs(spark, sf):
+    """Documents of two collections whose ids repeat in both; one of each pair has the vector."""
+    docs = text_docs(spark, sf)
+    even = F.col("doc_id") % 2 == 0
+    first = docs.select(F.lit("first").alias("collection"), "doc_id", "text", F.when(even, F.col("vector")).alias("vector"))
+    return first.unionByName(docs.select(F.lit("second").alias("collection"), "doc_id", "text", F.when(~even, F.col("vector")).alias("vector")))
+
+
+REPEATED_SQL = f"""{TEXT_SQL.replace("d AS (", "d0 AS (")},
+d AS (SELECT doc_id, 'first' AS collection, text, CASE WHEN doc_id % 2 = 0 THEN v END AS v FROM d0
+  UNION ALL SELECT doc_id, 'second', text, CASE WHEN doc_id % 2 <> 0 THEN v END FROM d0)"""
+
+
+@query(
+    "hybrid_repeated_ids",
+    f"WITH {REPEATED_SQL}, {KEYWORD_SQL}, {VECTOR_SQL}, {FUSED_SQL}, r AS ({_ranked('fused', 'score')}) SELECT query_id, collection, doc_id, {CUT.format('score')} AS score, rank FROM r",
+)
+def hybrid_repeated_ids(spark, sf):
+    rows = S.hybrid_top_k(text_queries(spark, sf), repeated_docs(spark, sf), TOP)
+    return rows.select("query_id", "collection", "doc_id", K.quantised(F.col("score")).alias("score"), "rank")
+
+
 @query(
     "hybrid_topk",
     f"WITH {TEXT_SQL}, {KEYWORD_SQL}, {VECTOR_SQL}, {FUSED_SQL}, r AS ({_ranked('fused', 'score')}) SELECT query_id, collection, doc_id, {CUT.format('score')} AS score, rank FROM r",
 )
 def hybrid_topk(spark, sf):
-    rows = S.hybrid_top_k(text_queries(spark, sf), text_docs(spark, sf), K)
-    return rows.select("query_id", "collection", "doc_id", S.quantised(F.col("score")).alias("score"), "rank")
+    rows = S.hybrid_top_k(text_queries(spark, sf), text_docs(spark, sf), TOP)
+    return rows.select("query_id", "collection", "doc_id", K.quantised(F.col("score")).alias("score"), "rank")
 
 
 @query(
@@ -148,7 +180,7 @@ def _hits(spark, sf):
     f"WITH {HITS_SQL} SELECT query_id, rank, id, name, description, {CUT.format('score')} AS score, collection, source FROM hits",
 )
 def hybrid_search(spark, sf):
-    return _hits(spark, sf).withColumn("score", S.quantised(F.col("score")))
+    return _hits(spark, sf).withColumn("score", K.quantised(F.col("score")))
 
 
 PATHS_SQL = f"""p0 AS ({path_sql(T.path_edges_sql(*FULL), BOTH_QUERIES_SQL, RESULTS, stop=True)}),
@@ -190,10 +222,11 @@ results AS (SELECT *, CASE WHEN leg = 0 THEN coalesce(score, 0.5) ELSE 0.8 END::
 
 
 def _results(spark, sf, scored: bool = True):
-    corpus = graph_corpus(spark, sf)
-    scorer = S.overlap_scorer(S.document_frequencies(corpus)) if scored else None
+    corpus, asked = graph_corpus(spark, sf), requests(spark, sf)
+    index = K.keyword_index(corpus, K.query_terms(asked))
+    scorer = S.overlap_scorer(K.document_frequencies(index)) if scored else None
     return plan.retrieve(
-        requests(spark, sf), T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL), corpus, COLLECTIONS, scorer
+        asked, T.nodes(spark, sf), T.stored_edges(spark, sf, *FULL), corpus, COLLECTIONS, scorer, index=index
     )
 
 
@@ -201,7 +234,7 @@ OUT_SQL = f"SELECT query_id, rank, leg, id, text, {CUT.format('rerank_score')} A
 
 
 def _out(rows):
-    return rows.select("query_id", "rank", "leg", "id", "text", S.quantised(F.col("rerank_score")).alias("rerank_score"))
+    return rows.select("query_id", "rank", "leg", "id", "text", K.quantised(F.col("rerank_score")).alias("rerank_score"))
 
 
 @query("merge_rerank", f"WITH {RERANKED_SQL} {OUT_SQL}")
@@ -217,7 +250,7 @@ def rerank_fallback(spark, sf):
 @query("one_leg_only", f"WITH {HITS_SQL} SELECT query_id, rank, id, {CUT.format('score')} AS rerank_score FROM hits")
 def one_leg_only(spark, sf):
     rows = plan.retrieve(requests(spark, sf), corpus=graph_corpus(spark, sf), collections=COLLECTIONS)
-    return rows.select("query_id", "rank", "id", S.quantised(F.col("rerank_score")).alias("rerank_score"))
+    return rows.select("query_id", "rank", "id", K.quantised(F.col("rerank_score")).alias("rerank_score"))
 
 
 @query(
@@ -242,7 +275,7 @@ ENTITIES_SQL = f"""{RERANKED_SQL}, entities AS (
 )
 def response_table(spark, sf):
     rows = S.response_table(_results(spark, sf), requests(spark, sf))
-    return rows.withColumn("score", S.quantised(F.col("score")))
+    return rows.withColumn("score", K.quantised(F.col("score")))
 
 
 @query(
@@ -252,7 +285,7 @@ def response_table(spark, sf):
 )
 def evidence_cards(spark, sf):
     rows = S.response_table(_results(spark, sf), requests(spark, sf))
-    return S.evidence_cards(rows.withColumn("score", S.quantised(F.col("score"))))
+    return S.evidence_cards(rows.withColumn("score", K.quantised(F.col("score"))))
 
 
 @query(
