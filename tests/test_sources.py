@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vinculum.operators.edges import relation_edges
 from vinculum.plans import drug_table, taxonomy_tables
 from vinculum.sources import drugs, readers, sinks, taxonomy
+from vinculum.sources.xml_records import xml_records
 
 DRUGS = """<?xml version="1.0" encoding="UTF-8"?>
 <drugbank xmlns="http://www.drugbank.ca" version="5.1">
@@ -83,6 +84,51 @@ def test_records_are_found_by_element_not_by_attributes(spark, tmp_path):
     assert len(rejects) == 1 and "W" in rejects[0]["text"]
 
 
+NESTED = "<pathways><pathway><drugs><drug{}><drugbank-id>N{}</drugbank-id></drug><drug/></drugs></pathway></pathways>"
+
+
+def odd_records(n):
+    """Records with nested elements that have attributes, comments, CDATA and instructions that look like tags, on one line."""
+    out = []
+    for i in range(n):
+        inside = [
+            NESTED.format(' kind="x"', i),
+            "<description><![CDATA[ a <drug type='x'> b </drug> ]]></description>",
+            "<!-- <drug> </drug> <pathways> --><indication>i</indication>",
+            "<?note <drug> ?>" + NESTED.format("", i),
+            "<toxicity><![CDATA[</drug>]]></toxicity><!-- ]]> </pathways> -->" + NESTED.format("", i),
+            "",
+        ][i % 6]
+        out.append(f"<drug><drugbank-id>DB{i}</drugbank-id>{inside}<name>{'n' * (i % 50)}x</name></drug>")
+    return out
+
+
+@pytest.mark.parametrize("size", ["300", "1000", "100000"])
+def test_nesting_comments_and_cdata_over_split_files(spark, tmp_path, size):
+    path = tmp_path / "odd.xml"
+    path.write_text("<drugbank><!-- </drug><drug> -->" + "".join(odd_records(60)) + "</drugbank>")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        found = drugs.read_drugs(spark, str(path)).collect()
+        assert sorted(r["drugbank_id"] for r in found) == sorted(f"DB{i}" for i in range(60))
+        assert {r["drugbank_id"]: r["name"] for r in found} == {f"DB{i}": "n" * (i % 50) + "x" for i in range(60)}
+        assert drugs.read_rejects(spark, str(path)).count() == 0
+        if size == "1000":
+            assert xml_records(spark, str(path), "drug", "pathways").rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_record_without_end_costs_only_itself(spark, tmp_path):
+    path = tmp_path / "broken.xml"
+    good = "<drug><drugbank-id>DB{}</drugbank-id>" + NESTED.format("", 0) + "</drug>"
+    path.write_text("<r>" + good.format(1) + "<drug><drugbank-id>BAD1</drugbank-id>" + good.format(2) + "<drug><drugbank-id>BAD2</drugbank-id><pathways></drug>" + good.format(3) + "<drug><drugbank-id>BAD4</drugbank-id>")
+    assert sorted(by_id(drugs.read_drugs(spark, str(path)))) == ["BAD4", "DB1", "DB2", "DB3"]
+    rejects = drugs.read_rejects(spark, str(path)).collect()
+    assert sorted(r["text"][19:23] for r in rejects) == ["BAD1", "BAD2"]
+
+
 def test_large_file_is_split(spark, tmp_path):
     path = tmp_path / "big.xml"
     record = '<drug type="biotech">\n<drugbank-id primary="true">DB{}</drugbank-id>\n<name>n</name>\n</drug>\n'

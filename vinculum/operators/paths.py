@@ -42,7 +42,7 @@ def match_names(queries: DataFrame, nodes: DataFrame, labels: tuple[str, ...]) -
     a shorter query), and the name is then compared. Of the names' substrings only those that
     some query has are stored.
     """
-    texts = queries.select("query_id", "query").where(F.length("query") > 0)
+    texts = write_through(queries.select("query_id", "query").where(F.length("query") > 0), "texts")
     lengths = [r["n"] for r in texts.select(F.least(F.length("query"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]
     if not lengths:
         return nodes.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id", "type").limit(0)
@@ -77,14 +77,19 @@ def _back(reach: DataFrame, adj: Adjacency) -> DataFrame:
     return rows.groupBy("query_id", "node").agg(F.min("edge").alias("low"), F.max("edge").alias("high"))
 
 
-def _ahead(asked: DataFrame, adj: Adjacency, r: int, end: str) -> DataFrame:
-    """(node, low, high) for those of the nodes asked that have a trail of ``r`` edges to any node of label ``end``."""
-    rows = adj.follow(asked).select(F.col("from_id").alias("start"), "edge", F.col("to_id").alias("node"), "to_type")
+def _near(adj: Adjacency, end: str) -> DataFrame:
+    """(node, low, high) of all nodes with an edge to one of label ``end``; summed where the edges lie."""
+    rows = adj.rows.where(F.col("to_type") == end).groupBy(F.col("from_id").alias("node"))
+    return rows.agg(F.min("edge").alias("low"), F.max("edge").alias("high"))
+
+
+def _ahead(asked: DataFrame, adj: Adjacency, r: int, near: DataFrame) -> DataFrame:
+    """(node, low, high) for those of the nodes asked that have a trail of ``r`` edges to the label of ``near``."""
     if r == 1:
-        rows = rows.where(F.col("to_type") == end)
-    else:
-        further = _ahead(rows.select("node").distinct(), adj, r - 1, end)
-        rows = rows.join(further, "node").where((F.col("low") != F.col("edge")) | (F.col("high") != F.col("edge")))
+        return near
+    rows = adj.follow(asked).select(F.col("from_id").alias("start"), "edge", F.col("to_id").alias("node"))
+    further = near if r == 2 else write_through(_ahead(rows.select("node").distinct(), adj, r - 1, near), "ahead")
+    rows = rows.join(further, "node").where((F.col("low") != F.col("edge")) | (F.col("high") != F.col("edge")))
     return rows.groupBy(F.col("start").alias("node")).agg(F.min("edge").alias("low"), F.max("edge").alias("high"))
 
 
@@ -108,20 +113,15 @@ def _step(trails: DataFrame, adj: Adjacency) -> DataFrame:
     return rows.select("query_id", F.col("to_id").alias("node"), F.col("to_type").alias("node_type"), *longer)
 
 
-def _first(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows whose nodes are among the first ``limit`` of their query, all rows with such nodes."""
-    place = F.rank().over(Window.partitionBy("query_id").orderBy("nodes"))
-    return rows.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
-
-
 def _able(trails: DataFrame, left: int, limit: int | None, ends: DataFrame | None, end: str) -> DataFrame:
     """Of trails that have ``low`` and ``high`` of their node, those that can end after ``left`` more edges.
 
-    They are cut to the first ``limit`` per query: as every trail that is kept ends somewhere and
-    paths of one length rank by their nodes first, later ones are in no result. Trails of which
-    this is not certain pass uncut and displace none: before the last edge where both ``low`` and
-    ``high`` are used, before the last two at an end (whose way back can be the edge they came by);
-    these are parallel edges, or paths that were already found shorter.
+    They are cut to the first ``limit`` per query, those with equal nodes included: as every trail
+    that is kept ends somewhere and paths of one length rank by their nodes first, later ones are in
+    no result. Trails of which this is not certain are cut on their own: before the last edge where
+    both ``low`` and ``high`` are used, before the last two at an end (whose way back can be the
+    edge they came by). These begin with a path of one edge, and a query that is still followed
+    has fewer of those than ``limit``; so none of them is cut.
     """
     used = lambda c: F.array_contains("keys", F.col(c))
     last = F.element_at("keys", -1)
@@ -135,11 +135,12 @@ def _able(trails: DataFrame, left: int, limit: int | None, ends: DataFrame | Non
             kept = kept.join(ends.withColumn("_end", F.lit(True)), EACH, "left")
             unsure = F.col("_end").isNotNull()
     if limit is not None and left <= 2:
-        kept = _first(kept.where(~unsure), limit).unionByName(kept.where(unsure))
+        place = F.rank().over(Window.partitionBy("query_id", "_unsure").orderBy("nodes"))
+        kept = kept.withColumn("_unsure", unsure).withColumn("_place", place).where(F.col("_place") <= limit)
     return kept.select("query_id", "node", "node_type", "nodes", "rels", "keys")
 
 
-def _paths(hops: int, seeds: DataFrame, adj: Adjacency, reach: list[DataFrame] | None, limit: int | None, start: str, end: str, starts: DataFrame) -> DataFrame:
+def _paths(hops: int, seeds: DataFrame, adj: Adjacency, reach: list[DataFrame] | None, limit: int | None, start: str, end: str, starts: DataFrame, near: DataFrame | None) -> DataFrame:
     """Trails of exactly ``hops`` edges, start node first.
 
     Without ``reach`` the ``seeds`` are trails of one edge, and lead to any end. With it they are end
@@ -158,7 +159,9 @@ def _paths(hops: int, seeds: DataFrame, adj: Adjacency, reach: list[DataFrame] |
         ends, final = seeds, None
     for left in range(hops - 1, 0, -1):
         if reach is None:
-            trails = trails.join(_ahead(trails.select("node").distinct(), adj, left, end), "node")
+            if left < hops - 1:
+                trails = write_through(trails, "trails")
+            trails = trails.join(_ahead(trails.select("node").distinct(), adj, left, near), "node")
         elif left < hops - 1:
             trails = trails.join(reach[left], EACH)
         trails = _step(_able(trails, left, cut, ends, end), adj)
@@ -206,16 +209,19 @@ def search_paths(
     present = {r["type"] for r in matches.select("type").distinct().collect()}
     if start in present:
         first = write_through(_step(starts.select(*EACH, *_trail(F.col("node"))), adj), "first")
+    near = None
     reach = [ends]
     levels: list[DataFrame] = []
     for hops in range(1, max_hops + 1):
         if hops > 1 and end in present:
             reach.append(write_through(_back(reach[-1], adj), f"reach{hops - 1}"))
         found = []
+        if hops > 1 and start in present and near is None:
+            near = write_through(_near(adj, end), "near")
         if start in present:
-            found.append(_paths(hops, first, adj, None, limit, start, end, starts))
+            found.append(_paths(hops, first, adj, None, limit, start, end, starts, near))
         if end in present:
-            found.append(_paths(hops, ends, adj, reach, limit, start, end, starts))
+            found.append(_paths(hops, ends, adj, reach, limit, start, end, starts, near))
         if not found:
             break
         level = _ranked(reduce(DataFrame.unionByName, found), limit)

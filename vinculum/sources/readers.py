@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinculum import schemas
+from vinculum.sources.xml_records import xml_records
 
 CORRUPT = "_corrupt_record"
 
@@ -38,27 +39,15 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, nested_i
     boundaries, which splits a file over many tasks, and each record is
     parsed on its own: a malformed one is marked and costs nothing else.
 
-    Where elements of the same name are nested inside ``nested_in``, text is
-    cut at openings with attributes, and whole records are then found in
-    each piece, with attributes in any order or none; what is left of a
-    piece and still looks like a record is a reject.
+    Where elements of the same name are nested inside ``nested_in``, records are found by
+    ``xml_records``, which knows nesting, comments and CDATA.
     """
-    opening = rf"<{row_tag}[\s>]"
-    cut = f"<{row_tag} " if nested_in else f"</{row_tag}>"
-    chunks = spark.read.option("lineSep", cut).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     if nested_in:
-        # An element holds text, whole ``nested_in`` elements, and tags that are not its own; no step backs up.
-        inside = rf"[^<]*+(?:(?:<{nested_in}>(?s:.*?)</{nested_in}>|<(?!/?{row_tag}[\s>]))[^<]*+)*+"
-        whole = rf"{opening}{inside}</{row_tag}>"
-        piece = F.when(F.col("value").rlike(r"^\s*(<|$)"), F.col("value")).otherwise(F.concat(F.lit(cut), F.col("value")))
-        pieces = chunks.select("file", piece.alias("piece")).where(F.col("piece").rlike(opening))
-        left = F.regexp_extract(F.regexp_replace("piece", whole, ""), rf"(?s){opening}.*", 0)
-        rest = F.when(left != "", F.array(F.struct(left.alias("text"), F.lit(True).alias("lost"))))
-        found = F.transform(F.regexp_extract_all("piece", F.lit(f"({whole})"), F.lit(1)), lambda t: F.struct(t.alias("text"), F.lit(False).alias("lost")))
-        records = pieces.select("file", F.explode(F.concat(found, F.coalesce(rest, F.expr("cast(array() as array<struct<text:string,lost:boolean>>)")))).alias("r"))
-        records = records.select("file", "r.text", "r.lost")
+        records = xml_records(spark, path, row_tag, nested_in)
     else:
-        text = F.concat(F.regexp_extract("value", rf"(?s){opening}.*", 0), F.lit(f"</{row_tag}>"))
+        opening, close = rf"<{row_tag}[\s>]", f"</{row_tag}>"
+        chunks = spark.read.option("lineSep", close).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+        text = F.concat(F.regexp_extract("value", rf"(?s){opening}.*", 0), F.lit(close))
         records = chunks.where(F.col("value").rlike(opening)).select("file", text.alias("text"), F.lit(False).alias("lost"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     # The explode of one item keeps later filters from repeating the parsing.

@@ -103,6 +103,42 @@ def drug_xml_any_attributes(spark, sf):
     return drugs.read_drugs(spark, path).select("drugbank_id", "name")
 
 
+def _odd_dump(spark, sf, name, inside):
+    """Attribute-free records out of parts, ``inside`` between id and name."""
+    part = T.table(spark, sf, "part")
+    record = F.concat(F.lit("<drug><drugbank-id>DB"), "p_partkey", F.lit("</drugbank-id>"), inside, F.lit("<name>"), "p_name", F.lit("</name></drug>"))
+    path = scratch_dir(spark, name)
+    part.select(record.alias("value")).write.text(path)
+    return path
+
+
+def _with_rejects(spark, path):
+    rejects = drugs.read_rejects(spark, path).select(F.lit("reject").alias("drugbank_id"), F.col("text").alias("name"))
+    return drugs.read_drugs(spark, path).select("drugbank_id", "name").unionByName(rejects)
+
+
+@query("drug_xml_nested_attributes", ATTRIBUTE_ORDER)
+def drug_xml_nested_attributes(spark, sf):
+    """Nested elements that have attributes are no records, and no record is a reject."""
+    kind = F.concat(F.lit('<drug kind="'), "p_brand", F.lit('" a="1>0"><drugbank-id>N</drugbank-id></drug><drug kind="y"/>'))
+    nested = F.concat(F.lit("<pathways><pathway><drugs>"), kind, F.lit("</drugs></pathway></pathways>"))
+    return _with_rejects(spark, _odd_dump(spark, sf, "drug-xml-nested", nested))
+
+
+@query("drug_xml_cdata", ATTRIBUTE_ORDER)
+def drug_xml_cdata(spark, sf):
+    """Text in CDATA, comments and instructions that looks like tags is none."""
+    odd = F.element_at(
+        F.array(
+            F.lit('<description><![CDATA[ <drug type="x"> </drug> </pathways> ]]></description>'),
+            F.lit("<!-- <drug> a </drug> <drug> --><?note </drug> <pathways> ?>"),
+            F.lit("<toxicity><![CDATA[</drug>]]></toxicity><pathways><!-- ]]> </pathways> --><pathway><drugs><drug/></drugs></pathway></pathways>"),
+        ),
+        (F.col("p_partkey") % 3 + 1).cast("int"),
+    )
+    return _with_rejects(spark, _odd_dump(spark, sf, "drug-xml-cdata", odd))
+
+
 @query("drug_xml_basic", f"WITH {DRUGS_SQL} " + RECORD_SQL.format(key="'first'"))
 def drug_xml_basic(spark, sf):
     return _record(drugs.read_drugs_basic(spark, drug_dump(spark, sf)))
