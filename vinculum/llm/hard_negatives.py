@@ -47,7 +47,7 @@ NEGATIVES = 3
 LOW, HIGH = 50, 95  # a negative's score in percent of the positive's
 BLOCK_ROWS = 4096
 ANCHOR_ROWS = 256
-CELL_BLOCKS = 16  # blocks of rows, and blocks of anchors, that meet in a cell
+CELL_BLOCKS = 4  # blocks of rows, and blocks of anchors, that meet in a cell
 STEP = 8  # dimensions read between two looks at the bounds
 
 BLOCK = "block bigint, label bigint, ids binary, columns array<binary>, least binary, largest binary"
