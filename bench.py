@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from vinculum.session import build_session  # noqa: E402
+from vinculum.session import build_session, scratch_run  # noqa: E402
 from workload.catalog import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -70,9 +70,10 @@ def main() -> None:
     for name in names:
         times = []
         for _ in range(repeats):
-            started = time.perf_counter()
-            run(name)
-            times.append(time.perf_counter() - started)
+            with scratch_run(spark):
+                started = time.perf_counter()
+                run(name)
+                times.append(time.perf_counter() - started)
         seconds[name] = round(statistics.median(times), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(

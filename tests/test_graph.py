@@ -1,16 +1,19 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from vinculum.functions import ranking
+from vinculum.functions.ranking import first_rows
 from vinculum.operators.adjacency import store_adjacency
 from vinculum.operators import cleanup, edges as E, infer, nodes as N, paths as P, taxonomy as tree
 from vinculum.operators.enrich import enrich_structure
 from vinculum.operators.harmonise import harmonise
 from vinculum.plans import graph_build
+from vinculum.session import scratch_dir, scratch_run
 from vinculum.sources import readers
 
 
@@ -131,12 +134,13 @@ def test_identical_rows_are_dropped(spark):
 # --- ranking ---
 
 
-def test_top_k_is_exact_with_and_without_salt(spark):
+def test_top_k_is_exact_above_the_limit_of_windows(spark, monkeypatch):
     df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("v"), "id")
     order = [F.col("v"), F.col("id")]
-    salted = ranking.top_k(df, ["g"], order, 1500, salt=["id"])
+    by_ranges = ranking.top_k(df, ["g"], order, 1500)
+    monkeypatch.setattr(ranking, "GROUP_LIMIT", 5000)
     plain = ranking.top_k(df, ["g"], order, 1500)
-    assert rows(salted) == rows(plain) and salted.count() == 3000
+    assert rows(by_ranges) == rows(plain) and by_ranges.count() == 3000
 
 
 def test_first_per_key_with_a_map_column(spark):
@@ -328,3 +332,58 @@ def test_graph_build_from_files(spark, tmp_path):
     assert summary["nodes"] == 6 and summary["edges"] == 4
     csv = readers.read_graph_csv(spark, str(tmp_path / "out" / "edges"))
     assert ("CH1(Drug)", "U1(Target)") in {(r[":START_ID"], r[":END_ID"]) for r in csv.collect()}
+
+
+def test_hot_targets_are_dealt_by_their_size(spark):
+    rng = random.Random(12)
+    assoc = {("hot", f"d{i}") for i in range(60)} | {(f"t{i % 9}", f"d{rng.randrange(20)}") for i in range(60)}
+    paths = {("hot", f"p{i}") for i in range(25)} | {(f"t{i % 9}", f"p{rng.randrange(6)}") for i in range(30)}
+    a = spark.createDataFrame(sorted(assoc), "target string, disease string")
+    p = spark.createDataFrame(sorted(paths), "target string, pathway string")
+    assert rows(infer.link_pathways(a, p, part_combinations=40)) == _links(assoc, paths, None)
+    assert rows(infer.guarded_targets(a, p, 1000).select("target")) == [("hot",)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 399, 400, 1000])
+def test_first_rows_of_any_number(spark, n):
+    data = [(i * 37 % 401, i % 3) for i in range(400)]
+    df = spark.createDataFrame(data, "a int, b int").repartition(6)
+    assert rows(first_rows(df, [F.desc("b"), F.col("a")], n)) == sorted(sorted(data, key=lambda r: (-r[1], r[0]))[:n])
+
+
+def test_a_hub_in_parts_keeps_its_paths(spark):
+    """A target with most of the edges; every query fills its limit behind it."""
+    nodes = [("hub", "Target", "Hub")] + [(f"d{i:03}", "Drug", f"drug {i:03}") for i in range(200)] + [(f"x{i:03}", "Disease", f"ill {i:03}") for i in range(200)]
+    edges = [(f"d{i:03}", "hub", "T", "Drug", "Target") for i in range(200)] + [("hub", f"x{i:03}", "A", "Target", "Disease") for i in range(200)]
+    n = spark.createDataFrame(nodes, "id string, type string, name string")
+    adj = store_adjacency(spark.createDataFrame(edges, EDGE), hub_edges=50)
+    assert [tuple(r) for r in adj.hubs.collect()] == [("hub", 8)]
+    q = spark.createDataFrame([(1, "ill 007"), (2, "drug 019"), (3, "drug"), (4, "ill")], "query_id int, query string")
+    found = {}
+    for r in P.search_paths(q, n, adj, limit=5).collect():
+        found.setdefault(r["query_id"], []).append(tuple(r["nodes"]))
+    assert sorted(found[1]) == [(f"d{i:03}", "hub", "x007") for i in range(5)]
+    assert sorted(found[2]) == [("d019", "hub", f"x{i:03}") for i in range(5)]
+    assert sorted(found[3]) == sorted(found[4]) == [("d000", "hub", f"x{i:03}") for i in range(5)]
+
+
+def test_a_run_leaves_nothing_behind(spark):
+    with scratch_run(spark) as own:
+        n = spark.createDataFrame([("a", "Drug", "A"), ("b", "Disease", "B")], "id string, type string, name string")
+        e = spark.createDataFrame([("a", "b", "T", "Drug", "Disease")], EDGE)
+        q = spark.createDataFrame([(1, "A")], "query_id int, query string")
+        assert P.search_paths(q, n, e).count() == 1
+        folder = Path(scratch_dir(spark).removeprefix("file:").rpartition(own)[0] + own)
+        assert any(folder.rglob("*.parquet"))
+    assert not folder.exists()
+
+
+def test_large_k_is_cut_by_ranges(spark):
+    data = [(None if i % 5 == 0 else "AB"[i % 2], i * 37 % 2503) for i in range(2500)]
+    df = spark.createDataFrame(data, "g string, v int").repartition(6)
+    got = sorted((r["g"] or "", r["v"], r["rank"]) for r in ranking.top_k(df, ["g"], [F.col("v").desc()], 1001).collect())
+    want = []
+    for g in (None, "A", "B"):
+        own = sorted((v for x, v in data if x == g), reverse=True)[:1001]
+        want += [(g or "", v, i) for i, v in enumerate(own, 1)]
+    assert got == sorted(want)

@@ -163,6 +163,17 @@ def dedupe_edges(edges: DataFrame, keys: Sequence[str] = ("source", "target", "t
     return first_per_key(edges, list(keys), ["builder", *payload])
 
 
+LABELS = ("source_label", "target_label")
+
+
+def label_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes, with the labels of these: one join for each end, for all later steps."""
+    for end, label in zip(("source", "target"), LABELS, strict=True):
+        side = nodes.select(F.col("id").alias("_id"), F.col("type").alias(label))
+        edges = edges.join(side, edges[end] == side["_id"]).drop("_id")
+    return edges
+
+
 def remove_orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     ids = nodes.select("id")
@@ -180,13 +191,12 @@ def orphan_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where(missing).drop("source_found", "target_found")
 
 
-def suffix_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Both ends as ``id(Label)``. The inner joins remove orphan edges as well."""
-    for end in ("source", "target"):
-        side = nodes.select(F.col("id").alias("_id"), F.col("type").alias("_label"))
-        joined = edges.join(side, edges[end] == side["_id"])
-        edges = joined.withColumn(end, C.with_label(F.col(end), F.col("_label"))).drop("_id", "_label")
-    return edges
+def suffix_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Both ends as ``id(Label)``. Edges that ``label_ends`` has labelled need no nodes and no join."""
+    if nodes is not None:
+        edges = label_ends(edges, nodes)
+    named = {end: C.with_label(F.col(end), F.col(label)) for end, label in zip(("source", "target"), LABELS, strict=True)}
+    return edges.withColumns(named).drop(*LABELS)
 
 
 def edge_post_pass_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:

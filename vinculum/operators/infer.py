@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vinculum.functions.ranking import first_rows
 from vinculum.operators.edges import edge
 from vinculum.operators.harmonise import harmonise
+from vinculum.session import write_through
 
 # Fixed value: with the guard on, a target with more (disease, pathway) combinations is left out.
 MAX_COMBINATIONS = 10_000
 
-# A target without a combination guard is split into this many parts.
-PARTS = 32
+# A target with more combinations is split into parts of about this many.
+PART_COMBINATIONS = 1_000_000
 
 
 def target_disease_pairs(associations: DataFrame, disease_map: DataFrame | None = None) -> DataFrame:
@@ -34,28 +36,35 @@ def shared_targets(diseases: DataFrame, pathways: DataFrame) -> DataFrame:
     return n_diseases.join(n_pathways, "target")
 
 
+def guarded_targets(diseases: DataFrame, pathways: DataFrame, max_combinations: int = MAX_COMBINATIONS) -> DataFrame:
+    """(target, diseases, pathways) of the targets that the guard leaves out."""
+    return shared_targets(diseases, pathways).where(F.col("diseases") * F.col("pathways") > max_combinations)
+
+
 def link_pathways(
-    diseases: DataFrame, pathways: DataFrame, max_combinations: int | None = None
+    diseases: DataFrame, pathways: DataFrame, max_combinations: int | None = None, part_combinations: int = PART_COMBINATIONS
 ) -> DataFrame:
     """(pathway, disease, support, via_target) over distinct pairs.
 
-    ``support`` counts the shared targets, ``via_target`` is the smallest.
-    With the guard the rows joined per target are bounded by it: the guard
-    filters the pathway side *before* the join. Without the guard a hot
-    target is spread by salting the disease side and repeating the (much
-    shorter) pathway side per salt.
+    ``support`` counts the shared targets, ``via_target`` is the smallest. The pairs are stored
+    and counted by target. A target with more combinations than ``part_combinations`` has its
+    diseases dealt to as many parts as its size asks for, each of which meets all its pathways;
+    the others are joined as they are. With a guard, larger targets are left out before the join
+    (``guarded_targets`` names them).
     """
-    keys = ["target"]
+    diseases, pathways = write_through(diseases, "target-diseases"), write_through(pathways, "target-pathways")
+    sizes = shared_targets(diseases, pathways).withColumn("n", F.col("diseases") * F.col("pathways"))
     if max_combinations is not None:
-        counts = shared_targets(diseases, pathways)
-        kept = counts.where(F.col("diseases") * F.col("pathways") <= max_combinations)
+        kept = sizes.where(F.col("n") <= max_combinations)
         pathways = pathways.join(kept.select("target"), "target", "left_semi")
-    else:
-        diseases = diseases.withColumn("part", F.pmod(F.xxhash64("disease"), F.lit(PARTS)).cast("int"))
-        pathways = pathways.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        keys.append("part")
+    parts = F.ceil(F.col("n") / part_combinations).cast("int").alias("parts")
+    hot = write_through(sizes.where(F.col("n") > part_combinations).select("target", parts), "hot-targets")
+    part = F.pmod(F.xxhash64("disease"), F.coalesce("parts", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    diseases = diseases.join(hot, "target", "left").withColumn("part", part).drop("parts")
+    pathways = pathways.join(hot, "target", "left").withColumn("part", every).drop("parts")
     return (
-        diseases.join(pathways, keys)
+        diseases.join(pathways, ["target", "part"])
         .groupBy("pathway", "disease")
         .agg(F.count("*").alias("support"), F.min("target").alias("via_target"))
     )
@@ -64,7 +73,7 @@ def link_pathways(
 def inferred_edges(links: DataFrame, cap: int | None = None) -> DataFrame:
     """ASSOCIATED_WITH edges of the links; ``cap`` keeps the best supported ones."""
     if cap is not None:
-        links = links.orderBy(F.desc("support"), "pathway", "disease").limit(cap)
+        links = first_rows(links, [F.desc("support"), F.col("pathway"), F.col("disease")], cap)
     return links.select(
         *edge(
             F.col("pathway"),

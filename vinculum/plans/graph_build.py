@@ -88,17 +88,18 @@ def build_edges(s: Sources, max_combinations: int | None = None, same_target_ids
 
 
 def build_graph(s: Sources, **options) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): merged nodes, deduped edges with both ends among them.
+    """(nodes, edges): merged nodes, deduped edges with both ends among them and their labels.
 
-    Each table is stored once, since every later step reads it again.
+    Each table is stored once, since every later step reads it again. The two joins that find
+    orphans bring the labels the CSV needs.
     """
     nodes = write_through(build_nodes(s), "nodes")
-    edges = E.remove_orphans(E.dedupe_edges(build_edges(s, **options)), nodes).drop("builder")
+    edges = E.label_ends(E.dedupe_edges(build_edges(s, **options)), nodes).drop("builder")
     return nodes, write_through(edges, "edges")
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, output: str) -> DataFrame:
     """Import CSV of nodes and edges; returns the build summary."""
     sinks.write_node_csv(nodes, output)
-    sinks.write_edge_csv(E.suffix_edges(edges, nodes), output)
+    sinks.write_edge_csv(E.suffix_edges(edges), output)
     return build_summary(nodes, edges)

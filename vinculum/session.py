@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,9 @@ SETTINGS = {
 }
 
 
+RUN = "spark.vinculum.run"  # the folder of the run that is open
+
+
 def build_session(app: str = "vinculum", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the library's settings; ``extra`` overrides them."""
     builder = SparkSession.builder.appName(app)
@@ -30,20 +34,39 @@ def build_session(app: str = "vinculum", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """What is stored inside the block lies in a folder of its own, which is deleted at its end.
+
+    Read the results inside the block.
+    """
+    outer = spark.conf.get(RUN, "")
+    own = f"{outer}run-{uuid.uuid4().hex}/"
+    spark.conf.set(RUN, own)
+    try:
+        yield own
+    finally:
+        spark.conf.set(RUN, outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{_base(spark)}/vinculum/{own}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_dir(spark: SparkSession, name: str = "tmp") -> str:
     """A fresh path under the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a
-    local-mode session without the setting falls back to the machine's own
-    temporary folder; on a cluster that would not be visible to executors.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a local-mode session without
+    the setting falls back to its warehouse folder.
     """
+    return f"{_base(spark)}/vinculum/{spark.conf.get(RUN, '')}{name}-{uuid.uuid4().hex}"
+
+
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/vinculum/{name}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return base.rstrip("/")
 
 
 def write_through(df: DataFrame, name: str) -> DataFrame:

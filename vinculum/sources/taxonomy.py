@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinculum import schemas
 from vinculum.functions import columns as C
+from vinculum.functions.ranking import top_k
 from vinculum.sources import readers
 
 # Fixed value: tree numbers of the disease branch start with this letter.
@@ -90,24 +94,41 @@ def available_years(spark: SparkSession, folder: str) -> DataFrame:
     return years.where(F.col("year").isNotNull()).distinct().orderBy("year")
 
 
-def read_kind(spark: SparkSession, folder: str, kind: str, year: int | None = None) -> DataFrame | None:
-    """One record kind of one year, or of every year in a single scan, with a ``year`` column."""
+def _paths(spark: SparkSession, folder: str, kind: str, years: Sequence[int] | int | None) -> list[str]:
+    """The files of one kind: of all years, or of those named; a year that has none is left out."""
+    if years is None:
+        return [f"{folder}/{kind}*.xml"]
+    wanted = [years] if isinstance(years, int) else sorted(set(years))
+    return [f"{folder}/{kind}{year}.xml" for year in wanted]
+
+
+def read_kind(spark: SparkSession, folder: str, kind: str, year: Sequence[int] | int | None = None, limit: int | None = None) -> DataFrame | None:
+    """One record kind of one year, some years, or every year, with a ``year`` column; other files are not opened.
+
+    ``limit`` keeps the first records of each year by id.
+    """
     row_tag, schema, project = KINDS[kind]
-    path = f"{folder}/{kind}{year if year else '*'}.xml"
-    raw = readers.optional(lambda: readers.read_xml(spark, path, row_tag, schema))
-    if raw is None:
+    scans = [readers.optional(lambda p=path: readers.read_xml(spark, p, row_tag, schema)) for path in _paths(spark, folder, kind, year)]
+    scans = [x for x in scans if x is not None]
+    if not scans:
         return None
-    return project(readers.good_rows(raw, C.year_of_file(F.col("file")).alias("year")), ["year"])
+    raw = reduce(DataFrame.unionByName, scans)
+    rows = project(readers.good_rows(raw, C.year_of_file(F.col("file")).alias("year")), ["year"])
+    return top_k(rows, ["year"], [F.col("id")], limit).drop("rank") if limit else rows
 
 
 def read_years(
-    spark: SparkSession, folder: str, year: int | None = None, include_supplementary: bool = True
+    spark: SparkSession,
+    folder: str,
+    year: Sequence[int] | int | None = None,
+    include_supplementary: bool = True,
+    limit: int | None = None,
 ) -> dict[str, DataFrame]:
     """Descriptors (mandatory), qualifiers and supplementary records (left out when absent)."""
     kinds = {"descriptors": "desc", "qualifiers": "qual"}
     if include_supplementary:
         kinds["supplementary"] = "supp"
-    found = {name: read_kind(spark, folder, kind, year) for name, kind in kinds.items()}
+    found = {name: read_kind(spark, folder, kind, year, limit) for name, kind in kinds.items()}
     if found["descriptors"] is None:
         raise FileNotFoundError(f"no descriptor file in {folder}" + (f" for {year}" if year else ""))
     return {name: df for name, df in found.items() if df is not None}

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import dumps, graph, retrieval, tables, trees  # noqa: F401
+from workload import dumps, files, graph, retrieval, tables, trees  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,6 +11,8 @@ import time
 
 import duckdb
 
+from vinculum.session import scratch_run
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -38,8 +40,9 @@ def canonical(columns: list[str], rows) -> list[tuple[str, ...]]:
 
 def compare(spark, sf: str, run, sql: str) -> tuple[str, int]:
     """("" or what differs, rows)."""
-    df = run(spark, sf)
-    mine = canonical(df.columns, [tuple(r) for r in df.collect()])
+    with scratch_run(spark):
+        df = run(spark, sf)
+        mine = canonical(df.columns, [tuple(r) for r in df.collect()])
     result = connect(sf).execute(sql)
     columns = [d[0] for d in result.description]
     theirs = canonical(columns, result.fetchall())

@@ -35,9 +35,9 @@ def _inference(spark, sf, guard):
     )
 
 
-@query("pathway_disease_inference", _inference_sql(infer.MAX_COMBINATIONS))
+@query("pathway_disease_inference", _inference_sql(None))
 def pathway_disease_inference(spark, sf):
-    return _inference(spark, sf, infer.MAX_COMBINATIONS)
+    return _inference(spark, sf, None)
 
 
 @query("pathway_disease_guarded", _inference_sql(2_900))
@@ -51,6 +51,18 @@ def pathway_disease_unguarded(spark, sf):
     return _inference(spark, sf, None)
 
 
+@query(
+    "guarded_targets",
+    f"""WITH td AS ({ASSOCIATION_PAIRS}), tp AS ({PATHWAY_PAIRS})
+SELECT d.target, d.n AS diseases, p.n AS pathways
+FROM (SELECT target, count(*) AS n FROM td GROUP BY target) d
+JOIN (SELECT target, count(*) AS n FROM tp GROUP BY target) p ON d.target = p.target WHERE d.n * p.n > 2900""",
+)
+def guarded_targets(spark, sf):
+    """What the guard of pathway_disease_guarded leaves out."""
+    return infer.guarded_targets(infer.target_disease_pairs(T.associations(spark, sf)), T.target_pathways(spark, sf), 2_900)
+
+
 @query(
     "shared_target_counts",
     f"""
@@ -77,13 +89,13 @@ def inferred_edges(spark, sf):
 @query(
     "inferred_edges_capped",
     f"""
-WITH l AS ({_inference_sql(infer.MAX_COMBINATIONS)})
+WITH l AS ({_inference_sql(None)})
 SELECT pathway AS source, disease AS target, 'ASSOCIATED_WITH' AS type, via_target
 FROM l ORDER BY support DESC, pathway, disease LIMIT 1000""",
 )
 def inferred_edges_capped(spark, sf):
     """The optional edge cap is what this query checks: the best supported links of all of them."""
-    links = _inference(spark, sf, infer.MAX_COMBINATIONS)
+    links = _inference(spark, sf, None)
     return infer.inferred_edges(links, cap=1000).select("source", "target", "type", "via_target")
 
 

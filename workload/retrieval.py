@@ -128,7 +128,7 @@ def hybrid_topk(spark, sf):
 )
 def hits_per_label_limited(spark, sf):
     rows = T.nodes(spark, sf).select("type", "id")
-    return top_k(rows, ["type"], [F.col("id")], 1200, salt=["id"])
+    return top_k(rows, ["type"], [F.col("id")], 1200)
 
 
 # --- retrieval over the graph ---
