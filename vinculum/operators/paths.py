@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -202,8 +203,10 @@ def search_paths(
     ``edges`` are stored as an ``Adjacency`` unless they are one. Set tables are stored, so that
     Spark knows their size: small ones are broadcast to the edges, large ones shuffled to them.
     """
-    adj = stored(edges)
-    matches = write_through(match_names(queries, nodes, (start, end)), "matches")
+    with ThreadPoolExecutor(1) as beside:  # the two do not need each other
+        building = beside.submit(stored, edges)
+        matches = write_through(match_names(queries, nodes, (start, end)), "matches")
+        adj = building.result()
     side = lambda label: matches.where(F.col("type") == label).select("query_id", F.col("id").alias("node"))
     starts, ends = side(start), side(end)
     present = {r["type"] for r in matches.select("type").distinct().collect()}

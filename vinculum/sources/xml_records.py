@@ -111,16 +111,17 @@ def _summaries(scanner: Scanner, close: str):
     return run
 
 
-def _first_states(summaries: list) -> dict[tuple[str, int], tuple[int, int]]:
-    """(lexical state, record state) at the start of every range."""
-    out, last_file = {}, None
+def _first_states(summaries: list) -> tuple[dict[tuple[str, int], tuple[int, int]], bool]:
+    """(lexical state, record state) at the start of every range, and whether a record is open at the end of any."""
+    out, last_file, runs_over = {}, None, False
     lexical = state = 0
     for row in sorted(summaries, key=lambda r: (r["file"], r["block"])):
         if row["file"] != last_file:
             last_file, lexical, state = row["file"], TEXT, OUTSIDE
         out[row["file"], row["block"]] = (lexical, state)
         lexical, state = row["lexical"][lexical], row["states"][lexical][state]
-    return out
+        runs_over = runs_over or state != OUTSIDE
+    return out, runs_over
 
 
 RECORDS = "file string, block bigint, text string, lost boolean, begun boolean, open boolean"
@@ -186,8 +187,10 @@ def xml_records(spark: SparkSession, path: str, row_tag: str, nested_in: str) ->
     pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     scanner = Scanner(row_tag, nested_in)
     found = pieces.mapInArrow(_summaries(scanner, close), "file string, block bigint, lexical array<int>, states array<array<int>>")
-    first = _first_states(found.collect())  # a few numbers for each range of the files
+    first, runs_over = _first_states(found.collect())  # a few numbers for each range of the files
     whole = pieces.mapInArrow(_records(scanner, close, first, False), RECORDS).select("file", "text", "lost")
+    if not runs_over:
+        return whole
     parts = pieces.mapInArrow(_records(scanner, close, first, True), RECORDS)
     order = Window.partitionBy("file").orderBy("block", F.desc("begun"))  # two fragments for each range of a file at most
     chained = parts.withColumn("chain", F.sum(F.when(F.col("begun"), 0).otherwise(1)).over(order))
