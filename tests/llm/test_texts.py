@@ -196,6 +196,17 @@ def test_viterbi_is_exact():
         assert cost(label[a : a + n]) == pytest.approx(best, abs=1e-4)
 
 
+def test_letters_are_those_of_unicode(spark):
+    """Digits, signs and marks of any script are no letters; presentation forms, mathematical and modifier letters are."""
+    none = ["3 \u00d7 4 \u00f7 2", "\u0661\u0662\u0663", "\u0967\u0968 \u2014 \u0964", "\U0001f600 !?", "", " \n", None]
+    some = ["\ufdf2 \ufefb", "\ufb01\ufb02", "\U0001d400\U0001d401", "\u2d30\u2d31", "\u02b0", "1 a"]
+    model = language_id.train(spark.createDataFrame([("the cat", "en"), ("die katze", "de")], "text string, lang string"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(none + some)], "doc_id int, text string")
+    out = {r.doc_id: r for r in language_id.label_spans(rows, model).collect()}
+    assert [(out[i].lang_pred, out[i].score) for i in range(len(none))] == [("und", 0.0)] * len(none)
+    assert {out[len(none) + i].lang_pred for i in range(len(some))} <= {"en", "de"}
+
+
 def test_language_spans(spark, docs, none):
     english, german, greek = "the house and the garden with this ", "und der hund mit dem ball nicht ", "και το σπίτι με την πόρτα "
     train = spark.createDataFrame([(english * 5, "en"), (german * 5, "de"), (greek * 5, "el"), (None, "xx"), ("???", None)], "text string, lang string")

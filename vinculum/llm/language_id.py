@@ -10,15 +10,17 @@ that labels most of its letters.
 Viterbi runs over many texts at once: texts are sorted by their number of words, and
 step k advances every text that has a k-th word.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; equal
+Defined cases: a text that is null or has no letter (Unicode category L) is ``und`` with score 0; equal
 shares go to the first language in alphabetical order; without any text to learn from
 every text is ``und``; repeated rows each keep their row.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,12 @@ SCRIPTS = (
 SCRIPT_STARTS = np.array([start for start, _ in SCRIPTS])
 SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 SCRIPT_OF = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS], np.int8)
-OTHER = SCRIPT_NAMES.index("other")
+
+
+@cache
+def letters() -> np.ndarray:
+    """Whether a code point is a letter, by its Unicode category. Scripts only narrow the candidates."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
 
 
 class Words:
@@ -97,7 +104,7 @@ class Words:
         )
         script = SCRIPT_OF[np.searchsorted(SCRIPT_STARTS, point, "right") - 1]
         text = np.searchsorted(t.offsets, head, "right") - 1
-        letter = script != OTHER
+        letter = letters()[np.minimum(point, 0x10FFFF)]
         inner = np.zeros(len(head) + 2, bool)
         inner[1:-1] = letter
         new_text = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
