@@ -8,13 +8,12 @@ work; the few hubs are a table of their own, by which lookups learn a node's par
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinculum.session import scratch_dir, write_through
+from vinculum.session import write_bucketed, write_through
 
 # Edges of one node that stay together.
 HUB_EDGES = 100_000
@@ -66,10 +65,8 @@ def store_adjacency(edges: DataFrame, hub_edges: int = HUB_EDGES, table: str | N
         part = F.pmod(F.xxhash64("to_id", "edge"), F.coalesce("parts", F.lit(1))).cast("int")
         keys, rows = ["from_id", "part"], rows.join(hubs, "from_id", "left").withColumn("part", part).drop("parts")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = table or f"adjacency_{uuid.uuid4().hex}"
-    writer = rows.select("from_id", "part", "to_id", "to_type", "rel", "edge").repartition(buckets, *keys).write
-    writer.bucketBy(buckets, *keys).sortBy(*keys).option("path", scratch_dir(spark, "adjacency")).saveAsTable(table)
-    return Adjacency(spark.table(table), hubs)
+    rows = rows.select("from_id", "part", "to_id", "to_type", "rel", "edge").repartition(buckets, *keys)
+    return Adjacency(write_bucketed(rows, "adjacency", keys, table), hubs)
 
 
 def stored(edges: DataFrame | Adjacency) -> Adjacency:
