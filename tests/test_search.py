@@ -165,6 +165,19 @@ def test_hybrid_is_exact(spark, alpha):
     assert all(s <= worst[k[:2]] + 1e-5 for k, s in fused.items() if k not in taken)
 
 
+def test_no_score_of_a_pair_leaves_a_task(spark, monkeypatch):
+    """One row of postings for each document, and k rows of a task for each query and collection, in any blocks."""
+    docs = [(i, "AB"[i % 2], "flu cold " * (1 + i % 5), [float(i), 1.0]) for i in range(300)]
+    d, q = frames(spark, docs, [(1, "flu", [1.0, 0.0]), (2, "cold flu", None), (3, "none", [0.0, 1.0])])
+    index = K.keyword_index(d, K.query_terms(q))
+    assert index.postings.count() == len(docs)
+    assert K._keyword(q, index, 2).count() <= 3 * 2 * 2 * 2
+    want = rows(S.hybrid_top_k(q, d, 4))
+    monkeypatch.setattr(K, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(K, "CELLS", 16)
+    assert rows(S.hybrid_top_k(q, d, 4, index=index)) == want and len(want) == 3 * 2 * 4
+
+
 def hits_and_paths(spark):
     q = spark.createDataFrame([(1, "asp heart", 2), (2, "none", 10)], "query_id int, query string, max_results int")
     hits = spark.createDataFrame(

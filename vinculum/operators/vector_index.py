@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vinculum.functions.ranking import top_k
-from vinculum.operators.keyword_index import SCALE
+from vinculum.operators.running import SCALE, Best
 from vinculum.session import write_through
 
 # Queries that are sent to the tasks as one matrix.
@@ -40,45 +40,19 @@ def unit(vector: Column) -> Column:
 
 def _micro(matrix: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Queries x documents, cosines in millionths."""
-    return np.floor(vectors @ matrix.T * SCALE + 0.5).astype("int64").T
-
-
-class _Best:
-    """The running best ``k`` and the worst one of each query, for one collection."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.bar = k, np.full(n, np.iinfo("int64").min)
-        self.row, self.score, self.ids = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, object)
-        self.low, self.low_id = np.full(n, np.iinfo("int64").max), np.full(n, None, object)
-
-    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
-        worst = score.argmin(axis=1)
-        low = score[np.arange(len(score)), worst]
-        less = low < self.low
-        self.low[less], self.low_id[less] = low[less], ids[worst[less]]
-        n = score.shape[1]
-        bar = self.bar if n <= self.k else np.maximum(self.bar, np.partition(score, n - self.k, axis=1)[:, n - self.k])
-        row, column = np.nonzero(score >= bar[:, None])
-        row, value, own = np.r_[self.row, row], np.r_[self.score, score[row, column]], np.r_[self.ids, ids[column].astype(object)]
-        order = np.lexsort((np.unique(own, return_inverse=True)[1], -value, row))
-        row = row[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = order[place < self.k]
-        self.row, self.score, self.ids = row[place < self.k], value[kept], own[kept]
-        full = place == self.k - 1
-        self.bar[row[full]] = value[order[full]]
+    return np.floor(vectors @ matrix.T * SCALE + 0.5).T
 
 
 def _running(ids: np.ndarray, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[str, _Best] = {}
+        best: dict[str, Best] = {}
         for batch in batches:
             for collection, part in batch.groupby("collection", sort=False):
-                own = best.setdefault(collection, _Best(len(ids), k))
+                own = best.setdefault(collection, Best(len(ids), k))
                 own.add(_micro(matrix, np.stack(part["vector"].to_numpy())), part["doc_id"].to_numpy())
         for collection, own in best.items():
-            yield pd.DataFrame({"query_id": ids[own.row], "collection": collection, "doc_id": own.ids, "micro": own.score, "is_best": True}, dtype=object)
-            yield pd.DataFrame({"query_id": ids, "collection": collection, "doc_id": own.low_id, "micro": own.low, "is_best": False}, dtype=object)
+            yield pd.DataFrame({"query_id": ids[own.row], "collection": collection, "doc_id": own.ids, "micro": own.score.astype("int64"), "is_best": True}, dtype=object)
+            yield pd.DataFrame({"query_id": ids, "collection": collection, "doc_id": own.low_id, "micro": own.low.astype("int64"), "is_best": False}, dtype=object)
 
     return run
 
