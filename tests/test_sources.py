@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +319,10 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(bundle["terms"]).where("year = 2025").count() == 2
     sinks.write_report(nodes, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_dump_of_one_file_is_written_by_many_tasks(spark):
+    from workload import dumps
+
+    path = dumps.drug_dump(spark, "/root/testdata/sf0.001")
+    assert len([f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]) > 1

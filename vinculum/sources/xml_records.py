@@ -50,7 +50,7 @@ class Scanner:
 
     def __init__(self, row_tag: str, nested_in: str):
         self.row_tag = row_tag
-        self.token = re.compile(rf"""<!--|<!\[CDATA\[|<\?|<(/?)({re.escape(row_tag)}|{re.escape(nested_in)})(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+        self.token = re.compile(rf"""<(?:!--|!\[CDATA\[|\?|(/?)({re.escape(row_tag)}|{re.escape(nested_in)})(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>)""")
 
     def __call__(self, piece: str, lexical: int) -> tuple[list[tuple[int, int, int]], int]:
         """[(event, start, end)], lexical state behind the piece."""

@@ -99,7 +99,7 @@ def drug_xml_any_attributes(spark, sf):
     nested = F.lit("<pathways><pathway><drugs><drug><drugbank-id>N</drugbank-id><name>n</name></drug><drug><name>m</name></drug></drugs></pathway></pathways>")
     record = F.concat(head, F.lit('<drugbank-id primary="true">DB'), "p_partkey", F.lit("</drugbank-id><name>"), "p_name", F.lit("</name>"), nested, F.lit("</drug>"))
     path = scratch_dir(spark, "drug-xml-attributes")
-    part.select(record.alias("value")).write.text(path)
+    T.spread(part).select(record.alias("value")).write.text(path)
     return drugs.read_drugs(spark, path).select("drugbank_id", "name")
 
 
@@ -108,7 +108,7 @@ def _odd_dump(spark, sf, name, inside):
     part = T.table(spark, sf, "part")
     record = F.concat(F.lit("<drug><drugbank-id>DB"), "p_partkey", F.lit("</drugbank-id>"), inside, F.lit("<name>"), "p_name", F.lit("</name></drug>"))
     path = scratch_dir(spark, name)
-    part.select(record.alias("value")).write.text(path)
+    T.spread(part).select(record.alias("value")).write.text(path)
     return path
 
 
@@ -179,7 +179,7 @@ def drug_xml_relations(spark, sf):
 
 def vocabulary_dump(spark, sf):
     """Path of a vocabulary CSV of the larger parts."""
-    part = T.table(spark, sf, "part").where("p_size > 10")
+    part = T.spread(T.table(spark, sf, "part")).where("p_size > 10")
     rows = part.select(
         T.key("P", "p_partkey").alias("DrugBank ID"),
         F.lit("A1 | A2").alias("Accession Numbers"),
@@ -220,7 +220,7 @@ def sdf_dump(spark, sf):
         F.lit("$$$$"),
     )
     path = scratch_dir(spark, "sdf")
-    T.table(spark, sf, "part").select(record).write.mode("overwrite").text(path)
+    T.spread(T.table(spark, sf, "part")).select(record).write.mode("overwrite").text(path)
     return path
 
 

@@ -24,7 +24,7 @@ def drug_records(spark, sf):
         F.array(F.lit("a")).alias("actions"), T.key("U", i).alias("uniprot_id"),
     )
     targets = F.when(size > 5, F.transform(F.sequence(F.lit(1), F.least(size, F.lit(9)) - 4), relation))
-    return T.table(spark, sf, "part").select(
+    return T.spread(T.table(spark, sf, "part")).select(
         T.key("P", "p_partkey").alias("drugbank_id"),
         F.when(size != 7, F.col("p_name")).alias("name"),
         F.when(size < 40, F.concat_ws(" ", "p_brand", "p_type")).alias("description"),
