@@ -387,3 +387,12 @@ def test_large_k_is_cut_by_ranges(spark):
         own = sorted((v for x, v in data if x == g), reverse=True)[:1001]
         want += [(g or "", v, i) for i, v in enumerate(own, 1)]
     assert got == sorted(want)
+
+
+def test_links_are_hashed_not_sorted(spark):
+    """The least target is found by its number: texts would have all combinations sorted."""
+    diseases = spark.createDataFrame([("S10", "d"), ("S9", "d"), ("S9", "e")], "target string, disease string")
+    pathways = spark.createDataFrame([("S10", "p"), ("S9", "p"), ("S8", "p")], "target string, pathway string")
+    links = infer.link_pathways(diseases, pathways)
+    assert sorted(tuple(r) for r in links.collect()) == [("p", "d", 2, "S10"), ("p", "e", 1, "S9")]
+    assert "SortAggregate" not in links._jdf.queryExecution().toString()
