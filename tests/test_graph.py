@@ -396,3 +396,16 @@ def test_links_are_hashed_not_sorted(spark):
     links = infer.link_pathways(diseases, pathways)
     assert sorted(tuple(r) for r in links.collect()) == [("p", "d", 2, "S10"), ("p", "e", 1, "S9")]
     assert "SortAggregate" not in links._jdf.queryExecution().toString()
+
+
+def test_connections_are_not_stored_on_the_way(spark):
+    """Degrees come from the adjacency: neither lookup stores a row for each edge."""
+    n = spark.createDataFrame([("a", "Drug", "A"), ("b", "Target", "B"), ("c", "Target", None)], "id string, type string, name string")
+    e = spark.createDataFrame([("a", "b", "T", "Drug", "Target"), ("a", "x", "T", "Drug", "Target")], "source string, target string, type string, source_type string, target_type string")
+    with scratch_run(spark) as own:
+        out = P.entity_details(n.select(F.col("id").alias("entity_id")), n, store_adjacency(e)).collect()
+        folder = Path(scratch_dir(spark).removeprefix("file:")).parent
+        assert str(folder).endswith(own.rstrip("/"))
+        assert not [p for p in folder.iterdir() if p.name.startswith(("incident-", "connections-"))]
+    got = sorted((r["entity_id"], r["degree"], [tuple(c) for c in r["connections"]]) for r in out)
+    assert got == [("a", 2, [("T", None), ("T", "B")]), ("b", 1, [("T", "A")]), ("c", 0, [(None, None)])]
