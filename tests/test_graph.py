@@ -409,3 +409,21 @@ def test_connections_are_not_stored_on_the_way(spark):
         assert not [p for p in folder.iterdir() if p.name.startswith(("incident-", "connections-"))]
     got = sorted((r["entity_id"], r["degree"], [tuple(c) for c in r["connections"]]) for r in out)
     assert got == [("a", 2, [("T", None), ("T", "B")]), ("b", 1, [("T", "A")]), ("c", 0, [(None, None)])]
+
+
+def test_few_lookups_store_no_adjacency(spark, monkeypatch):
+    """Paths of one edge, and paths back from an end, are looked up in the edges themselves; the result is that of the adjacency."""
+    names = [("d1", "Drug", "one drug"), ("d2", "Drug", "two drug"), ("d3", "Drug", "other"), ("t", "Target", "t"), ("x", "Disease", "ache"), ("y", "Disease", "pain")]
+    nodes = spark.createDataFrame(names, "id string, type string, name string")
+    pairs = [("d1", "t", "TARGETS", "Target"), ("d2", "t", "TARGETS", "Target"), ("d1", "x", "TREATS", "Disease"), ("d2", "y", "TREATS", "Disease"), ("d3", "y", "TREATS", "Disease")]
+    edges = spark.createDataFrame([(a, b, t, "Drug", k) for a, b, t, k in pairs], "source string, target string, type string, source_type string, target_type string")
+    queries = spark.createDataFrame([("s", "drug", ), ("e", "ache")], "query_id string, query string")
+    ends = queries.where("query_id = 'e'")
+    every = [rows(P.search_paths(ends, nodes, store_adjacency(edges))), rows(P.search_paths(queries, nodes, store_adjacency(edges), 1))]
+
+    def fail(edges):
+        raise AssertionError("an adjacency is stored")
+
+    monkeypatch.setattr(P, "stored", fail)
+    assert [rows(P.search_paths(ends, nodes, edges)), rows(P.search_paths(queries, nodes, edges, 1))] == every
+    assert [r[2] for r in every[0]] == [1, 3] and [r[1:4] for r in every[1]] == [(1, 1, ["d1", "x"])] * 2
