@@ -10,6 +10,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from vinculum.llm import language_id, pii, quality_rules, secret_scan
 from vinculum.llm import quality_classifier as quality
 from vinculum.llm import toxicity
@@ -244,3 +246,18 @@ def test_linear_time_identity():
     own = [1, 4, 5, 8]
     pairs = sum(m.factors[i] @ m.factors[j] for i in own for j in own if i < j)
     assert m.margin(np.zeros(4, np.int64), np.array(own), 2)[0] == pytest.approx(0.3 + m.linear[own].sum() + pairs)
+
+
+def test_trusted_texts_are_found_without_a_shuffle_of_texts(spark, monkeypatch):
+    """Trusted rows are those of an ordinary join, with bitmaps so small that both let much through, for ids of any type."""
+    docs = spark.range(2_000).selectExpr("nullif(id % 1900, 7) AS doc_id", "concat('text ', id) AS text")
+    for kind in ("bigint", "string"):
+        typed = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+        trusted = spark.range(0, 3_000, 3).select(F.col("id").cast(kind).alias("doc_id"))
+        expected = sorted((r.text, r.doc_id is not None and int(r.doc_id) % 3 == 0) for r in typed.collect())
+        for bits in (1 << 10, 1 << 26):
+            monkeypatch.setattr(quality_rules, "COUNT_BITS", bits)
+            marked = quality_rules._marked_trusted(typed, trusted, "doc_id", "text")
+            assert sorted(map(tuple, marked.collect())) == expected
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_found") > 0 and "_found" in plan.split("Join")[-1]  # what is joined was left open by the bitmaps

@@ -3,9 +3,9 @@
 Every text is a bag of word unigrams and bigrams hashed into a fixed number of
 buckets. Two multinomials over the buckets, one of the trusted texts and one of all
 texts, give each bucket a weight ln(p_trusted / p_raw); a text's score is the mean
-weight of its n-grams, compared with a threshold. Built-in functions only. All trusted
-texts count: ids meet texts in an ordinary join, which Spark broadcasts while the ids
-are few and shuffles by id otherwise. The n-grams of a text are an array inside its
+weight of its n-grams, compared with a threshold. Built-in functions, but for the lookup
+of ids. All trusted texts count: bitmaps of a fixed size tell which they are in the task
+that reads them, and an ordinary join settles the few that the bitmaps leave open. The n-grams of a text are an array inside its
 row, of which bucket counts (``buckets`` rows) leave the tasks, and the weights reach
 the rows as one constant array.
 
@@ -19,10 +19,14 @@ the input other than the two named ones are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import table
+from vinculum.llm.common import COUNT_BITS, bitmap_of, in_bitmap, table
 from vinculum.llm.registry import query
 from vinculum.session import write_through
 
@@ -112,16 +116,48 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("lines", "windows")
 
 
+def _marked_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, trusted) of every row.
+
+    A bitmap of the trusted ids' hashes tells most rows where they lie: one outside it is not
+    trusted. The other ids of ``docs`` that it lets through by chance are found by a join of ids
+    alone, and have a bitmap of their own. Only the texts in both meet the ids in a join, so
+    hardly any text is shuffled. Rows without an id are not trusted.
+    """
+    hashed = lambda column: F.xxhash64(column).alias("_hash")
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted")).where("_trusted is not null").distinct()
+    ids = write_through(ids.select("_trusted", hashed("_trusted")), "trusted")
+    named = docs.select(key, text, hashed(key)).where(F.col(key).isNotNull())
+    may_be = bitmap_of(ids, "_hash", COUNT_BITS)
+    passed = named.where(_in_bitmaps(may_be)("_hash") == 1).select(key, "_hash").distinct()
+    wrong = bitmap_of(passed.join(ids, F.col(key) == F.col("_trusted"), "left_anti"), "_hash", COUNT_BITS)
+    rows = named.withColumn("_found", _in_bitmaps(may_be, wrong)("_hash"))
+    clear = rows.where("_found < 2").select(text, (F.col("_found") == 1).alias("trusted"))
+    doubtful = rows.where("_found = 2").join(ids.select("_trusted"), F.col(key) == F.col("_trusted"), "left")
+    nameless = docs.where(F.col(key).isNull()).select(text, F.lit(False).alias("trusted"))
+    return clear.unionByName(doubtful.select(text, F.col("_trusted").isNotNull().alias("trusted"))).unionByName(nameless)
+
+
+def _in_bitmaps(*bitmaps: np.ndarray) -> Callable[[str], Column]:
+    """How many of the bitmaps, in order, hold a hash. Not deterministic to Spark, so that it is computed once a row."""
+
+    def count(values: pd.Series) -> pd.Series:
+        hashes = values.to_numpy()
+        found, inside = np.zeros(len(hashes), np.int32), np.ones(len(hashes), bool)
+        for bitmap in bitmaps:
+            inside &= in_bitmap(bitmap, hashes)
+            found += inside
+        return pd.Series(found)
+
+    return F.pandas_udf(count, "int").asNondeterministic()
+
+
 def bucket_weights(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     """One row: ``weights`` array of ln(p_trusted / p_raw) in millionths, null without trusted texts.
 
-    Both multinomials are smoothed by one count a bucket. The ids are stored first, so
-    that the planner knows their size. Rows without an id take no part in the join.
+    Both multinomials are smoothed by one count a bucket.
     """
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted")).where("_trusted is not null").distinct()
-    named = docs.select(key, text).where(F.col(key).isNotNull()).join(write_through(ids, "trusted"), F.col(key) == F.col("_trusted"), "left")
-    nameless = docs.select(key, text).where(F.col(key).isNull()).withColumn("_trusted", F.lit(None).cast(ids.schema["_trusted"].dataType))
-    grams = named.unionByName(nameless).select(F.col("_trusted").isNotNull().alias("trusted"), words_of(F.col(text)).alias("words")).select(
+    grams = _marked_trusted(docs, trusted_ids, key, text).select("trusted", words_of(F.col(text)).alias("words")).select(
         "trusted", F.explode(ngram_buckets("words", buckets)).alias("bucket")
     )
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("own"))
