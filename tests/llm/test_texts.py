@@ -261,3 +261,18 @@ def test_trusted_texts_are_found_without_a_shuffle_of_texts(spark, monkeypatch):
             assert sorted(map(tuple, marked.collect())) == expected
     plan = marked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_found") > 0 and "_found" in plan.split("Join")[-1]  # what is joined was left open by the bitmaps
+
+
+def test_quality_rules_are_native(spark, docs, monkeypatch):
+    """No step of the rules runs Python in tasks: neither the plans that are stored on the way nor the result."""
+    plans = []
+    stored = quality_rules.write_through
+    monkeypatch.setattr(quality_rules, "write_through", lambda df, name: plans.append(df) or stored(df, name))
+    weighed = quality_rules.bucket_weights
+    monkeypatch.setattr(quality_rules, "bucket_weights", lambda *args: plans.append(weighed(*args)) or plans[-1])
+    trusted = spark.range(10, 50).withColumnRenamed("id", "doc_id")
+    plans.append(quality_rules.quality_rules(docs, trusted))
+    assert len(plans) > 3
+    for plan in plans:
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(word in text for word in ("Python", "Pandas", "MapInArrow", "ArrowEval", "pythonUDF"))

@@ -3,11 +3,12 @@
 Every text is a bag of word unigrams and bigrams hashed into a fixed number of
 buckets. Two multinomials over the buckets, one of the trusted texts and one of all
 texts, give each bucket a weight ln(p_trusted / p_raw); a text's score is the mean
-weight of its n-grams, compared with a threshold. Built-in functions, but for the lookup
-of ids. All trusted texts count: bitmaps of a fixed size tell which they are in the task
-that reads them, and an ordinary join settles the few that the bitmaps leave open. The n-grams of a text are an array inside its
-row, of which bucket counts (``buckets`` rows) leave the tasks, and the weights reach
-the rows as one constant array.
+weight of its n-grams, compared with a threshold. Built-in functions and joins only, no
+Python in tasks. All trusted texts count: bitmaps of bounded size, broadcast as rows of
+64 bits, tell which they are in the task that reads them, and an ordinary join settles the
+few that the bitmaps leave open. The n-grams of a text are an array inside its row, of
+which bucket counts (``buckets`` rows) leave the tasks, and the weights reach the rows as
+one constant array.
 
 Weights are whole millionths, so sums do not depend on order.
 
@@ -19,14 +20,10 @@ the input other than the two named ones are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import COUNT_BITS, bitmap_of, in_bitmap, table
+from vinculum.llm.common import COUNT_BITS, table
 from vinculum.llm.registry import query
 from vinculum.session import write_through
 
@@ -127,29 +124,37 @@ def _marked_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str
     hashed = lambda column: F.xxhash64(column).alias("_hash")
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted")).where("_trusted is not null").distinct()
     ids = write_through(ids.select("_trusted", hashed("_trusted")), "trusted")
-    named = docs.select(key, text, hashed(key)).where(F.col(key).isNotNull())
-    may_be = bitmap_of(ids, "_hash", COUNT_BITS)
-    passed = named.where(_in_bitmaps(may_be)("_hash") == 1).select(key, "_hash").distinct()
-    wrong = bitmap_of(passed.join(ids, F.col(key) == F.col("_trusted"), "left_anti"), "_hash", COUNT_BITS)
-    rows = named.withColumn("_found", _in_bitmaps(may_be, wrong)("_hash"))
-    clear = rows.where("_found < 2").select(text, (F.col("_found") == 1).alias("trusted"))
-    doubtful = rows.where("_found = 2").join(ids.select("_trusted"), F.col(key) == F.col("_trusted"), "left")
-    nameless = docs.where(F.col(key).isNull()).select(text, F.lit(False).alias("trusted"))
-    return clear.unionByName(doubtful.select(text, F.col("_trusted").isNotNull().alias("trusted"))).unionByName(nameless)
-
-
-def _in_bitmaps(*bitmaps: np.ndarray) -> Callable[[str], Column]:
-    """How many of the bitmaps, in order, hold a hash. Not deterministic to Spark, so that it is computed once a row."""
-
-    def count(values: pd.Series) -> pd.Series:
-        hashes = values.to_numpy()
-        found, inside = np.zeros(len(hashes), np.int32), np.ones(len(hashes), bool)
-        for bitmap in bitmaps:
-            inside &= in_bitmap(bitmap, hashes)
-            found += inside
-        return pd.Series(found)
-
-    return F.pandas_udf(count, "int").asNondeterministic()
+    may_be = _bitmap(ids, "_found1")
+    named = docs.select(key, hashed(key)).where(F.col(key).isNotNull())
+    passed = _looked_up(named, may_be, "_found1").where("_in_found1").select(key, "_hash").distinct()
+    wrong = _bitmap(passed.join(ids.select("_trusted"), F.col(key) == F.col("_trusted"), "left_anti"), "_found2")
+    rows = _looked_up(_looked_up(docs.select(key, text, hashed(key)), may_be, "_found1"), wrong, "_found2")
+    rows = rows.withColumn("_in_found1", F.col("_in_found1") & F.col(key).isNotNull())
+    clear = rows.where("not (_in_found1 and _in_found2)").select(text, F.col("_in_found1").alias("trusted"))
+    doubtful = rows.where("_in_found1 and _in_found2").join(ids.select("_trusted"), F.col(key) == F.col("_trusted"), "left")
+    return clear.unionByName(doubtful.select(text, F.col("_trusted").isNotNull().alias("trusted")))
+
+
+def _bitmap(ids: DataFrame, name: str) -> DataFrame:
+    """The 64-bit words of a bitmap of ``COUNT_BITS`` that the ids' hashes mark, stored: (at, bits), both named
+    after ``name``. It has as many rows as ids at the most, and never more than ``COUNT_BITS`` / 64."""
+    words = ids.select(_word_of("_hash").alias(f"{name}_at"), _mark_of("_hash").alias("_mark"))
+    return write_through(words.groupBy(f"{name}_at").agg(F.bit_or("_mark").alias(name)), "bitmap")
+
+
+def _looked_up(rows: DataFrame, bitmap: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``_in<name>``: whether the bitmap holds their hash. As its size is bounded, it goes to all tasks."""
+    found = rows.join(F.broadcast(bitmap), _word_of("_hash") == F.col(f"{name}_at"), "left")
+    inside = F.coalesce(F.col(name).bitwiseAND(_mark_of("_hash")) != 0, F.lit(False))
+    return found.select(*rows.columns, inside.alias(f"_in{name}"))
+
+
+def _word_of(hash_: str) -> Column:
+    return F.shiftright(F.pmod(F.col(hash_), F.lit(COUNT_BITS)), 6)
+
+
+def _mark_of(hash_: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast(pmod({hash_}, 64) as int))")
 
 
 def bucket_weights(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
