@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
+import random
 import re
 import zlib
 
@@ -119,6 +120,27 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_contexts_of_a_common_anchor_are_ordered_in_bounded_units(spark, docs, rows, monkeypatch):
+    """A line that many texts share, shorter than a match, gives one anchor many contexts: they are never ordered all at once."""
+    rng = random.Random(3)
+    line = "the very common line of forty-two letters "
+    ends = ["".join(rng.choice("ab ") for _ in range(12)) for _ in range(6)]
+    some = [(i, "".join(rng.choice("xyz ") for _ in range(rng.randint(60, 90))) + rng.choice(ends) + line + rng.choice(ends) + "tail" * 9) for i in range(200)]
+    sizes = []
+    least_ids = suffix_dedup.least_ids
+    own = np.concatenate([np.frombuffer(t.encode()[a : a + 80], np.uint8) for _, t in some for a in (t.index(line) - 20,)]).reshape(-1, 80)
+    contexts = np.zeros(len(own), suffix_dedup.ROW)
+    contexts["bytes"], contexts["size"], contexts["least"] = own, 80, np.arange(len(own)) % 50
+    shard = np.arange(len(own)) % suffix_dedup.SHARDS
+    monkeypatch.setattr(suffix_dedup, "UNIT_CONTEXTS", 20)
+    monkeypatch.setattr(suffix_dedup, "least_ids", lambda rows, shard: sizes.append(len(rows)) or least_ids(rows, shard))
+    assert (suffix_dedup.least_ids_of_any(contexts, shard) == least_ids(contexts, shard)).all()
+    assert len(sizes) > 10 and max(sizes) < len(own) / 2
+    both = rows + some
+    found = suffix_dedup.dedup(spark.createDataFrame(both, "doc_id bigint, text string").repartition(5))
+    assert sorted((tuple(r) for r in found.drop("kept").collect()), key=str) == sorted(deduped(both), key=str)
+
+
 def test_merged_transforms_order_all_suffixes():
     rng = np.random.default_rng(4)
     shards = [np.frombuffer(bytes(rng.choice(list(b"ab"), 150)) + b"\0", np.uint8) for _ in range(3)]

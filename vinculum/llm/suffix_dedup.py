@@ -9,15 +9,18 @@ row form a context, the few dozen bytes that hold them all.
 2. Anchors found in two documents or more are counted exactly and kept as a bitmap of
    fixed size. It lets all of them through, and a few others, which cost work only.
 3. Contexts of such anchors go to the anchor's part of the hash range, each distinct one
-   once a task. Where an anchor has several contexts, their suffixes are ordered: every
+   once a batch, and a task takes one part after the other. Where an anchor has several contexts, their suffixes are ordered: every
    shard (contexts from some tasks) has its own suffix order and Burrows-Wheeler
    transform, and the shards are merged by refining their interleave. Round k sorts the
    merged rows by one more leading character, reading the transforms only; rows part
    where their first k characters differ, so after ``MATCH`` rounds the runs left whole
    are the repeated intervals of that common prefix. No suffix is sorted again. The
-   smallest id of an interval holds for every context in it.
-4. Occurrences of contexts meet these results in a join, which splits hot keys, and give
-   each text the intervals to remove. Only texts with some are shuffled.
+   smallest id of an interval holds for every context in it. At most ``UNIT_CONTEXTS``
+   are ordered at once: where one anchor has more, their windows are placed anew by longer
+   pieces, whose contexts are ordered group by group.
+4. The texts are read once more for the occurrences of contexts with a result, which is all
+   of them that leave a task. They meet the results in a join, which splits hot keys, and
+   give each text the intervals to remove. Only texts with some are shuffled.
 
 Defined cases: a null text is empty; matches never cross documents; rows without an id
 remove nothing and lose nothing; rows that repeat an id are not smaller than each
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import RangeHash, Texts, bitmap_of, hash_parts, in_bitmap, may_contain, mix, name_of, repeated, slices, table
+from vinculum.llm.common import COUNT_BITS, RangeHash, Texts, bitmap_of, hash_parts, in_bitmap, may_contain, mix, name_of, repeated, slices, table
 from vinculum.llm.registry import query
 from vinculum.session import write_through
 
@@ -43,19 +46,22 @@ GRAM = 20
 BLOCK = 1 << 18  # windows looked at together
 POSITION_BITS = 28
 FLUSH_CONTEXTS = 1 << 14
+UNIT_CONTEXTS = 4_000  # a quarter of a megabyte, and some 40 MB while they are ordered
+LONGER_GRAMS = (35, 45)
+PART_CUTS = 16  # parts of the hash range for each task
 SHARDS = 4
 U64 = np.uint64
 NEVER = np.iinfo(np.int64).max
 
 
-def anchors(t: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors(t: Texts, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, first, last, hash): runs of windows (by start byte in the slice) with the same anchor."""
-    n, w = len(t.data), MATCH - GRAM + 1
+    n, w = len(t.data), MATCH - gram + 1
     low = U64((1 << POSITION_BITS) - 1)
     for begin in range(0, max(n - MATCH + 1, 0), BLOCK):
         data = t.data[begin : begin + BLOCK + MATCH - 1]
-        place = np.arange(len(data) - GRAM + 1)
-        value = RangeHash(data)(place, place + GRAM)
+        place = np.arange(len(data) - gram + 1)
+        value = RangeHash(data)(place, place + gram)
         key = (value & ~low) | (low - place.astype(np.uint64))
         span = 1
         while span * 2 <= w:
@@ -78,51 +84,68 @@ def leading(batches: Iterator[pa.RecordBatch], leaders: np.ndarray) -> Iterator[
         yield batch.filter(pa.array(in_bitmap(leaders, np.asarray(batch.column(1)))))
 
 
-CONTEXTS = pa.schema([("part", pa.int32()), ("rows", pa.binary()), ("ctx", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 WIDTH = 2 * MATCH - GRAM  # bytes of the longest context
 ROW = np.dtype([("anchor", "<u8"), ("ctx", "<i8"), ("least", "<i8"), ("most", "<i8"), ("size", "u1"), ("bytes", "u1", WIDTH)])
 
 
+def _shared_runs(batches: Iterator[pa.RecordBatch], leaders: np.ndarray, shared: np.ndarray):
+    """(slice, rows' ids and numbers, text, first, last, anchor) of runs whose anchors are shared, some thousands at a time."""
+    for batch in leading(batches, leaders):
+        ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for t in slices(batch.column(2)):
+            for text, first, last, value in anchors(t):
+                own = np.flatnonzero(in_bitmap(shared, name_of(value)))
+                for a in range(0, len(own), FLUSH_CONTEXTS):
+                    k = own[a : a + FLUSH_CONTEXTS]
+                    yield t, ids, rows, text[k], first[k], last[k], value[k]
+
+
+def _context_names(t: Texts, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> np.ndarray:
+    begin = int(first[0])
+    hashed = RangeHash(t.data[begin : int(last[-1]) + MATCH])
+    return mix(hashed(first - begin, last - begin + MATCH) ^ mix(value)).view(np.int64)
+
+
 def contexts(docs: DataFrame, leaders: np.ndarray, shared: np.ndarray, parts: int) -> DataFrame:
-    """Two kinds of rows: distinct contexts of a task by part (part, rows), and every occurrence
-    (ctx, row, doc, at). ``docs``: doc, row, text."""
+    """Distinct contexts of a batch by part of the hash range (part, rows). ``docs``: doc, row, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in leading(batches, leaders):
-            ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for t in slices(batch.column(2)):
-                for text, first, last, value in anchors(t):
-                    own = np.flatnonzero(in_bitmap(shared, name_of(value)))
-                    for a in range(0, len(own), FLUSH_CONTEXTS):
-                        k = own[a : a + FLUSH_CONTEXTS]
-                        yield from leave(t, text[k], first[k], last[k], value[k], ids, rows)
-
-    def leave(t: Texts, text, first, last, value, ids, rows) -> Iterator[pa.RecordBatch]:
-        begin = int(first[0])
-        data = t.data[begin : int(last[-1]) + MATCH]
-        start, size = first - begin, last - first + MATCH
-        ctx = mix(RangeHash(data)(start, start + size) ^ mix(value)).view(np.int64)
-        doc = ids[t.row + text]
+        for t, ids, _, text, first, last, value in _shared_runs(batches, leaders, shared):
+            yield leave(t, ids[t.row + text], first, last, value)
+
+    def leave(t: Texts, doc, first, last, value) -> pa.RecordBatch:
+        size = last - first + MATCH
+        ctx = _context_names(t, first, last, value)
         order = np.lexsort((ctx, value))
-        head = order[np.r_[True, (ctx[order][1:] != ctx[order][:-1]) | (value[order][1:] != value[order][:-1])]]
         heads = np.flatnonzero(np.r_[True, (ctx[order][1:] != ctx[order][:-1]) | (value[order][1:] != value[order][:-1])])
+        head = order[heads]
         out = np.zeros(len(head), ROW)
         out["anchor"], out["ctx"], out["size"] = value[head], ctx[head], size[head]
         out["least"], out["most"] = np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
-        padded = np.r_[data, np.zeros(WIDTH, np.uint8)]
-        taken = padded[start[head][:, None] + np.arange(WIDTH)]
+        begin = int(first[0])
+        padded = np.r_[t.data[begin : int(last[-1]) + MATCH], np.zeros(WIDTH, np.uint8)]
+        taken = padded[(first - begin)[head][:, None] + np.arange(WIDTH)]
         taken[np.arange(WIDTH) >= size[head][:, None]] = 0
         out["bytes"] = taken
         bounds = hash_parts(out["anchor"], parts)
         own = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
         blobs = [out[bounds[p] : bounds[p + 1]].tobytes() for p in own]
-        none = pa.nulls(len(own), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none], schema=CONTEXTS)
-        n = len(ctx)
-        occurrence = [pa.array(ctx), pa.array(rows[t.row + text]), pa.array(doc), pa.array(first - t.offsets[text])]
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *occurrence], schema=CONTEXTS)
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "rows"])
+
+    return docs.mapInArrow(run, "part int, rows binary")
+
+
+def occurrences(docs: DataFrame, leaders: np.ndarray, shared: np.ndarray, placed: np.ndarray) -> DataFrame:
+    """(ctx, row, doc, at) of every context whose name the bitmap ``placed`` holds. ``docs``: doc, row, text."""
 
-    return docs.mapInArrow(run, "part int, rows binary, ctx bigint, row bigint, doc bigint, at bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, ids, rows, text, first, last, value in _shared_runs(batches, leaders, shared):
+            ctx = _context_names(t, first, last, value)
+            k = np.flatnonzero(in_bitmap(placed, ctx))
+            at, text = first[k] - t.offsets[text[k]], t.row + text[k]
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[k]), pa.array(rows[text]), pa.array(ids[text]), pa.array(at)], names=["ctx", "row", "doc", "at"])
+
+    return docs.mapInArrow(run, "ctx bigint, row bigint, doc bigint, at bigint")
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
@@ -186,36 +209,64 @@ def least_ids(rows: np.ndarray, shard: np.ndarray) -> np.ndarray:
     return out
 
 
+def _units(group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of whole groups (sorted) that have ``UNIT_CONTEXTS`` rows together, or of one that has more."""
+    ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True][: len(group)]) + 1
+    at = 0
+    while at < len(group):
+        k = int(np.searchsorted(ends, at + UNIT_CONTEXTS, "right")) - 1
+        stop = int(ends[k]) if k >= 0 and ends[k] > at else int(ends[k + 1])
+        yield at, stop
+        at = stop
+
+
+def least_ids_of_any(rows: np.ndarray, shard: np.ndarray, grams: tuple[int, ...] = LONGER_GRAMS) -> np.ndarray:
+    """``least_ids`` for any number of contexts: equal windows have equal anchors of any length, so too many
+    contexts are cut into those of a longer one, which are fewer and ordered apart."""
+    if len(rows) <= UNIT_CONTEXTS or not grams:
+        return least_ids(rows, shard)
+    size = rows["size"].astype(np.int64)
+    inside = np.arange(WIDTH) < size[:, None]
+    t = Texts(0, rows["bytes"][inside], np.r_[0, np.cumsum(size)], np.zeros(len(rows), bool))
+    owner, first, last, value = (np.concatenate(x) for x in zip(*anchors(t, grams[0]), strict=True))
+    order = np.argsort(value, kind="stable")
+    owner, first, last, value = owner[order], first[order] - t.offsets[owner[order]], last[order] - t.offsets[owner[order]], value[order]
+    out = np.full((len(rows), WIDTH - MATCH + 1), NEVER)
+    for a, b in _units(value):
+        own, start, n = owner[a:b], first[a:b], last[a:b] - first[a:b] + 1
+        pieces = np.zeros(b - a, ROW)
+        pieces["least"], pieces["size"] = rows["least"][own], n + MATCH - 1
+        taken = rows["bytes"][own[:, None], np.minimum(start[:, None] + np.arange(WIDTH), WIDTH - 1)]
+        taken[np.arange(WIDTH) >= pieces["size"][:, None]] = 0
+        pieces["bytes"] = taken
+        found = least_ids_of_any(pieces, shard[own], grams[1:])
+        k, window = np.nonzero(np.arange(WIDTH - MATCH + 1) < n[:, None])
+        out[own[k], start[k] + window] = found[k, window]
+    return out
+
+
 def interval_ids(found: DataFrame, parts: int) -> DataFrame:
     """(ctx, a, b, least): windows a to b of a context all start, at the least, in document ``least``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-        if not blobs:
-            return
+    def solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(blobs), ROW)
         shard = np.repeat(np.arange(len(blobs)) % SHARDS, [len(b) // ROW.itemsize for b in blobs])
         order = np.lexsort((rows["ctx"], rows["anchor"]))
-        rows, shard = rows[order], shard[order]
-        head = np.flatnonzero(np.r_[True, (rows["ctx"][1:] != rows["ctx"][:-1]) | (rows["anchor"][1:] != rows["anchor"][:-1])])
-        least, most = np.minimum.reduceat(rows["least"], head), np.maximum.reduceat(rows["most"], head)
-        rows, shard = rows[head].copy(), shard[head]
+        anchor, ctx = rows["anchor"][order], rows["ctx"][order]
+        head = np.flatnonzero(np.r_[True, (ctx[1:] != ctx[:-1]) | (anchor[1:] != anchor[:-1])])
+        least, most = np.minimum.reduceat(rows["least"][order], head), np.maximum.reduceat(rows["most"][order], head)
+        rows, shard, group = rows[order[head]], shard[order[head]], anchor[head]
         rows["least"], rows["most"] = least, most
-        group = np.cumsum(np.r_[True, rows["anchor"][1:] != rows["anchor"][:-1]]) - 1
+        group = np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        one_doc = (np.minimum.reduceat(rows["least"], first) == np.maximum.reduceat(rows["most"], first))[group]
+        one_doc = (np.minimum.reduceat(least, first) == np.maximum.reduceat(most, first))[group]
         several = (np.bincount(group) > 1)[group] & ~one_doc
         single = np.flatnonzero(~several & ~one_doc)
-        out = [(rows["ctx"][single], np.zeros(len(single), np.int64), rows["size"][single].astype(np.int64) - MATCH, rows["least"][single])]
+        yield leave(rows["ctx"][single], np.zeros(len(single), np.int64), rows["size"][single].astype(np.int64) - MATCH, rows["least"][single])
         mixed = np.flatnonzero(several)
-        # Whole anchors at a time, about a megabyte of contexts.
-        at = 0
-        while at < len(mixed):
-            stop = min(at + 20_000, len(mixed))
-            while stop < len(mixed) and group[mixed[stop]] == group[mixed[stop - 1]]:
-                stop += 1
+        for at, stop in _units(group[mixed]):
             own = mixed[at:stop]
-            ids = least_ids(rows[own], shard[own])
+            ids = least_ids_of_any(rows[own], shard[own])
             n, width = ids.shape
             new = np.ones((n, width), bool)
             new[:, 1:] = ids[:, 1:] != ids[:, :-1]
@@ -224,11 +275,25 @@ def interval_ids(found: DataFrame, parts: int) -> DataFrame:
             last = np.r_[k[1:] != k[:-1], True]
             b[last] = width - 1
             kept = ids[k, a] != NEVER
-            out.append((rows["ctx"][own[k[kept]]], a[kept], b[kept], ids[k[kept], a[kept]]))
-            at = stop
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["ctx", "a", "b", "least"])
+            yield leave(rows["ctx"][own[k[kept]]], a[kept], b[kept], ids[k[kept], a[kept]])
+
+    def leave(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ctx", "a", "b", "least"])
 
-    dealt = found.where("part is not null").select("part", "rows").repartition(parts, "part")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        open_part = None
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and part != open_part:
+                    yield from solve(held)
+                    held = []
+                open_part = part
+                held.append(blob.as_py())
+        if held:
+            yield from solve(held)
+
+    dealt = found.repartition(parts, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "ctx bigint, a bigint, b bigint, least bigint")
 
 
@@ -283,9 +348,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 for doc, _, _, value in anchors(t):
                     yield value, ids[t.row + doc]
 
-    found = write_through(contexts(known, own, repeated(known, named, parts), parts), "contexts")
-    ids = write_through(interval_ids(found, parts), "interval-ids")
-    seen = found.where("ctx is not null").select("ctx", "row", "doc", "at")
+    shared = repeated(known, named, parts)
+    ids = write_through(interval_ids(contexts(known, own, shared, PART_CUTS * parts), parts), "interval-ids")
+    seen = occurrences(known, own, shared, bitmap_of(ids, "ctx", COUNT_BITS))
     removed = seen.join(ids, "ctx").where("least < doc").select("row", (F.col("at") + F.col("a")).alias("from"), (F.col("at") + F.col("b") + MATCH).alias("to"))
     spans = removed.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     touched = write_through(spans.withColumn("copied", F.lit(False)).unionByName(copies.select("row", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copied"))), "touched")
