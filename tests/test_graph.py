@@ -427,3 +427,13 @@ def test_few_lookups_store_no_adjacency(spark, monkeypatch):
     monkeypatch.setattr(P, "stored", fail)
     assert [rows(P.search_paths(ends, nodes, edges)), rows(P.search_paths(queries, nodes, edges, 1))] == every
     assert [r[2] for r in every[0]] == [1, 3] and [r[1:4] for r in every[1]] == [(1, 1, ["d1", "x"])] * 2
+
+
+def test_keep_one_sorts_by_a_number_first(spark):
+    """Rows are grouped by the hash of their keys and then the keys: the same rows, null keys and equal prefixes included."""
+    rows = [(k, t, v) for v in (3, 1, 2) for k in ("same prefix a", "same prefix b", None, "") for t in ("x", None)]
+    df = spark.createDataFrame(rows, "k string, t string, v int").withColumn("text", F.concat(F.lit("v"), "v"))
+    found = ranking.first_per_key(df.repartition(4), ["k", "t"], ["v"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((k, t, 1, "v1") for k, t, v in rows if v == 1), key=str)
+    sorts = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Sort [" in line]
+    assert sorts and all(not line.split("Sort [")[1].startswith(("k#", "t#")) for line in sorts)
