@@ -158,6 +158,34 @@ def test_merged_transforms_order_all_suffixes():
     assert len({k for k, _ in got}) == len({p for _, p in got}) == len(set(got))
 
 
+def test_merge_takes_few_rounds(monkeypatch):
+    """Each round sorts all suffixes: fifty rounds of one character took most of the operator's time."""
+    sorts = []
+
+    class Counting:
+        def __getattr__(self, name):
+            if name in ("sort", "argsort"):
+                sorts.append(name)
+            return getattr(np, name)
+
+    rng = np.random.default_rng(9)
+    own = [np.r_[rng.choice(np.frombuffer(b"abc", np.uint8), 40 + i), np.zeros(1, np.uint8)] for i in range(4)]
+    shards = [np.concatenate([own[i], own[(i + 1) % 4], own[(i + 2) % 4]]) for i in range(4)]
+    monkeypatch.setattr(suffix_dedup, "np", Counting())
+    for depth in (50, 16, 5):  # of six whole letters and a part, of whole letters only, and of less than one
+        sorts.clear()
+        merged, interval = suffix_dedup.merge_shards(shards, depth)
+        assert len(sorts) < 40
+        assert sorted(merged) == list(range(sum(map(len, shards))))
+        flat, ends = np.concatenate(shards), np.cumsum([len(s) for s in shards])
+        prefix = []
+        for p in merged:
+            k = int(np.searchsorted(ends, p, "right"))
+            prefix.append(bytes(np.resize(np.roll(shards[k], -(p - (ends[k] - len(shards[k])))), depth)))
+        assert prefix == sorted(prefix)
+        assert interval.tolist() == np.cumsum([0, *(a != b for a, b in zip(prefix, prefix[1:], strict=False))]).tolist()
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(6)

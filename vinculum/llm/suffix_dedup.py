@@ -11,10 +11,10 @@ row form a context, the few dozen bytes that hold them all.
 3. Contexts of such anchors go to the anchor's part of the hash range, each distinct one
    once a batch, and a task takes one part after the other. Where an anchor has several contexts, their suffixes are ordered: every
    shard (contexts from some tasks) has its own suffix order and Burrows-Wheeler
-   transform, and the shards are merged by refining their interleave. Round k sorts the
-   merged rows by one more leading character, reading the transforms only; rows part
-   where their first k characters differ, so after ``MATCH`` rounds the runs left whole
-   are the repeated intervals of that common prefix. No suffix is sorted again. The
+   transform, and the shards are merged by refining their interleave. Each round sorts the
+   merged rows by ``STEP`` more leading characters (the first by what is over), which are one
+   letter of the transforms, and reads the transforms only; rows part where these characters
+   differ, so when ``MATCH`` are done the runs left whole are the repeated intervals of that common prefix. No suffix is sorted again. The
    smallest id of an interval holds for every context in it. At most ``UNIT_CONTEXTS``
    are ordered at once: where one anchor has more, their windows are placed anew by longer
    pieces, whose contexts are ordered group by group.
@@ -37,45 +37,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import COUNT_BITS, RangeHash, Texts, bitmap_of, hash_parts, in_bitmap, may_contain, mix, name_of, repeated, slices, table
+from vinculum.llm.common import BASE, COUNT_BITS, RangeHash, Texts, bitmap_of, hash_parts, in_bitmap, may_contain, mix, name_of, repeated, slices, table
 from vinculum.llm.registry import query
 from vinculum.session import write_through
 
 MATCH = 50
 GRAM = 20
-BLOCK = 1 << 18  # windows looked at together
+BLOCK = 1 << 18  # windows whose runs leave together
+PIECE = 1 << 15  # windows looked at together; what is computed of them stays in the processor's cache
 POSITION_BITS = 28
 FLUSH_CONTEXTS = 1 << 14
 UNIT_CONTEXTS = 4_000  # a quarter of a megabyte, and some 40 MB while they are ordered
 LONGER_GRAMS = (35, 45)
 PART_CUTS = 16  # parts of the hash range for each task
 SHARDS = 4
+STEP = 8  # characters of a transform's letter
 U64 = np.uint64
 NEVER = np.iinfo(np.int64).max
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of every ``gram`` bytes in a row, put together from those of 1, 2, 4 ... bytes."""
+    part, size = data.astype(np.uint64) + U64(1), 1
+    tail, tail_size = None, 0
+    while True:
+        if gram & size:
+            if tail is None:
+                tail = part
+            else:
+                n = min(len(part), len(tail) - size)
+                tail = part[:n] * U64(pow(int(BASE), tail_size, 1 << 64)) + tail[size : size + n]
+            tail_size += size
+        if tail_size == gram:
+            return mix(tail)
+        part = part[:-size] * U64(pow(int(BASE), size, 1 << 64)) + part[size:]
+        size *= 2
+
+
+def _anchored(t: Texts, begin: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of the windows that start in the ``PIECE`` bytes from ``begin``."""
+    w = MATCH - gram + 1
+    low = U64((1 << POSITION_BITS) - 1)
+    value = gram_hashes(t.data[begin : begin + PIECE + MATCH - 1], gram)
+    key = value & ~low
+    key |= np.arange(int(low), int(low) - len(value), -1, dtype=np.uint64)
+    span = 1
+    while span * 2 <= w:
+        key, span = np.minimum(key[:-span], key[span:]), span * 2
+    if span < w:
+        key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])  # the place is part of the key
+    new[t.offsets[np.searchsorted(t.offsets, begin) : np.searchsorted(t.offsets, begin + len(key))] - begin] = True
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(key)] - 1 + begin
+    at = (low - (key[first] & low)).astype(np.int64)
+    first += begin
+    text = np.searchsorted(t.offsets, first, "right") - 1
+    end = t.offsets[text + 1] - MATCH
+    k = np.flatnonzero(first <= end)
+    return text[k], first[k], np.minimum(last, end)[k], value[at[k]]
+
+
 def anchors(t: Texts, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, first, last, hash): runs of windows (by start byte in the slice) with the same anchor."""
-    n, w = len(t.data), MATCH - gram + 1
-    low = U64((1 << POSITION_BITS) - 1)
-    for begin in range(0, max(n - MATCH + 1, 0), BLOCK):
-        data = t.data[begin : begin + BLOCK + MATCH - 1]
-        place = np.arange(len(data) - gram + 1)
-        value = RangeHash(data)(place, place + gram)
-        key = (value & ~low) | (low - place.astype(np.uint64))
-        span = 1
-        while span * 2 <= w:
-            key, span = np.minimum(key[:-span], key[span:]), span * 2
-        if span < w:
-            key = np.minimum(key[: len(key) - (w - span)], key[w - span :])
-        at = (low - (key & low)).astype(np.int64)
-        start = np.arange(len(at)) + begin
-        text = np.searchsorted(t.offsets, start, "right") - 1
-        inside = np.flatnonzero(start + MATCH <= t.offsets[text + 1])
-        if len(inside):
-            at, start, text = at[inside], start[inside], text[inside]
-            head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
-            yield text[head], start[head], start[np.r_[head[1:], len(at)] - 1], value[at[head]]
+    n = len(t.data) - MATCH + 1
+    for block in range(0, max(n, 0), BLOCK):
+        found = [_anchored(t, begin, gram) for begin in range(block, min(block + BLOCK, n), PIECE)]
+        text, first, last, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(text):
+            yield text, first, last, value
 
 
 def leading(batches: Iterator[pa.RecordBatch], leaders: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -148,38 +179,77 @@ def occurrences(docs: DataFrame, leaders: np.ndarray, shared: np.ndarray, placed
     return docs.mapInArrow(run, "ctx bigint, row bigint, doc bigint, at bigint")
 
 
-def suffix_order(data: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes of a shard in order of their first MATCH characters or more, read in a circle."""
-    n = len(data)
-    around = np.resize(data, n + 64) if n else data
-    word = np.zeros(n + 56, np.uint64)
-    for k in range(8):
-        word = word << U64(8) | around[k : k + n + 56].astype(np.uint64)
-    order = np.arange(n)
-    for k in range((MATCH - 1) // 8, -1, -1):
-        order = order[np.argsort(word[order + 8 * k], kind="stable")]
-    return order
+def word_ranks(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different words of ``STEP`` characters in order, and the rank of the one at every place of the shards
+    (laid end to end, each read in a circle)."""
+    words = []
+    for s in shards:
+        around = np.resize(s, len(s) + STEP).astype(np.uint64)
+        word = np.zeros(len(s), np.uint64)
+        for k in range(STEP):
+            word <<= U64(8)
+            word |= around[k : k + len(s)]
+        words.append(word)
+    word = np.concatenate(words)
+    order = np.argsort(word)
+    word = word[order]
+    new = np.ones(len(word), bool)
+    new[1:] = word[1:] != word[:-1]
+    rank = np.empty(len(word), np.uint32)
+    rank[order] = np.cumsum(new) - 1
+    return word[new], rank
+
+
+def suffix_order(rank: np.ndarray, depth: int = MATCH) -> np.ndarray:
+    """Starts of all suffixes of a shard in order of their first ``depth`` characters or more, read in a circle.
+
+    ``rank``: of the ``STEP`` characters at each place; the ranks of twice as many follow from those of a place and
+    of the one behind."""
+    size = STEP
+    while True:
+        step = min(size, max(depth - size, 0))
+        key = rank.astype(np.uint64) << U64(32) | np.roll(rank, -step)
+        order = np.argsort(key)
+        size += step
+        if size >= depth:
+            return order
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank = np.empty(len(key), np.uint32)
+        rank[order] = np.cumsum(new) - 1
 
 
 def merge_shards(shards: list[np.ndarray], depth: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
     """Merge the shards' transforms: suffix starts (in the shards laid end to end) in merged order, and
-    the interval of each: suffixes in the same interval have the first ``depth`` characters in common."""
-    orders = [suffix_order(s) for s in shards]
-    transform = np.concatenate([s[o - 1] for s, o in zip(shards, orders, strict=True)])  # character before each suffix
-    shift = np.cumsum([0, *map(len, shards)])
-    starts = np.concatenate([o + b for o, b in zip(orders, shift, strict=False)])
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s) for s in shards])
-    interval = np.zeros(len(starts), np.int32)
-    read = np.empty(len(starts), np.uint8)
-    for _ in range(depth):
+    the interval of each: suffixes in the same interval have the first ``depth`` characters in common.
+
+    A transform holds the ``STEP`` characters before each suffix, as one letter of a larger alphabet."""
+    sizes = [len(s) for s in shards]
+    shift = np.cumsum([0, *sizes])
+    words, rank = word_ranks(shards)
+    ranks = [rank[a:b] for a, b in zip(shift[:-1], shift[1:], strict=True)]
+    orders = [suffix_order(r, depth) for r in ranks]
+    starts = np.concatenate([o + b for o, b in zip(orders, shift[:-1], strict=True)])
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
+    interval = np.zeros(len(starts), np.uint32)
+    read = np.empty(len(starts), np.uint64)
+    row = np.arange(len(starts), dtype=np.uint64)
+    for width in [depth % STEP] * (depth % STEP > 0) + [STEP] * (depth // STEP):
+        letters = words >> U64(8 * (STEP - width))
+        letters = np.cumsum(np.r_[False, letters[1:] != letters[:-1]][: len(letters)]).astype(np.uint64) << U64(32)
+        transform = np.concatenate([letters[r[o - width % len(o)]] for r, o in zip(ranks, orders, strict=True)])
         # Row i of the merge is the next unread row of shard interleave[i]; its suffix, with the
-        # character before it put in front, is one character longer.
+        # characters before it put in front, is ``width`` longer.
         read[np.argsort(interleave, kind="stable")] = transform
-        by = np.argsort(read, kind="stable")
-        interleave, before, char = interleave[by], interval[by], read[by]
+        read |= row
+        by = np.sort(read)
+        char = by >> U64(32)
+        by = (by & U64(0xFFFFFFFF)).astype(np.int64)
+        interleave, before = interleave[by], interval[by]
         parts = np.ones(len(by), bool)
         parts[1:] = (char[1:] != char[:-1]) | (before[1:] != before[:-1])
-        interval = np.cumsum(parts, dtype=np.int32) - 1
+        interval = np.cumsum(parts, dtype=np.uint32) - np.uint32(1)
     merged = np.empty(len(starts), np.int64)
     merged[np.argsort(interleave, kind="stable")] = starts
     return merged, interval
