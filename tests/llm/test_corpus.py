@@ -198,6 +198,29 @@ def test_best_fit_keeps_every_capacity(rule):
         assert offset[own].tolist() == (np.cumsum(lengths[own]) - lengths[own]).tolist()
 
 
+def test_tokenising_holds_little():
+    """A batch is split into words in small pieces, so that a worker's arrays do not add up to its batches' size many times over."""
+    import tracemalloc
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    docs = MagicMock()
+    docs.select.return_value.mapInArrow = lambda run, schema: run
+    run = packing.pieces(docs, packing.tokenizer_path())
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 3000)}" for _ in range(400_000)]
+    texts = [" ".join(words[a : a + 500]) for a in range(0, len(words), 500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    first = list(run(iter([batch])))  # the words are learned
+    tracemalloc.start()
+    again = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert again == first and sum(b.num_rows for b in again) >= len(texts)
+    assert peak < 40 << 20
+
+
 def test_packing_round_trip(docs, rows, none):
     from tokenizers import Tokenizer
 

@@ -50,6 +50,7 @@ WORDS_KEPT = 1_000_000  # words whose ids a worker keeps
 TRAILING = np.isin(np.arange(256), np.frombuffer(b".,!?;:*#$%&|", np.uint8))
 ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 ASKED = 4_096  # words given to the tokenizer at once
+SLICE = 1 << 18  # bytes of text split into words at once: the arrays of a slice take some sixty times as much
 
 
 def tokenizer_path() -> str:
@@ -142,7 +143,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         words = word_ids(path)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for t in slices(batch.column(1)):
+            for t in slices(batch.column(1), SLICE):
                 ids, size = words(t)
                 after = np.cumsum(size)
                 for k in range(len(t)):
