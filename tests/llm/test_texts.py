@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -276,3 +277,19 @@ def test_quality_rules_are_native(spark, docs, monkeypatch):
     for plan in plans:
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert not any(word in text for word in ("Python", "Pandas", "MapInArrow", "ArrowEval", "pythonUDF"))
+
+
+def test_texts_are_split_once_for_the_quality_rules(spark, monkeypatch):
+    """Neither the weights nor the verdicts hash n-grams anew, and windows are counted where few, many or overlapping ones repeat."""
+    rng = random.Random(12)
+    some = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))] for _ in range(60)]
+    some += [list("ab") * n for n in (4, 5, 6, 20)] + [list("abcdefgh") + list("xyz") + list("abcdefgh"), list("abcdefg") + list("xyz") + list("abcdefg"), ["a"] * 8, ["a"] * 9]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(some)], "doc_id bigint, text string")
+    plans = []
+    weighed = quality_rules.bucket_weights
+    monkeypatch.setattr(quality_rules, "bucket_weights", lambda *args: plans.append(weighed(*args)) or plans[-1])
+    out = quality_rules.quality_rules(docs, spark.range(0, 40, 2).withColumnRenamed("id", "doc_id"))
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out.collect()}
+    assert got == {i: base_counts(" ".join(w)) for i, w in enumerate(some)}
+    for plan in (*plans, out):
+        assert "crc32" not in plan._jdf.queryExecution().optimizedPlan().toString()

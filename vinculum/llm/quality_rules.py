@@ -6,9 +6,9 @@ texts, give each bucket a weight ln(p_trusted / p_raw); a text's score is the me
 weight of its n-grams, compared with a threshold. Built-in functions and joins only, no
 Python in tasks. All trusted texts count: bitmaps of bounded size, broadcast as rows of
 64 bits, tell which they are in the task that reads them, and an ordinary join settles the
-few that the bitmaps leave open. The n-grams of a text are an array inside its row, of
-which bucket counts (``buckets`` rows) leave the tasks, and the weights reach the rows as
-one constant array.
+few that the bitmaps leave open. A text is read and split once: its base columns and the
+array of its n-grams' buckets are stored without it. Of these arrays, bucket counts (``buckets``
+rows) leave the tasks, and the weights reach the rows as one constant array.
 
 Weights are whole millionths, so sums do not depend on order.
 
@@ -20,12 +20,14 @@ the input other than the two named ones are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinculum.llm.common import COUNT_BITS, table
 from vinculum.llm.registry import query
-from vinculum.session import write_through
+from vinculum.session import write_through, write_through_groups
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.05  # mean log-likelihood ratio a kept text must reach
@@ -33,6 +35,7 @@ MIN_WORDS = 20
 WINDOW = 8
 REPEAT_PERCENT = 30
 UNIT = 1_000_000
+GROUP_BYTES = 8 << 20  # of buckets that are stored, and read back, together
 
 BLANKS = " \t\n\v\f\r"
 BLANK_CLASS = "[\\x20\\x09-\\x0D]"
@@ -44,18 +47,17 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, BLANK_CLASS + "+")).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_buckets(words: str, buckets: int) -> Column:
-    """Bucket of each word and of each pair of neighbours."""
-    bucket = lambda text: (F.crc32(text.cast("binary")) % buckets).cast("int")
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: bucket(F.concat(a, F.lit(" "), b)),
-    )
-    return F.concat(F.transform(words, bucket), pairs)
+def _neighbours(array: str, gap: int, combine: Callable[[Column, Column], Column]) -> Column:
+    """``combine`` of each element and the one ``gap`` places behind it."""
+    n = F.greatest(F.size(array) - gap, F.lit(0))
+    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(array, F.lit(1 + gap), n), combine)
+
+
+def _crc(text: Column) -> Column:
+    return F.crc32(text.cast("binary"))
 
 
-def repeated_words(windows: str) -> Column:
+def repeated_words(windows: Column) -> Column:
     """Positions covered by windows found twice or more, from the windows' hashes in order.
 
     Windows are sorted by hash with their positions; neighbours with the same hash
@@ -89,10 +91,9 @@ def _covered(positions: Column) -> Column:
     )
 
 
-def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with words, buckets' source and the base columns."""
+def with_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """``docs`` with the base columns and ``buckets``, of each word and of each pair of neighbours."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    n_windows = F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))
     rows = docs.withColumn("words", words_of(F.col(text)))
     rows = rows.withColumns(
         {
@@ -100,26 +101,32 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.length(F.array_join("words", "")).cast("bigint"),
             "n_symbols": F.coalesce(F.length(text) - F.length(F.regexp_replace(F.col(text), F.lit("[#*$%&|<>]+"), F.lit(""))), F.lit(0)).cast("bigint"),
             "lines": lines,
-            "windows": F.when(n_windows > 0, F.transform(F.sequence(F.lit(1), n_windows), lambda i: F.xxhash64(F.slice("words", i, F.lit(WINDOW))))).otherwise(
-                F.array().cast("array<bigint>")
-            ),
+            "pairs": _neighbours("words", 1, lambda a, b: _crc(F.concat(a, F.lit(" "), b))),
         }
     )
-    return rows.withColumns(
+    bucket = lambda crc: (crc % buckets).cast("int")
+    rows = rows.withColumns(
         {
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
-            "n_repeat_words": F.when(F.size(F.array_distinct("windows")) < F.size("windows"), repeated_words("windows")).otherwise(F.lit(0).cast("bigint")),
+            "buckets": F.concat(F.transform("words", lambda w: bucket(_crc(w))), F.transform("pairs", bucket)),
+            "fours": _neighbours("pairs", 2, lambda a, b: F.shiftleft(a, 32).bitwiseOR(b)),
         }
-    ).drop("lines", "windows")
+    )
+    # A window found twice repeats its ``WINDOW - 3`` runs of four words. Few texts repeat as many, and only theirs
+    # are hashed window by window.
+    may_repeat = F.size("fours") - F.size(F.array_distinct("fours")) >= WINDOW - 3
+    windows = F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, F.lit(WINDOW))))
+    rows = rows.withColumn("n_repeat_words", F.when(may_repeat, repeated_words(windows)).otherwise(F.lit(0).cast("bigint")))
+    return rows.drop("words", "lines", "pairs", "fours")
 
 
-def _marked_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str) -> DataFrame:
-    """(text, trusted) of every row.
+def _marked_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str, value: str) -> DataFrame:
+    """(value, trusted) of every row.
 
     A bitmap of the trusted ids' hashes tells most rows where they lie: one outside it is not
     trusted. The other ids of ``docs`` that it lets through by chance are found by a join of ids
-    alone, and have a bitmap of their own. Only the texts in both meet the ids in a join, so
-    hardly any text is shuffled. Rows without an id are not trusted.
+    alone, and have a bitmap of their own. Only the values in both meet the ids in a join, so
+    hardly any value is shuffled. Rows without an id are not trusted.
     """
     hashed = lambda column: F.xxhash64(column).alias("_hash")
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted")).where("_trusted is not null").distinct()
@@ -128,11 +135,11 @@ def _marked_trusted(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str
     named = docs.select(key, hashed(key)).where(F.col(key).isNotNull())
     passed = _looked_up(named, may_be, "_found1").where("_in_found1").select(key, "_hash").distinct()
     wrong = _bitmap(passed.join(ids.select("_trusted"), F.col(key) == F.col("_trusted"), "left_anti"), "_found2")
-    rows = _looked_up(_looked_up(docs.select(key, text, hashed(key)), may_be, "_found1"), wrong, "_found2")
+    rows = _looked_up(_looked_up(docs.select(key, value, hashed(key)), may_be, "_found1"), wrong, "_found2")
     rows = rows.withColumn("_in_found1", F.col("_in_found1") & F.col(key).isNotNull())
-    clear = rows.where("not (_in_found1 and _in_found2)").select(text, F.col("_in_found1").alias("trusted"))
+    clear = rows.where("not (_in_found1 and _in_found2)").select(value, F.col("_in_found1").alias("trusted"))
     doubtful = rows.where("_in_found1 and _in_found2").join(ids.select("_trusted"), F.col(key) == F.col("_trusted"), "left")
-    return clear.unionByName(doubtful.select(text, F.col("_trusted").isNotNull().alias("trusted")))
+    return clear.unionByName(doubtful.select(value, F.col("_trusted").isNotNull().alias("trusted")))
 
 
 def _bitmap(ids: DataFrame, name: str) -> DataFrame:
@@ -157,16 +164,15 @@ def _mark_of(hash_: str) -> Column:
     return F.expr(f"shiftleft(1L, cast(pmod({hash_}, 64) as int))")
 
 
-def bucket_weights(docs: DataFrame, trusted_ids: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+def bucket_weights(rows: DataFrame, trusted_ids: DataFrame, key: str, grams: str, buckets: int) -> DataFrame:
     """One row: ``weights`` array of ln(p_trusted / p_raw) in millionths, null without trusted texts.
 
-    Both multinomials are smoothed by one count a bucket.
+    ``grams``: the array of a row's buckets. Both multinomials are smoothed by one count a bucket.
     """
-    grams = _marked_trusted(docs, trusted_ids, key, text).select("trusted", words_of(F.col(text)).alias("words")).select(
-        "trusted", F.explode(ngram_buckets("words", buckets)).alias("bucket")
-    )
+    spark = rows.sparkSession
+    grams = _marked_trusted(rows, trusted_ids, key, grams).select("trusted", F.explode(grams).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("own"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
     every = every.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("own", F.lit(0)).alias("own"))
     gathered = every.agg(
         F.sum("raw").alias("n_raw"), F.sum("own").alias("n_own"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "own"))).alias("rows")
@@ -206,9 +212,11 @@ def quality_rules(
     keep = keep or (key,)
     docs = docs.select(*(F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)), F.col(key).alias("_key"), F.col(text).alias("_text"))
     key, text = "_key", "_text"
-    weights = as_constant(bucket_weights(docs, trusted_ids, key, text, buckets).first()["weights"])
+    counted = with_counts(docs, text, buckets).drop(text)
+    # Large groups of rows would be read back as large batches of arrays.
+    rows = write_through_groups(counted, "counted", GROUP_BYTES)
+    weights = as_constant(bucket_weights(rows, trusted_ids, key, "buckets", buckets).first()["weights"])
     limit = round(threshold * UNIT)
-    rows = with_counts(docs, text).withColumn("buckets", ngram_buckets("words", buckets))
     rows = rows.withColumns(
         {
             "n_grams": F.size("buckets"),
@@ -228,8 +236,7 @@ def quality_rules(
         F.col("total").alias("llr_total"),
         F.spark_partition_id().alias("_task"),
     )
-    # A filter on these columns must not move below the projections: it would compute a text's words
-    # anew for each of its n-grams. A column that is not deterministic holds it back.
+    # A filter on these columns must not move below the projections: it would add up the weights twice. A column that is not deterministic holds it back.
     return judged.where("_task >= 0").drop("_task")
 
 
