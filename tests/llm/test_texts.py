@@ -60,6 +60,13 @@ def test_quality_rules(spark, docs, rows, none):
     assert kept.columns[:3] == ["doc_id", "text", "words"] and kept.count() == sum(r[7] for r in expected)
 
 
+def test_quality_rules_judge_texts_of_any_length(spark):
+    """The limit times the n-grams of a text of more than 21,474 words is beyond an int."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30_000))), (2, "two words")], "doc_id bigint, text string")
+    out = quality_rules.quality_rules(docs, docs.where("doc_id = 1").select("doc_id")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["kept"]) for r in out) == [(1, 30_000, True), (2, 2, False)]
+
+
 def test_all_texts_labelled_good_are_trusted(spark):
     """More good labels than any fixed sample; those with the highest hashes count like the others."""
     ids = sorted(range(25_000), key=lambda i: zlib.crc32(str(i).encode()))

@@ -219,7 +219,7 @@ def quality_rules(
     limit = round(threshold * UNIT)
     rows = rows.withColumns(
         {
-            "n_grams": F.size("buckets"),
+            "n_grams": F.size("buckets").cast("bigint"),  # multiplied with the limit below, which an int holds for 42,949 only
             "total": F.aggregate("buckets", F.lit(0).cast("bigint"), lambda acc, b: acc + F.get(weights, b)),
             "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")),
         }
