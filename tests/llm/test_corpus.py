@@ -13,7 +13,9 @@ import numpy as np
 import pytest
 
 from vinculum.llm import decontaminate, jaccard_join, packing, suffix_dedup
+from vinculum.llm.common import in_bitmap, marked
 from vinculum.llm.components import components
+from vinculum.session import scratch_dir, scratch_run
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -53,6 +55,39 @@ def test_jaccard_join(docs, rows, none, n, percent, unit):
         assert jaccard_join.jaccard_join(none, words=n, percent=percent).count() == 0
 
 
+def test_a_large_group_is_dealt_out_in_rounds_and_steps_leave_nothing(spark, monkeypatch):
+    """A text has a row in each unit of its block: in one go a group of k blocks would have k times its texts on disk."""
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(i, f"{text} own{i}") for i in range(200)], "doc_id bigint, text string")
+    dealt, solve = [], jaccard_join.link_units
+
+    def counted(units, *rest):
+        dealt.append(units.count())
+        return solve(units, *rest)
+
+    monkeypatch.setattr(jaccard_join, "link_units", counted)
+    with scratch_run(spark):
+        out = jaccard_join.jaccard_join(docs, unit_shingles=2_000).collect()
+        folder = os.path.dirname(scratch_dir(spark)).removeprefix("file:")
+        kept = {path.rsplit("-", 1)[0] for path in os.listdir(folder)}
+    assert {(r["component_id"], r["n_links"]) for r in out} == {(0, 199)}
+    assert sum(dealt) == 200 * 10 and len(dealt) == 5 and max(dealt) <= 4 * 200
+    assert kept == {"sets", "classes", "edges", "links"}
+
+
+def test_the_bitmap_grows_with_the_shingles():
+    assert jaccard_join.bitmap_bits(0) == jaccard_join.bitmap_bits(1 << 27) == 1 << 26
+    assert jaccard_join.bitmap_bits(1_000_000_000) == jaccard_join.bitmap_bits(1 << 40) == 1 << 28
+    names = np.random.default_rng(1).integers(0, 1 << 47, 10_000)
+    bits = np.zeros(1 << 20, np.int64)
+    batch = marked(names, 1 << 26, ordered=True)
+    bits[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    assert in_bitmap(bits.view(np.uint8), names, ordered=True).all()
+    assert not in_bitmap(bits.view(np.uint8), names ^ (1 << 40), ordered=True).all()
+    part = marked(names[names < 1 << 40], 1 << 26, ordered=True)  # a part of the range marks its own words only
+    assert part.column(0).to_numpy().max() < 1 << 13
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_sets_that_link_share_a_signature_whatever_is_in_their_slices(percent):
     rng = np.random.default_rng(4)

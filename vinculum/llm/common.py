@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vinculum.session import shuffles_dropped
+
 SLICE_BYTES = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -145,13 +147,17 @@ def letter_runs(t: Texts, digits: bool = False) -> tuple[np.ndarray, np.ndarray,
 
 
 
-def _bit(values: np.ndarray, bits: int) -> np.ndarray:
+def _bit(values: np.ndarray, bits: int, ordered: bool = False) -> np.ndarray:
+    """The bit of each value: of its hash or, for names of hashes, ``ordered`` as they are, so that names
+    of one part of the hash range share their words of the bitmap. ``bits`` is a power of two then."""
+    if ordered:
+        return values.astype(np.int64) >> (48 - bits.bit_length())
     return (mix(values.astype(np.int64).view(np.uint64)) % U64(bits)).astype(np.int64)
 
 
-def marked(values: np.ndarray, bits: int = FILTER_BITS) -> pa.RecordBatch:
+def marked(values: np.ndarray, bits: int = FILTER_BITS, ordered: bool = False) -> pa.RecordBatch:
     """The 64-bit words of a bitmap that the hashed values mark: (at, bits)."""
-    bit = np.unique(_bit(values, bits))
+    bit = np.unique(_bit(values, bits, ordered))
     word = bit >> 6
     head = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(bit) else np.zeros(0, np.int64)
     ones = U64(1) << (bit & 63).astype(np.uint64)
@@ -164,7 +170,8 @@ MARKED = "at bigint, bits bigint"
 
 def gathered(words: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """The bitmap of all tasks' words, as bytes: what reaches the driver has a fixed size."""
-    found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    with shuffles_dropped(words.sparkSession):
+        found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[found["at"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint8)
@@ -178,8 +185,8 @@ def bitmap_of(members: DataFrame, column: str, bits: int = FILTER_BITS) -> np.nd
     return gathered(members.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint")).mapInArrow(run, MARKED), bits)
 
 
-def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = _bit(values, len(bitmap) * 8)
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray, ordered: bool = False) -> np.ndarray:
+    at = _bit(values, len(bitmap) * 8, ordered)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -215,7 +222,7 @@ def hash_parts(value: np.ndarray, parts: int) -> np.ndarray:
     return np.r_[0, cuts, len(value)]
 
 
-def repeated(docs: DataFrame, named: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], parts: int, bits: int = COUNT_BITS) -> np.ndarray:
+def repeated(docs: DataFrame, named: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], parts: int, bits: int = COUNT_BITS, ordered: bool = False) -> np.ndarray:
     """Bitmap of the names of hashes that two owners or more have, counted over all of ``docs``.
 
     ``named`` gives (hash, owner) of a batch. Each distinct hash leaves a task once, as six bytes: its
@@ -259,6 +266,6 @@ def repeated(docs: DataFrame, named: Callable[[pa.RecordBatch], Iterator[tuple[n
             value, flag = name >> U64(1), name & U64(1)
             head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
             size = np.diff(np.r_[head, len(value)])
-            yield marked(value[head[(size > 1) | (np.maximum.reduceat(flag, head) > 0)]], bits)
+            yield marked(value[head[(size > 1) | (np.maximum.reduceat(flag, head) > 0)]], bits, ordered)
 
     return gathered(docs.mapInArrow(run, "part int, names binary").repartition(parts, "part").mapInArrow(count, MARKED), bits)

@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Every step is a join and an aggregation with map-side combine; each round is stored in
-the shared folder, so lineage stays short and a lost executor costs one round. The
-number of rounds grows with the logarithm of the longest chain.
+the shared folder, so lineage stays short and a lost executor costs one round; the round
+before is deleted. The number of rounds grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinculum.session import write_through
+from vinculum.session import drop_stored, write_through
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         new = write_through(_small_star(_star(now)).where("a <> b").distinct(), "edges")
         after = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        drop_stored(now)
         now = new
         if after == state:
             break

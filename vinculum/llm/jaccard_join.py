@@ -16,7 +16,8 @@
    lists aside, merges the short ones, keeps partners found T - L times, and looks
    those up in the long lists by binary probes (or by one scan of the lists where that
    is cheaper). Groups beyond ``UNIT_SHINGLES`` are dealt into blocks, and every pair of
-   blocks is a unit of its own: no cap, no group in one task.
+   blocks is a unit of its own: no cap, no group in one task. A text has a row for each block
+   of its group, so large groups' units are dealt out in rounds and disk stays bounded.
 4. Links give components; copies follow the member that stands for them.
 
 Defined cases: ids are integers; rows without an id or without a word link with
@@ -27,22 +28,25 @@ documents of their own, each joined by its own text; an empty table gives no row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vinculum.llm.common import FLUSH, RangeHash, Texts, hash_parts, in_bitmap, joined, lower_ascii, may_contain, mix, name_of, repeated, slices, table, word_spans
+from vinculum.llm.common import COUNT_BITS, FLUSH, RangeHash, Texts, hash_parts, in_bitmap, joined, lower_ascii, may_contain, mix, name_of, repeated, slices, table, word_spans
 from vinculum.llm.components import components
 from vinculum.llm.registry import query
-from vinculum.session import write_through
+from vinculum.session import drop_stored, write_through
 
 WORDS = 3
 PERCENT = 90
 UNIT_SHINGLES = 1_000_000
 UNIT_ROWS = 256  # rows looked at before a task decides whether it holds enough
 SKIP_RATE = 0.0085  # DivideSkip's weight of a probe against a merge step
+ROUND_COPIES = 2  # times the texts of all groups that are dealt out at once
+MOST_BITS = 1 << 28
 U64 = np.uint64
 
 
@@ -173,18 +177,24 @@ def signed_sets(batch: pa.RecordBatch, words: int, percent: int, common: np.ndar
         doc, value = shingle_sets(t, words)
         h1, _ = set_hashes(doc, value, len(t))
         n = np.bincount(doc, minlength=len(t))
-        shared = np.bincount(doc[in_bitmap(common, name_of(value))], minlength=len(t))
+        shared = np.bincount(doc[in_bitmap(common, name_of(value), ordered=True)], minlength=len(t))
         able = known[t.row : t.row + len(t)] & (100 * shared >= percent * n)
         kept = able[doc]
         at, sign = signatures(doc[kept], value[kept], np.where(able, n, 0), percent)
         yield sign, h1[at]
 
 
-def signature_table(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+def bitmap_bits(total: int) -> int:
+    """Bits for the repeated ones among ``total`` shingles, about a seventh of them: a full bitmap would let all
+    sets through. From 8 MB to 32 MB."""
+    return min(max(COUNT_BITS, 1 << (max(total // 4, 1) - 1).bit_length()), MOST_BITS)
+
+
+def signature_table(docs: DataFrame, words: int, percent: int, parts: int, bits: int = COUNT_BITS) -> DataFrame:
     """Signatures that several sets have, by part of the hash range (part, signs, keys), and edges
     found inside a task (a, b). Keys are the sets' h1."""
-    common = repeated(docs, lambda batch: set_shingles(batch, words), parts)
-    shared = repeated(docs, lambda batch: signed_sets(batch, words, percent, common), parts)
+    common = repeated(docs, lambda batch: set_shingles(batch, words), parts, bits, ordered=True)
+    shared = repeated(docs, lambda batch: signed_sets(batch, words, percent, common), parts, bits, ordered=True)
 
     def leave(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         sign, own, a, b = _least_per_signature(np.concatenate([s for s, _ in held]), np.concatenate([k for _, k in held]))
@@ -200,7 +210,7 @@ def signature_table(docs: DataFrame, words: int, percent: int, parts: int) -> Da
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for sign, own in signed_sets(batch, words, percent, common):
-                keep = in_bitmap(shared, name_of(sign))
+                keep = in_bitmap(shared, name_of(sign), ordered=True)
                 held.append((sign[keep], own[keep]))
                 if sum(len(s) for s, _ in held) >= FLUSH:
                     yield from leave(held)
@@ -336,6 +346,20 @@ def link_units(units: DataFrame, words: int, percent: int) -> DataFrame:
     return units.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
+def unit_rows(placed: DataFrame, rounds: int, turn: int) -> DataFrame:
+    """(unit, side, h1, copies, text): a row of ``placed`` for each unit of its own that has its turn."""
+    unit = lambda other: F.xxhash64("group", F.least("block", other), F.greatest("block", other))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.pmod(F.shiftright(unit(other), 20), F.lit(rounds)) == turn)
+    return placed.withColumn("other", F.explode(others)).select(
+        unit(F.col("other")).alias("unit"),
+        # In a unit of two blocks only pairs across them count; in a unit of one block (side -1) all do.
+        F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("bigint").alias("side"),
+        "h1",
+        "copies",
+        "text",
+    )
+
+
 def _columns(rows: pa.Table):
     rows = rows.combine_chunks()
     return *(np.asarray(rows.column(k)) for k in range(4)), rows.column(4).combine_chunks()
@@ -348,28 +372,34 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     docs = docs.select(key, text)
     keyed = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     sets = write_through(set_table(keyed, words), "sets")
-    signed = write_through(signature_table(keyed, words, percent, parts), "signed")
+    bits = bitmap_bits(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    signed = write_through(signature_table(keyed, words, percent, parts, bits), "signed")
     # A class is named by h1; its smallest id stands for it.
     filled = sets.where("n > 0 and key is not null")
     classes = write_through(filled.groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    groups = components(write_through(signature_edges(signed, parts), "candidates"))
+    candidates = write_through(signature_edges(signed, parts), "candidates")
+    drop_stored(signed)
+    groups = components(candidates)
+    drop_stored(candidates)
     members = classes.join(groups, classes["h1"] == groups["node"]).select("h1", "rep", "copies", "n", F.col("component").alias("group"))
     sizes = members.groupBy("group").agg(F.sum("n").alias("total"))
     members = members.join(sizes, "group").withColumn("blocks", F.ceil(F.col("total") / unit_shingles).cast("int"))
-    members = write_through(members.select("group", "h1", "rep", "copies", "blocks"), "members")
-    # Their texts, then one row for each unit a set belongs to.
+    members = write_through(members.select("group", "h1", "rep", "copies", "n", "blocks"), "members")
+    drop_stored(groups)
+    # Their texts, then one row for each unit a set belongs to. A text of a group of k blocks has k such rows, so the
+    # units of large groups come in rounds, each of which shuffles a bounded share of them.
     texts = may_contain(docs.select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text")).where("rep is not null"), members, "rep")
-    placed = texts.join(members, "rep").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = placed.select(
-        F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-        # In a unit of two blocks only pairs across them count; in a unit of one block (side -1) all do.
-        F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).cast("bigint").alias("side"),
-        "h1",
-        "copies",
-        "text",
-    )
-    links = write_through(link_units(units.repartition(parts, "unit").sortWithinPartitions("unit", "h1"), words, percent), "links")
+    placed = texts.join(members.drop("n"), "rep").withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
+    own, dealt = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()
+    rounds = max(1, -(-dealt // max(ROUND_COPIES * own, 1)))
+    if rounds > 1:
+        placed = write_through(placed, "placed")
+    solved = []
+    for turn in range(rounds):
+        units = unit_rows(placed, rounds, turn).repartition(parts, "unit").sortWithinPartitions("unit", "h1")
+        solved.append(write_through(link_units(units, words, percent), "links"))
+    links = reduce(DataFrame.unionByName, solved)
+    drop_stored(members, *([placed] if rounds > 1 else []))
     counted = links.groupBy(F.col("a").alias("h1")).agg(F.sum("links").alias("links"))
     named = classes.join(components(links.select("a", "b")).withColumnRenamed("node", "h1"), "h1", "left").join(counted, "h1", "left")
     named = named.withColumn("component", F.coalesce("component", "h1"))
