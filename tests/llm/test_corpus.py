@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from vinculum.llm import decontaminate, jaccard_join, packing, suffix_dedup
 from vinculum.llm.common import in_bitmap, marked
 from vinculum.llm.components import components
@@ -75,6 +76,17 @@ def test_a_large_group_is_dealt_out_in_rounds_and_steps_leave_nothing(spark, mon
     assert kept == {"sets", "classes", "edges", "links"}
 
 
+def test_pipeline_stages_leave_no_arrays_of_n_grams(spark):
+    """What the quality rules store of each text would stay on disk through all later stages."""
+    with scratch_run(spark):
+        docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+        kept = corpus_pipeline.keep_good(spark, docs, SF_DIR)
+        near = corpus_pipeline.keep_one_of_near(spark, kept, SF_DIR)
+        assert 0 < near.count() < kept.count() < docs.count()
+        left = {path.rsplit("-", 1)[0] for path in os.listdir(os.path.dirname(scratch_dir(spark)).removeprefix("file:"))}
+    assert left == {"trusted", "bitmap", "kept", "near"}
+
+
 def test_the_bitmap_grows_with_the_shingles():
     assert jaccard_join.bitmap_bits(0) == jaccard_join.bitmap_bits(1 << 27) == 1 << 26
     assert jaccard_join.bitmap_bits(1_000_000_000) == jaccard_join.bitmap_bits(1 << 40) == 1 << 28
