@@ -411,6 +411,43 @@ def test_connections_are_not_stored_on_the_way(spark):
     assert got == [("a", 2, [("T", None), ("T", "B")]), ("b", 1, [("T", "A")]), ("c", 0, [(None, None)])]
 
 
+@pytest.mark.parametrize("most", [1_000_000, 7])
+def test_details_of_all_entities_move_an_edge_twice(spark, monkeypatch, most):
+    """By its other end and by the entity, in steps of their own and for some entities after the others; no step stays on disk."""
+    monkeypatch.setattr(P, "LIST_EDGES", most)
+    monkeypatch.setattr(P, "stored", lambda edges: pytest.fail("an adjacency is stored"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    nodes = [("hub", "Drug", "Hub"), ("alone", "Drug", "Alone")] + [(f"n{i}", "Target", f"N{i % 9}") for i in range(40)]
+    edges = [("hub", f"n{i}", t, "Drug", "Target") for i in range(40) for t in "TU"] + [("hub", "hub", "T", "Drug", "Drug"), ("n1", None, "T", "Target", "Target"), ("n2", "absent", "T", "Target", "Target")]
+    n, e = spark.createDataFrame(nodes, "id string, type string, name string"), spark.createDataFrame(edges, EDGE)
+    name = {i: text for i, _, text in nodes}
+    expected = {i: [] for i in name}
+    for a, b, t, *_ in edges:
+        for own, other in {(a, b), (b, a)}:
+            if own in expected:
+                expected[own].append((t, name.get(other)))
+    for few in (0, 100):
+        monkeypatch.setattr(P, "FEW", few)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+        monkeypatch.setattr(P, "ROUND_EDGES", 1000 if few else 60)
+        try:
+            frame = P.entity_details(n.select(F.col("id").alias("entity_id")), n, e, chunk=3)
+            out = frame.collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert len({(r["entity_id"], r["chunk"]) for r in out}) == len(out)
+        assert {r["entity_id"]: r["degree"] for r in out} == {i: len(x) for i, x in expected.items()}
+        for i, x in expected.items():
+            got = [tuple(c) for r in out if r["entity_id"] == i for c in r["connections"]]
+            assert sorted(got, key=str) == sorted(x or [(None, None)], key=str)
+        assert sum(r["entity_id"] == "hub" for r in out) > 9
+    with scratch_run(spark):
+        monkeypatch.setattr(P, "ROUND_EDGES", 60)
+        P.entity_details(n.select(F.col("id").alias("entity_id")), n, e, chunk=3)
+        left = [p.name.split("-")[0] for p in Path(scratch_dir(spark).removeprefix("file:")).parent.iterdir()]
+    assert sorted(left) == ["asked", "entities", "hubs", "lists", "lists", "lists"]
+
+
 def test_few_lookups_store_no_adjacency(spark, monkeypatch):
     """Paths of one edge, and paths back from an end, are looked up in the edges themselves; the result is that of the adjacency."""
     names = [("d1", "Drug", "one drug"), ("d2", "Drug", "two drug"), ("d3", "Drug", "other"), ("t", "Target", "t"), ("x", "Disease", "ache"), ("y", "Disease", "pain")]
