@@ -295,6 +295,24 @@ def test_cleanup(spark):
 # --- whole build from files ---
 
 
+def test_graph_build_keeps_one_edge_of_each_and_no_step(spark):
+    """Builders of one type are deduped together, and what a group stored on the way is gone; so are its shuffles."""
+    sources = graph_build.Sources(
+        target=spark.createDataFrame([("T1", "S", None, [("R1", "one"), ("R1", "two")])], "id string, approvedSymbol string, proteinIds array<struct<id: string, source: string>>, pathways array<struct<pathwayId: string, pathway: string>>"),
+        disease=spark.createDataFrame([("D1", "Flu")], "id string, name string"),
+        reactome=spark.createDataFrame([("R1", "Path")], "id string, label string"),
+        known_drug=spark.createDataFrame([("T1", "T1"), ("T1", "T1"), ("T1", "absent")], "drugId string, targetId string"),
+        association_overall_direct=spark.createDataFrame([("D1", "T1", 0.5), ("D1", "T1", 0.2)], "diseaseId string, targetId string, score double"),
+    )
+    with scratch_run(spark):
+        edges = graph_build.build_graph(sources)[1]
+        assert rows(edges.select("source", "target", "type", "pathwayName", "target_label")) == [
+            ("R1", "D1", "ASSOCIATED_WITH", None, "Disease"), ("T1", "R1", "INVOLVED_IN", "one", "Pathway"), ("T1", "T1", "TARGETS", None, "Target"),
+        ]
+        left = [p.name.split("-")[0] for p in Path(scratch_dir(spark).removeprefix("file:")).parent.iterdir()]
+    assert left.count("edges") == 3 and "deduped" not in left
+
+
 def test_graph_build_from_files(spark, tmp_path):
     folder, maps = tmp_path / "tables", tmp_path / "maps"
     maps.mkdir()

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vinculum.operators import edges as E
 from vinculum.operators import infer, nodes as N
 from vinculum.operators.quality import build_summary
-from vinculum.session import write_through
+from vinculum.schemas import EDGE_COLUMNS
+from vinculum.session import drop_stored, write_through
 from vinculum.sources import readers, sinks
 
 
@@ -62,7 +65,13 @@ def build_nodes(s: Sources) -> DataFrame:
 
 
 def build_edges(s: Sources, max_combinations: int | None = None, same_target_ids: bool = True) -> DataFrame:
-    """Edges of all builders, not yet deduped.
+    """Edges of all builders, not yet deduped."""
+    groups = edge_groups(s, max_combinations, same_target_ids)
+    return E.union_edges(*[builder for group in groups for builder in group])
+
+
+def edge_groups(s: Sources, max_combinations: int | None = None, same_target_ids: bool = True) -> list[list[DataFrame | None]]:
+    """The builders in order, in groups that have no edge type in common, so that none repeats an edge of another.
 
     ``same_target_ids`` gives edge targets the UniProt fallback target nodes
     have; without it such edges keep their raw id and end as orphans.
@@ -77,25 +86,35 @@ def build_edges(s: Sources, max_combinations: int | None = None, same_target_ids
                 max_combinations,
             )
         )
-    return E.union_edges(
-        _if(s.known_drug, lambda k: E.known_drug_edges(k, *target_maps)),
-        _if(s.drugs, E.relation_edges),
-        _if(s.drug_indication, lambda i: E.indication_edges(i, s.disease_map)),
-        _if(s.drug_mechanism_of_action, lambda m: E.mechanism_edges(m, *target_maps)),
-        _if(s.target, lambda t: E.pathway_edges(t, *target_maps)),
-        inferred,
-    )
+    return [
+        [_if(s.known_drug, lambda k: E.known_drug_edges(k, *target_maps)), _if(s.drugs, E.relation_edges)],
+        [_if(s.drug_indication, lambda i: E.indication_edges(i, s.disease_map))],
+        [_if(s.drug_mechanism_of_action, lambda m: E.mechanism_edges(m, *target_maps))],
+        [_if(s.target, lambda t: E.pathway_edges(t, *target_maps))],
+        [inferred],
+    ]
 
 
 def build_graph(s: Sources, **options) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): merged nodes, deduped edges with both ends among them and their labels.
 
-    Each table is stored once, since every later step reads it again. The two joins that find
+    Each table is stored once, since every later step reads it again; the edges group by group, deduped
+    and then labelled, so that what a step shuffles is gone when the next begins. The two joins that find
     orphans bring the labels the CSV needs.
     """
     nodes = write_through(build_nodes(s), "nodes")
-    edges = E.label_ends(E.dedupe_edges(build_edges(s, **options)), nodes).drop("builder")
-    return nodes, write_through(edges, "edges")
+    groups = [[b for b in group if b is not None] for group in edge_groups(s, **options)]
+    inferred = len(groups) - 1  # links are one for each pathway and disease: nothing repeats
+    kept = []
+    for i, group in enumerate(groups):
+        if group:
+            edges = E.union_edges(*group)
+            deduped = write_through((edges if i == inferred else E.dedupe_edges(edges)).drop("builder"), "deduped")
+            kept.append(write_through(E.label_ends(deduped, nodes), "edges"))
+            drop_stored(deduped)
+    used = {c: t for c, t in EDGE_COLUMNS.items() if any(c in k.columns for k in kept)}
+    same = [k.select(*[F.col(c) if c in k.columns else F.lit(None).cast(t).alias(c) for c, t in used.items()], *E.LABELS) for k in kept]
+    return nodes, reduce(DataFrame.unionByName, same)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, output: str) -> DataFrame:
